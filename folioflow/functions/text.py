@@ -75,6 +75,10 @@ def split_parts(text: Column, max_chars: int = V.PART_CHARS) -> Column:
     `max_chars`; the fold then works on a buffer of at most two blocks, so the
     cost grows linearly with the text.
     """
+    return bind(text, lambda t: _split_bound(t, max_chars))
+
+
+def _split_bound(text: Column, max_chars: int) -> Column:
     length = F.length(text)
     # After the first cut only the stripped rest counts, so trailing space behind
     # the first window can go at once.
@@ -100,22 +104,21 @@ def _fold_blocks(blocks: Column, max_chars: int) -> Column:
         buf = F.when(F.size(s["parts"]) == 0, joined).otherwise(lstrip(joined))
         return state(buf, s["taken"] + 1, s["parts"])
 
-    def cut(s: Column) -> Column:
-        window = F.substring(s["buf"], 1, max_chars)
+    def cut_length(window: Column) -> Column:
+        by_word = F.when(
+            F.contains(window, F.lit(" ")), F.length(F.regexp_extract(window, LAST_SPACE, 1))
+        ).otherwise(max_chars)
         sentence = F.length(F.regexp_extract(window, SENTENCE_END, 1))
-        at = F.coalesce(
-            F.nullif(sentence, F.lit(0)),
-            F.when(F.contains(window, F.lit(" ")), F.length(F.regexp_extract(window, LAST_SPACE, 1))),
-            F.lit(max_chars),
-        )
+        return bind(sentence, lambda k: F.when(k > 0, k).otherwise(by_word))
 
+    def cut(s: Column) -> Column:
         def at_position(k: Column) -> Column:
             rest = F.substring(s["buf"], k + 1, F.lit(2 * max_chars))
             rest = F.when(s["taken"] >= n_blocks, strip(rest)).otherwise(lstrip(rest))
             part = strip(F.substring(s["buf"], F.lit(1), k))
             return state(rest, s["taken"], F.concat(s["parts"], F.array(part)))
 
-        return bind(at, at_position)
+        return bind(bind(F.substring(s["buf"], 1, max_chars), cut_length), at_position)
 
     def step(s: Column, _: Column) -> Column:
         full = F.length(s["buf"]) > max_chars
@@ -140,14 +143,17 @@ def _fold_blocks(blocks: Column, max_chars: int) -> Column:
 
 def derive_title(file_name: Column) -> Column:
     stem = F.regexp_replace(file_name, r"(?s)\.[^.]*\z", "")
-    title = strip(F.translate(stem, "_-", "  "))
-    return F.coalesce(F.nullif(title, F.lit("")), F.lit(V.DEFAULT_TITLE))
+    return _or_default(strip(F.translate(stem, "_-", "  ")), V.DEFAULT_TITLE)
+
+
+def _or_default(text: Column, default: str) -> Column:
+    return bind(text, lambda t: F.when(t == "", default).otherwise(t))
 
 
 def slug(name: Column) -> Column:
     words = strip(F.regexp_replace(name, rf"[^\p{{L}}\p{{N}}_{V.WS}-]", ""))
     joined = F.regexp_replace(words, rf"[{V.WS}]+", "_")
-    return F.coalesce(F.nullif(F.substring(joined, 1, V.SLUG_CHARS), F.lit("")), F.lit(V.DEFAULT_SLUG))
+    return _or_default(F.substring(joined, 1, V.SLUG_CHARS), V.DEFAULT_SLUG)
 
 
 def file_hash(content: Column) -> Column:

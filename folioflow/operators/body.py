@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioflow import fixed_values as V
@@ -54,18 +54,23 @@ def body_text(spans: DataFrame, key: str) -> DataFrame:
     )
     cleaned = pages.select(
         key, "page", F.array_join(T.narration_lines(F.col("text")), " ").alias("text")
-    ).where(F.col("text") != "")
-    return (
-        cleaned.groupBy(key)
-        .agg(_in_order(F.struct("page", "text"), " ").alias("_joined"))
-        .select(key, T.close_text(F.col("_joined")).alias("body"))
+    )
+    # Dropping empty pages while collecting, not by a filter, which Catalyst would
+    # push below the projection and so clean every page twice.
+    kept = F.when(F.col("text") != "", F.struct("page", "text"))
+    docs = cleaned.groupBy(key).agg(F.collect_list(kept).alias("_pages"))
+    return docs.where(F.size("_pages") > 0).select(
+        key, T.close_text(_joined(F.col("_pages"), " ")).alias("body")
     )
 
 
-def _in_order(row, separator: str):
+def _in_order(row: Column, separator: str) -> Column:
     """Texts of a group joined in the order of the struct's leading fields."""
-    rows = F.sort_array(F.collect_list(row))
-    return F.array_join(F.transform(rows, lambda r: r["text"]), separator)
+    return _joined(F.collect_list(row), separator)
+
+
+def _joined(rows: Column, separator: str) -> Column:
+    return F.array_join(F.transform(F.sort_array(rows), lambda r: r["text"]), separator)
 
 
 def page_preview(pages: DataFrame, key: str) -> DataFrame:

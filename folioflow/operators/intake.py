@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from folioflow import fixed_values as V
 from folioflow.functions import text as T
 from folioflow.functions.scalars import or_default
-from folioflow.operators.joins import lookup_join
+from folioflow.operators.joins import lookup_join, unroll
+from folioflow.sources.staging import materialize
 
 
 def intake_gate(uploads: DataFrame, known: DataFrame) -> DataFrame:
@@ -38,6 +39,8 @@ def intake_gate(uploads: DataFrame, known: DataFrame) -> DataFrame:
         )
         .drop("_clean", "text", "size_bytes")
     )
+    # A few narrow columns stand for the whole text from here on.
+    checked = materialize(checked)
     passes = F.col("_before").isNull() & F.col("_after").isNull()
     per_hash = (
         checked.select(
@@ -71,12 +74,8 @@ def parts_table(docs: DataFrame, key: str, max_chars: int = V.PART_CHARS) -> Dat
     """Raw text to rows of (key, parts_count, part_index, text)."""
     parts = docs.select(
         key, T.split_parts(T.clean_text(F.col("text")), max_chars).alias("_parts")
-    )
-    return parts.select(
-        key,
-        F.size("_parts").alias("parts_count"),
-        F.posexplode("_parts").alias("part_index", "text"),
-    )
+    ).withColumn("parts_count", F.size("_parts"))
+    return unroll(parts, [key, "parts_count"], "_parts", "part_index", "text")
 
 
 def parts_manifest(docs: DataFrame, key: str) -> DataFrame:

@@ -40,6 +40,16 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(cores, key) if estimated_bytes(df) < split * cores else df
 
 
+def unroll(df: DataFrame, keep: list[str], array: str, position: str, value: str) -> DataFrame:
+    """One row per array element, with its position.
+
+    The outer form keeps Catalyst from adding a size check on the array below, which
+    would compute an expensive array a second time.
+    """
+    rows = df.select(*keep, F.posexplode_outer(array).alias(position, value))
+    return rows.where(F.col(position).isNotNull())
+
+
 def lookup_join(
     facts: DataFrame,
     lookup: DataFrame,
@@ -75,8 +85,10 @@ def lookup_join(
         )
     )
     salts = F.coalesce(F.col("_salts"), F.lit(1))
+    # Facts without a key match nothing and may lie anywhere.
+    fact_salts = F.when(_all_set(keys), salts).otherwise(MAX_SALTS)
     salted_facts = facts.join(F.broadcast(hot), keys, "left").withColumn(
-        "_salt", F.pmod(F.xxhash64(*spread_on), salts).cast("int")
+        "_salt", F.pmod(F.xxhash64(*spread_on), fact_salts).cast("int")
     )
     salted_lookup = lookup.join(F.broadcast(hot), keys, "left").withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), salts - 1))

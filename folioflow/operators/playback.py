@@ -188,8 +188,9 @@ def tick_throttle(
     `start` (user_id, last_save) continues from earlier saves.
     """
     clock = F.unix_millis(F.col("ts").cast("timestamp"))
-    timed = ticks.select("user_id", "tick_id", clock.alias("clock"))
-    bucket = F.floor(F.col("clock") / bucket_ms)
+    known = F.col("user_id").isNotNull() & F.col("ts").isNotNull()
+    timed = ticks.where(known).select("user_id", "tick_id", clock.alias("clock"))
+    bucket = F.col("clock") - F.pmod("clock", F.lit(bucket_ms))
     buckets = (
         timed.groupBy("user_id", bucket.alias("bucket"), "clock")
         .agg(F.min("tick_id").alias("tick_id"))
@@ -207,7 +208,7 @@ def tick_throttle(
 
     first = F.get(F.col("_ticks"), F.lit(0))["clock"]
     reachable = F.when(
-        first - F.col("bucket") * bucket_ms < gap_ms,
+        first - F.col("bucket") < gap_ms,
         F.size(F.filter("_ticks", lambda t: t["clock"] < first + gap_ms)) + 1,
     ).otherwise(1)
     moves = F.transform(
@@ -242,7 +243,9 @@ def tick_throttle(
         walk,
         lambda s: s["entries"],
     )
-    entering = per_user.select("user_id", F.inline(entries))
+    entering = per_user.select("user_id", F.inline_outer(entries)).where(
+        F.col("bucket").isNotNull()
+    )
 
     def keep(s: Column, t: Column) -> Column:
         saved = F.struct(t["clock"].alias("last"), F.concat(s["saved"], F.array(t)).alias("saved"))
@@ -257,8 +260,11 @@ def tick_throttle(
         keep,
         lambda s: s["saved"],
     )
+    # Every bucket has its entry. The left join, unlike an inner one, adds no null
+    # checks below `buckets`, so both uses of it share one shuffle.
     return (
-        buckets.join(entering, ["user_id", "bucket"], "inner")
-        .select("user_id", F.inline(saved))
+        buckets.join(entering, ["user_id", "bucket"], "left")
+        .select("user_id", F.inline_outer(saved))
+        .where(F.col("tick_id").isNotNull())
         .select("user_id", "tick_id", "clock")
     )

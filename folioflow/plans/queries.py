@@ -11,6 +11,7 @@ from folioflow import fixed_values as V
 from folioflow.functions import scalars as S
 from folioflow.functions import text as T
 from folioflow.operators import audio, body, catalog, clinic, intake, library, playback
+from folioflow.operators.joins import unroll
 from folioflow.sources.views import PLAN_VOICE, QUESTIONS, Views
 
 THROTTLE_GAP_MS = 3_600_000
@@ -34,8 +35,8 @@ def clean_text(v: Views) -> DataFrame:
 
 @query
 def split_parts(v: Views) -> DataFrame:
-    parts = T.split_parts(F.col("text"))
-    return v.docs().select("doc_id", F.posexplode(parts).alias("part_index", "part"))
+    parts = v.docs().select("doc_id", T.split_parts(F.col("text")).alias("_parts"))
+    return unroll(parts, ["doc_id"], "_parts", "part_index", "part")
 
 
 @query

@@ -1,0 +1,35 @@
+"""Intermediate tables on shared storage."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+SETTING = "spark.checkpoint.dir"
+
+
+def staging_dir(spark: SparkSession) -> str:
+    """The shared folder the cluster names; on one machine, a folder of our own."""
+    folder = spark.conf.get(SETTING, None) or spark.sparkContext.getCheckpointDir()
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"set {SETTING} to a folder that all executors share")
+    folder = tempfile.mkdtemp(prefix="folioflow-")
+    spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write a table once and go on from the file.
+
+    For results that are much smaller than their input and are used several times:
+    the input is read once, a lost executor costs no recomputation, and the table's
+    size is known to the joins that follow.
+    """
+    spark = df.sparkSession
+    path = f"{staging_dir(spark)}/folioflow-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

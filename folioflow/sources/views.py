@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from folioflow import fixed_values as V
 from folioflow.functions import text as T
 from folioflow.functions.scalars import part_indexes
-from folioflow.operators.joins import lookup_join, spread
+from folioflow.operators.joins import lookup_join, spread, unroll
 
 LISTENED_BOOKS = 20
 QUESTIONS = 21
@@ -72,7 +72,8 @@ class Views:
 
     def spans(self) -> DataFrame:
         """One text span per line of a document, 40 lines to a page."""
-        lines = self.docs().select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
+        split = self.docs().select("doc_id", F.split("text", "\n").alias("_lines"))
+        lines = unroll(split, ["doc_id"], "_lines", "pos", "text")
         row = F.col("pos") % 40
         return lines.select(
             "doc_id",
@@ -102,13 +103,15 @@ class Views:
             )
 
         pages = T.bind(F.split("text", "\n"), page_list)
-        return self.docs().select("doc_id", F.posexplode(pages).alias("page", "text"))
+        return unroll(
+            self.docs().select("doc_id", pages.alias("_pages")), ["doc_id"], "_pages", "page", "text"
+        )
 
     # --- catalog ---------------------------------------------------------
     def catalog(self) -> DataFrame:
         i = F.col("doc_id")
         key = i.cast("string")
-        return self.docs().select(
+        return self.table("documents").select(
             i.alias("id"),
             F.left(F.col("text"), F.lit(40)).alias("title"),
             F.nullif(F.col("source"), F.lit("src0")).alias("author"),
@@ -276,7 +279,7 @@ class Views:
         )
 
     def feed(self) -> DataFrame:
-        return self.docs().select(
+        return self.table("documents").select(
             F.col("doc_id").alias("id"),
             F.left(F.col("text"), F.lit(40)).alias("title"),
             F.substring(F.col("text"), 41, 160).alias("summary"),
@@ -310,7 +313,7 @@ class Views:
 
     def sources(self) -> DataFrame:
         words = F.split(F.left(F.col("text"), F.lit(40)), " ")
-        return self.docs().select(
+        return self.table("documents").select(
             F.col("doc_id").alias("id"),
             F.slice(words, F.lit(1), (F.col("doc_id") % 4).cast("int")).alias("authors"),
             (F.col("doc_id") % 35 + 1990).cast("int").alias("year"),
