@@ -40,7 +40,8 @@ EFFECT = {
 
 
 def _struct(types: dict[str, str], values: dict[str, Column]) -> Column:
-    return F.struct(*[values[name].cast(t).alias(name) for name, t in types.items()])
+    fields = [x for name, t in types.items() for x in (F.lit(name), values[name].cast(t))]
+    return F.named_struct(*fields)
 
 
 def _changed(types: dict[str, str], old: Column, **new: Column) -> Column:
@@ -158,7 +159,7 @@ def playback_fold(
     if start is None:
         before = fresh
     else:
-        kept = start.select(*KEY, F.struct(*[F.col(n).cast(t) for n, t in STATE.items()]).alias("_old"))
+        kept = start.select(*KEY, _struct(STATE, {n: F.col(n) for n in STATE}).alias("_old"))
         per_key = per_key.join(kept, KEY, "left")
         old = F.col("_old")
         before = _struct(STATE, {name: F.coalesce(old[name], F.lit(0)) for name in STATE})

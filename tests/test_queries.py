@@ -1,0 +1,44 @@
+"""Every registered query against its SQL, and what the plans must look like."""
+
+import pytest
+from compare import differences, duck
+
+import __spark_entry__ as entry_module
+from folioflow.plans.oracles import sql
+from folioflow.plans.queries import REGISTRY
+
+
+@pytest.fixture(scope="module")
+def con(small):
+    return duck(small)
+
+
+@pytest.mark.parametrize("name", sorted(REGISTRY))
+def test_query_equals_sql(spark, small, con, name):
+    assert differences(REGISTRY[name](spark, small), con, sql(name)) == ""
+
+
+def test_entry_and_contract(spark):
+    assert set(entry_module.oracle_sql()) == set(entry_module.queries())
+    assert entry_module.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("name", sorted(REGISTRY))
+def test_no_python_and_no_cross_join(spark, small, name):
+    plan = REGISTRY[name](spark, small)._jdf.queryExecution().executedPlan().toString()
+    for operator in ("Python", "Pandas", "CartesianProduct", "BroadcastNestedLoopJoin"):
+        assert operator not in plan
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_projection_reads_only_its_columns(spark, small):
+    plan = plan_of(REGISTRY["format_time"](spark, small))
+    assert "ReadSchema: struct<event_id:bigint,value:double>" in plan
+
+
+def test_category_filter_is_pushed(spark, small):
+    plan = plan_of(REGISTRY["scheduled_appointments"](spark, small))
+    assert "PushedFilters: [IsNotNull(o_orderstatus)" in plan
