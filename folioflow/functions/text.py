@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from folioflow import fixed_values as V
+from folioflow.functions import lists
 
 # A stripped line that ends in a page marker, or is a number between dashes or alone.
 PAGE_FURNITURE = (
@@ -101,7 +102,7 @@ def _fold_blocks(blocks: Column, max_chars: int) -> Column:
 
     def append(s: Column) -> Column:
         joined = F.concat(s["buf"], F.get(blocks, s["taken"]))
-        buf = F.when(F.size(s["parts"]) == 0, joined).otherwise(lstrip(joined))
+        buf = F.when(lists.is_empty(s["parts"]), joined).otherwise(lstrip(joined))
         return state(buf, s["taken"] + 1, s["parts"])
 
     def cut_length(window: Column) -> Column:
@@ -116,7 +117,7 @@ def _fold_blocks(blocks: Column, max_chars: int) -> Column:
             rest = F.substring(s["buf"], k + 1, F.lit(2 * max_chars))
             rest = F.when(s["taken"] >= n_blocks, strip(rest)).otherwise(lstrip(rest))
             part = strip(F.substring(s["buf"], F.lit(1), k))
-            return state(rest, s["taken"], F.concat(s["parts"], F.array(part)))
+            return state(rest, s["taken"], lists.append(s["parts"], part))
 
         return bind(bind(F.substring(s["buf"], 1, max_chars), cut_length), at_position)
 
@@ -124,19 +125,19 @@ def _fold_blocks(blocks: Column, max_chars: int) -> Column:
         full = F.length(s["buf"]) > max_chars
         return (
             F.when(~full & (s["taken"] < n_blocks), append(s))
-            .when(full | (F.size(s["parts"]) == 0), cut(s))
+            .when(full | lists.is_empty(s["parts"]), cut(s))
             .otherwise(s)
         )
 
-    start = state(F.lit(""), F.lit(0), F.array().cast("array<string>"))
+    start = state(F.lit(""), F.lit(0), lists.empty("string"))
     # Three parts in a row cover at least one window, and each block is taken once.
     steps = F.sequence(F.lit(1), n_blocks * 4 + 6)
     return F.aggregate(
         steps,
         start,
         step,
-        lambda s: F.when(s["buf"] == "", s["parts"]).otherwise(
-            F.concat(s["parts"], F.array(s["buf"]))
+        lambda s: lists.whole(
+            F.when(s["buf"] == "", s["parts"]).otherwise(lists.append(s["parts"], s["buf"]))
         ),
     )
 

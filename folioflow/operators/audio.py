@@ -13,15 +13,19 @@ AUDIO = ["book_id", "part_index", "voice"]
 
 
 def audio_plan(required: DataFrame, stored_text: DataFrame, stored_audio: DataFrame) -> DataFrame:
+    """State of every required (book, part, voice).
+
+    Stored voices come as one set per part, so both joins run on (book, part) and
+    the required rows are shuffled once.
+    """
     text = stored_text.select(*PART).distinct().withColumn("_text", F.lit(True))
-    audio = stored_audio.select(*AUDIO).distinct().withColumn("_audio", F.lit(True))
-    state = (
-        F.when(F.col("_audio"), "hit").when(F.col("_text"), "generate").otherwise("missing_text")
-    )
+    audio = stored_audio.groupBy(*PART).agg(F.collect_set("voice").alias("_voices"))
+    made = F.array_contains("_voices", F.col("voice"))
+    state = F.when(made, "hit").when(F.col("_text"), "generate").otherwise("missing_text")
     return (
         required.select(*AUDIO)
-        .join(audio, AUDIO, "left")
         .join(text, PART, "left")
+        .join(audio, PART, "left")
         .select(*AUDIO, state.alias("state"))
     )
 

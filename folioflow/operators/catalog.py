@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow import fixed_values as V
@@ -130,10 +130,11 @@ def catalog_search(books: DataFrame, query: str) -> DataFrame:
     return text_search(books, ["title", "author", "category"], query, trim=True)
 
 
-def category_list(spark, without: tuple[str, ...] = ()) -> DataFrame:
+def category_list(spark: SparkSession, without: tuple[str, ...] = ()) -> DataFrame:
     """The fixed category list with its order."""
-    rows = [(i, c) for i, c in enumerate(V.CATEGORIES) if c not in without]
-    return spark.createDataFrame(rows, "ord int, category string")
+    names = F.array(*[F.lit(c) for c in V.CATEGORIES])
+    listed = spark.range(1).select(F.posexplode(names).alias("ord", "category"))
+    return listed.where(~F.col("category").isin(*without)) if without else listed
 
 
 def used_categories(books: DataFrame) -> DataFrame:

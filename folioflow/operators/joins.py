@@ -16,6 +16,12 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(str(stats.sizeInBytes()))
 
 
+def input_bytes(df: DataFrame) -> int:
+    """Size of the tables a plan reads; Catalyst's estimate for a join is the product."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+
+
 def _bytes(setting: str) -> int:
     units = {"b": 1, "k": 2**10, "m": 2**20, "g": 2**30}
     text = setting.strip().lower().removesuffix("b") or "0"
@@ -37,7 +43,7 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
     split = _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
-    return df.repartition(cores, key) if estimated_bytes(df) < split * cores else df
+    return df.repartition(cores, key) if input_bytes(df) < split * cores else df
 
 
 def unroll(df: DataFrame, keep: list[str], array: str, position: str, value: str) -> DataFrame:

@@ -12,10 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioflow import fixed_values as V
+from folioflow.functions import lists
 from folioflow.functions import scalars as S
-from folioflow.functions.text import bind
+from folioflow.operators.joins import input_bytes
 
 KEY = ["user_id", "global_book_id"]
+CHUNK_BYTES = 64 * 2**20
 STATE = {
     "current_part_index": "int",
     "current_time": "double",
@@ -137,7 +139,8 @@ def playback_fold(
     at most one summary per chunk. `start` is an earlier snapshot to go on from.
     """
     if chunks is None:
-        chunks = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        least = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        chunks = max(least, input_bytes(events) // CHUNK_BYTES)
     chunked = events.repartitionByRange(chunks, *KEY, "ts", "event_id").withColumn(
         "_chunk", F.spark_partition_id()
     )
@@ -169,6 +172,17 @@ def playback_fold(
     return per_key.select(*KEY, after.alias("_state")).select(*KEY, "_state.*")
 
 
+def saved_events(events: DataFrame, gap_ms: int = V.SAVE_GAP_MS, **throttle) -> DataFrame:
+    """Events that change the stored progress: all but the ticks the throttle holds back."""
+    is_tick = F.col("kind") == "tick"
+    ticks = events.where(is_tick)
+    saved = tick_throttle(
+        ticks.select("user_id", "ts", F.col("event_id").alias("tick_id")), gap_ms, **throttle
+    ).select("user_id", F.col("tick_id").alias("event_id"))
+    kept = ticks.join(saved, ["user_id", "event_id"], "left_semi").select(*events.columns)
+    return kept.unionByName(events.where(~is_tick))
+
+
 def tick_throttle(
     ticks: DataFrame,
     gap_ms: int = V.SAVE_GAP_MS,
@@ -188,6 +202,7 @@ def tick_throttle(
     save before every bucket, and then the buckets are worked off side by side.
     `start` (user_id, last_save) continues from earlier saves.
     """
+    id_type = ticks.schema["tick_id"].dataType.simpleString()
     clock = F.unix_millis(F.col("ts").cast("timestamp"))
     known = F.col("user_id").isNotNull() & F.col("ts").isNotNull()
     timed = ticks.where(known).select("user_id", "tick_id", clock.alias("clock"))
@@ -232,34 +247,34 @@ def tick_throttle(
         entry = F.struct(b["bucket"].alias("bucket"), s["last"].alias("last_before"))
         return F.struct(
             F.coalesce(passing["last"], s["last"]).alias("last"),
-            F.concat(s["entries"], F.array(entry)).alias("entries"),
+            lists.append(s["entries"], entry).alias("entries"),
         )
 
     entries = F.aggregate(
         F.col("_buckets"),
         F.struct(
             before.alias("last"),
-            F.array().cast("array<struct<bucket:bigint,last_before:bigint>>").alias("entries"),
+            lists.empty("struct<bucket:bigint,last_before:bigint>").alias("entries"),
         ),
         walk,
-        lambda s: s["entries"],
+        lambda s: lists.whole(s["entries"]),
     )
     entering = per_user.select("user_id", F.inline_outer(entries)).where(
         F.col("bucket").isNotNull()
     )
 
     def keep(s: Column, t: Column) -> Column:
-        saved = F.struct(t["clock"].alias("last"), F.concat(s["saved"], F.array(t)).alias("saved"))
+        saved = F.struct(t["clock"].alias("last"), lists.append(s["saved"], t).alias("saved"))
         return F.when(t["clock"] > s["last"] + gap_ms, saved).otherwise(s)
 
     saved = F.aggregate(
         F.col("_ticks"),
         F.struct(
             F.col("last_before").alias("last"),
-            F.array().cast("array<struct<clock:bigint,tick_id:bigint>>").alias("saved"),
+            lists.empty(f"struct<clock:bigint,tick_id:{id_type}>").alias("saved"),
         ),
         keep,
-        lambda s: s["saved"],
+        lambda s: lists.whole(s["saved"]),
     )
     # Every bucket has its entry. The left join, unlike an inner one, adds no null
     # checks below `buckets`, so both uses of it share one shuffle.

@@ -183,10 +183,10 @@ candidates AS (
   FROM accepted a JOIN counts c USING (upload_id))"""
 
 FOLD = f"""ev AS (
-  SELECT *, row_number() OVER (PARTITION BY user_id, global_book_id ORDER BY ts, event_id) AS rn FROM listening),
+  SELECT *, row_number() OVER (PARTITION BY user_id, global_book_id ORDER BY ts, event_id) AS rn FROM {{source}}),
 f AS (
   SELECT DISTINCT user_id, global_book_id, CAST(0 AS BIGINT) AS rn, 0 AS current_part_index,
-    0e0 AS "current_time", 0e0 AS total_time, 0 AS progress FROM listening
+    0e0 AS "current_time", 0e0 AS total_time, 0 AS progress FROM {{source}}
   UNION ALL
   SELECT f.user_id, f.global_book_id, ev.rn,
     CASE WHEN kind = 'restart' THEN 0
@@ -205,7 +205,7 @@ f AS (
 
 THROTTLE = f"""tk AS (
   SELECT user_id, event_id AS tick_id, epoch_us(ts) // 1000 AS clock,
-    row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS rn FROM events),
+    row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS rn FROM {{source}}),
 walk AS (
   SELECT user_id, tick_id, clock, rn, clock AS last, true AS saved FROM tk WHERE rn = 1
   UNION ALL
@@ -214,6 +214,9 @@ walk AS (
     t.clock - w.last > {THROTTLE_GAP_MS}
   FROM walk w JOIN tk t ON t.user_id = w.user_id AND t.rn = w.rn + 1)"""
 
+LAST_STATE = """SELECT user_id, global_book_id, current_part_index, "current_time", total_time, progress FROM f
+        QUALIFY row_number() OVER (PARTITION BY user_id, global_book_id ORDER BY rn DESC) = 1"""
+
 MAIN_SIZE = """weights AS (
   SELECT doc_id, round(size, 1) AS size, sum(length(trim(text, {spaces}))) AS weight, min([page, block]) AS seen
   FROM spans WHERE block_type = 0 AND page < {sample} AND length(trim(text, {spaces})) > 2 GROUP BY 1, 2),
@@ -352,10 +355,14 @@ QUERIES = {
     "seek_clamp": """SELECT event_id,
           least(value + 15, CASE WHEN event_id % 4 <> 0 THEN 3e1 ELSE 0e0 END) AS forward,
           greatest(value - 15, 0e0) AS backward FROM events""",
-    "playback_fold": f"""WITH RECURSIVE {FOLD}
-        SELECT user_id, global_book_id, current_part_index, "current_time", total_time, progress FROM f
-        QUALIFY row_number() OVER (PARTITION BY user_id, global_book_id ORDER BY rn DESC) = 1""",
-    "tick_throttle": f"WITH RECURSIVE {THROTTLE} SELECT user_id, tick_id, clock FROM walk WHERE saved",
+    "playback_fold": f"WITH RECURSIVE {FOLD.format(source='listening')} {LAST_STATE}",
+    "playback_saved": f"""WITH RECURSIVE listened_ticks AS (SELECT * FROM listening WHERE kind = 'tick'),
+        {THROTTLE.format(source='listened_ticks')},
+        saved_events AS (SELECT * FROM listening
+          WHERE kind <> 'tick' OR event_id IN (SELECT tick_id FROM walk WHERE saved)),
+        {FOLD.format(source='saved_events')} {LAST_STATE}""",
+    "tick_throttle": f"""WITH RECURSIVE {THROTTLE.format(source='events')}
+        SELECT user_id, tick_id, clock FROM walk WHERE saved""",
     "responses_latest": """SELECT session, question, value,
           CAST(row_number() OVER (PARTITION BY session ORDER BY ts, event_id) AS INTEGER) AS position,
           (question + 1) / 21e0 * 100 AS answer_progress FROM answers""",

@@ -229,6 +229,12 @@ def playback_fold(v: Views) -> DataFrame:
     return playback.playback_fold(v.listening())
 
 
+@query
+def playback_saved(v: Views) -> DataFrame:
+    saved = playback.saved_events(v.listening(), THROTTLE_GAP_MS, bucket_ms=THROTTLE_BUCKET_MS)
+    return playback.playback_fold(saved)
+
+
 @query
 def tick_throttle(v: Views) -> DataFrame:
     return playback.tick_throttle(v.ticks(), THROTTLE_GAP_MS, THROTTLE_BUCKET_MS)

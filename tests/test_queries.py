@@ -39,6 +39,6 @@ def test_projection_reads_only_its_columns(spark, small):
     assert "ReadSchema: struct<event_id:bigint,value:double>" in plan
 
 
-def test_category_filter_is_pushed(spark, small):
-    plan = plan_of(REGISTRY["scheduled_appointments"](spark, small))
-    assert "PushedFilters: [IsNotNull(o_orderstatus)" in plan
+def test_filter_is_pushed(spark, small):
+    plan = plan_of(REGISTRY["library_remove"](spark, small))
+    assert "PushedFilters: [IsNotNull(event_type), EqualTo(event_type,error)" in plan
