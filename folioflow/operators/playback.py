@@ -14,10 +14,9 @@ from pyspark.sql import functions as F
 from folioflow import fixed_values as V
 from folioflow.functions import lists
 from folioflow.functions import scalars as S
-from folioflow.operators.joins import input_bytes
 
 KEY = ["user_id", "global_book_id"]
-CHUNK_BYTES = 64 * 2**20
+CHUNK_ROWS = 2**18
 STATE = {
     "current_part_index": "int",
     "current_time": "double",
@@ -129,29 +128,37 @@ def apply_effect(state: Column, effect: Column, parts: Column) -> Column:
 
 
 def playback_fold(
-    events: DataFrame, start: DataFrame | None = None, chunks: int | None = None
+    events: DataFrame, start: DataFrame | None = None, chunk_rows: int = CHUNK_ROWS
 ) -> DataFrame:
     """Progress snapshot per (user, book) from all of its player events.
 
     `events` has user_id, global_book_id, ts, event_id, kind, value and parts.
-    A range partitioning by key and time gives `chunks` chunks of about equal size
-    and may cut a key with many events in several of them. The second group holds
-    at most one summary per chunk. `start` is an earlier snapshot to go on from.
+    A range partitioning by key and time may cut a key with many events in several
+    partitions, and each sorted partition is cut in chunks of at most `chunk_rows`
+    events. The second group holds one summary per chunk of a key. `start` is an
+    earlier snapshot to go on from.
     """
-    if chunks is None:
-        least = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        chunks = max(least, input_bytes(events) // CHUNK_BYTES)
-    chunked = events.repartitionByRange(chunks, *KEY, "ts", "event_id").withColumn(
-        "_chunk", F.spark_partition_id()
+    partitions = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [*KEY, "ts", "event_id"]
+    # The low 33 bits of the id are the row's number in its sorted partition.
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit(2**33 - 1))
+    chunked = (
+        events.repartitionByRange(partitions, *order)
+        .sortWithinPartitions(*order)
+        .withColumn("_partition", F.spark_partition_id())
+        .withColumn("_slice", F.floor(row / chunk_rows))
     )
     effects = (
-        chunked.groupBy(*KEY, "_chunk")
+        chunked.groupBy(*KEY, "_partition", "_slice")
         .agg(
             F.max("parts").alias("parts"),
             F.sort_array(F.collect_list(F.struct("ts", "event_id", "kind", "value"))).alias("_events"),
         )
         .select(
-            *KEY, "_chunk", "parts", chunk_effect(F.col("_events"), F.col("parts")).alias("_effect")
+            *KEY,
+            F.struct("_partition", "_slice").alias("_chunk"),
+            "parts",
+            chunk_effect(F.col("_events"), F.col("parts")).alias("_effect"),
         )
     )
     per_key = effects.groupBy(*KEY).agg(
@@ -223,10 +230,11 @@ def tick_throttle(
         )
 
     first = F.get(F.col("_ticks"), F.lit(0))["clock"]
-    reachable = F.when(
-        first - F.col("bucket") < gap_ms,
-        F.size(F.filter("_ticks", lambda t: t["clock"] < first + gap_ms)) + 1,
-    ).otherwise(1)
+    # A save in an earlier bucket reaches at most one gap past the bucket's begin; one
+    # in `start` may lie in the same bucket.
+    reachable = F.size(F.filter("_ticks", lambda t: t["clock"] < first + gap_ms)) + 1
+    if start is None:
+        reachable = F.when(first - F.col("bucket") < gap_ms, reachable).otherwise(1)
     moves = F.transform(
         F.slice("_ticks", F.lit(1), reachable),
         lambda t: F.struct(t["clock"].alias("first"), last_save(t["clock"]).alias("last")),

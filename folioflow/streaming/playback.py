@@ -1,7 +1,10 @@
 """Playback streams: the save throttle and the progress snapshot.
 
-A trigger's size is bounded at the source (maxFilesPerTrigger, maxBytesPerTrigger
-or maxOffsetsPerTrigger); that bounds what one key can bring into one batch.
+`throttle_stream` keeps its clocks in the state store. The rows of one user in one
+trigger meet in one task there, so bound the trigger's size at the source
+(maxFilesPerTrigger, maxBytesPerTrigger or maxOffsetsPerTrigger). `throttle_sink` and
+`progress_sink` run the batch operators on each trigger instead, which split users
+with many events, and keep their state as table versions.
 """
 
 from __future__ import annotations
@@ -9,13 +12,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from folioflow import fixed_values as V
 from folioflow.operators.joins import lookup_join
-from folioflow.operators.playback import KEY, STATE, playback_fold
+from folioflow.operators.playback import KEY, STATE, playback_fold, tick_throttle
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -83,34 +86,74 @@ def read_snapshot(spark: SparkSession, root: str, batch: int) -> DataFrame:
     return spark.read.parquet(snapshot_path(root, batch))
 
 
+def _split_late(
+    rows: DataFrame, before: DataFrame, keys: list[str], is_late: Column, id_column: str
+) -> tuple[DataFrame, DataFrame]:
+    """Rows on time and rows that are late against the `_seen` of their key."""
+    joined = lookup_join(rows, before, keys, spread_on=[id_column])
+    late = F.coalesce(is_late, F.lit(False))
+    return joined.where(~late).drop("_seen"), joined.where(late).drop("_seen")
+
+
+def _overwrite(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").parquet(path)
+
+
+def throttle_sink(root: str, gap_ms: int = V.SAVE_GAP_MS, **throttle):
+    """foreachBatch function that writes the saved ticks of (user_id, tick_id, ts).
+
+    Batch n reads version n-1 of the users' clocks and writes version n, its saved
+    ticks under `saved` and its late ticks under `late`, so a repeated batch writes
+    the same again. A tick older than one of an earlier batch is late.
+    """
+
+    def apply(ticks: DataFrame, batch: int) -> None:
+        spark = ticks.sparkSession
+        clock = F.unix_millis(F.col("ts").cast("timestamp"))
+        before = None
+        if batch > 0:
+            before = read_snapshot(spark, root, batch - 1)
+            seen = before.select("user_id", F.col("last_seen").alias("_seen"))
+            ticks, late = _split_late(ticks, seen, ["user_id"], clock < F.col("_seen"), "tick_id")
+            _overwrite(late, f"{root}/late/batch={batch}")
+        saved_path = f"{root}/saved/batch={batch}"
+        _overwrite(tick_throttle(ticks, gap_ms, start=before, **throttle), saved_path)
+        saves = spark.read.parquet(saved_path).groupBy("user_id").agg(F.max("clock").alias("last_save"))
+        clocks = ticks.groupBy("user_id").agg(F.max(clock).alias("last_seen"))
+        clocks = clocks.join(saves, "user_id", "left")
+        if before is not None:
+            clocks = clocks.unionByName(before)
+        _overwrite(
+            clocks.groupBy("user_id").agg(
+                F.max("last_save").alias("last_save"), F.max("last_seen").alias("last_seen")
+            ),
+            snapshot_path(root, batch),
+        )
+
+    return apply
+
+
 def progress_sink(root: str):
     """foreachBatch function that keeps a progress snapshot under `root`.
 
     Batch n reads version n-1 and writes version n, so a repeated batch gives the
-    same version. The fold is the batch operator, which splits keys with many events.
-    Events older than the last one applied to their key change nothing; they are
-    kept under `late`.
+    same version. Events older than the last one applied to their key change nothing;
+    they are kept under `late`.
     """
 
     def apply(events: DataFrame, batch: int) -> None:
         spark = events.sparkSession
         order = F.struct("ts", "event_id")
-        if batch == 0:
-            on_time, before = events, None
-        else:
+        before = None
+        if batch > 0:
             before = read_snapshot(spark, root, batch - 1)
             seen = before.select(*KEY, F.col("last_event").alias("_seen"))
-            events = lookup_join(events, seen, KEY, spread_on=["event_id"])
-            is_late = F.coalesce(order <= F.col("_seen"), F.lit(False))
-            late = events.where(is_late).drop("_seen")
-            late.write.mode("overwrite").parquet(f"{root}/late/batch={batch}")
-            on_time = events.where(~is_late).drop("_seen")
-        last = on_time.groupBy(*KEY).agg(F.max(order).alias("last_event"))
-        state = playback_fold(on_time, start=before).join(last, KEY, "inner")
+            events, late = _split_late(events, seen, KEY, order <= F.col("_seen"), "event_id")
+            _overwrite(late, f"{root}/late/batch={batch}")
+        last = events.groupBy(*KEY).agg(F.max(order).alias("last_event"))
+        state = playback_fold(events, start=before).join(last, KEY, "inner")
         if before is not None:
             state = state.unionByName(before.join(last.select(*KEY), KEY, "left_anti"))
-        state.select(*KEY, *STATE, "last_event").write.mode("overwrite").parquet(
-            snapshot_path(root, batch)
-        )
+        _overwrite(state.select(*KEY, *STATE, "last_event"), snapshot_path(root, batch))
 
     return apply

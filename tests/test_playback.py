@@ -46,10 +46,10 @@ def as_dict(df):
     return {(r.user_id, r.global_book_id): tuple(r[n] for n in names) for r in df.collect()}
 
 
-@pytest.mark.parametrize("chunks", [1, 5, 60])
-def test_fold_equals_loop(spark, chunks):
-    rows = make_events(3000, seed=chunks)
-    got = as_dict(playback_fold(spark.createDataFrame(rows, SCHEMA), chunks=chunks))
+@pytest.mark.parametrize("chunk_rows", [1, 7, 100, 10_000])
+def test_fold_equals_loop(spark, chunk_rows):
+    rows = make_events(3000, seed=chunk_rows)
+    got = as_dict(playback_fold(spark.createDataFrame(rows, SCHEMA), chunk_rows=chunk_rows))
     assert got == {k: fold(e, PARTS[k[1]]) for k, e in by_key(rows).items()}
 
 
@@ -57,14 +57,16 @@ def test_fold_goes_on_from_a_snapshot(spark):
     rows = make_events(1200, seed=11)
     cut = START + timedelta(seconds=200)
     df = spark.createDataFrame(rows, SCHEMA)
-    first = playback_fold(df.where(F.col("ts") < F.lit(cut)), chunks=7)
-    rest = as_dict(playback_fold(df.where(F.col("ts") >= F.lit(cut)), start=first, chunks=7))
+    first = playback_fold(df.where(F.col("ts") < F.lit(cut)), chunk_rows=7)
+    rest = as_dict(playback_fold(df.where(F.col("ts") >= F.lit(cut)), start=first, chunk_rows=7))
     want = {k: fold(e, PARTS[k[1]]) for k, e in by_key(rows).items()}
     assert rest and all(want[k] == state for k, state in rest.items())
 
 
 def test_a_hot_key_is_cut_into_chunks(spark):
     df = spark.createDataFrame(make_events(3000, seed=2), SCHEMA)
+    plan = playback_fold(df)._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning(user_id" in plan and "Sort [user_id" in plan
     ranged = df.repartitionByRange(10, "user_id", "global_book_id", "ts", "event_id")
     sizes = [r["count"] for r in ranged.groupBy(F.spark_partition_id()).count().collect()]
     assert len(sizes) == 10 and max(sizes) < 2 * 3000 / 10
@@ -106,10 +108,11 @@ def test_throttle_equals_loop(spark, gap, bucket):
     assert dict(got) == {u: throttle(t, gap) for u, t in groups.items()}
 
 
-def test_throttle_goes_on_from_earlier_saves(spark):
+@pytest.mark.parametrize("seconds", [100, 111.3, 250.9])
+def test_throttle_goes_on_from_earlier_saves(spark, seconds):
     rows = make_ticks(4)
     ticks = spark.createDataFrame(rows, "user_id int, ts timestamp_ntz, tick_id long")
-    cut = START + timedelta(seconds=100)
+    cut = START + timedelta(seconds=seconds)
     early, late = ticks.where(F.col("ts") < F.lit(cut)), ticks.where(F.col("ts") >= F.lit(cut))
     first = tick_throttle(early, 3000, 20_000)
     last = first.groupBy("user_id").agg(F.max("clock").alias("last_save"))

@@ -6,7 +6,13 @@ from playback_by_hand import fold
 
 from folioflow.operators.playback import playback_fold, tick_throttle
 from folioflow.streaming.intake import new_uploads
-from folioflow.streaming.playback import progress_sink, read_snapshot, snapshot_path, throttle_stream
+from folioflow.streaming.playback import (
+    progress_sink,
+    read_snapshot,
+    snapshot_path,
+    throttle_sink,
+    throttle_stream,
+)
 
 
 def write_slices(spark, df, folder, column, cuts):
@@ -60,6 +66,34 @@ def test_throttle_stream_marks_late_ticks(spark, tmp_path):
     assert got.where("late").count() == early.count()
 
 
+def test_throttle_sink_equals_batch(spark, tmp_path):
+    rows = make_ticks(9)
+    ticks = spark.createDataFrame(rows, "user_id int, ts timestamp_ntz, tick_id long")
+    root = str(tmp_path / "state")
+    stream = write_slices(spark, ticks, str(tmp_path / "in"), "ts", times(rows, 1, 3))
+    sink = throttle_sink(root, 3000, bucket_ms=30_000)
+    run(stream.writeStream.foreachBatch(sink), tmp_path)
+    got = spark.read.parquet(f"{root}/saved").drop("batch")
+    assert sorted(got.collect()) == sorted(tick_throttle(ticks, 3000, 30_000).collect())
+    assert spark.read.parquet(f"{root}/late").count() == 0
+    clocks = {r.user_id: r.last_save for r in read_snapshot(spark, root, 2).collect()}
+    want = got.groupBy("user_id").agg(F.max("clock").alias("c")).collect()
+    assert clocks == {r.user_id: r.c for r in want}
+
+
+def test_throttle_sink_sets_late_ticks_aside(spark, tmp_path):
+    rows = make_ticks(9)
+    ticks = spark.createDataFrame(rows, "user_id int, ts timestamp_ntz, tick_id long")
+    cut = times(rows, 1, 2)[0]
+    root = str(tmp_path)
+    sink = throttle_sink(root, 3000)
+    sink(ticks.where(F.col("ts") >= F.lit(cut)), 0)
+    early = ticks.where(F.col("ts") < F.lit(cut))
+    sink(early, 1)
+    known = read_snapshot(spark, root, 0).select("user_id")
+    assert spark.read.parquet(f"{root}/late/batch=1").count() == early.join(known, "user_id", "left_semi").count()
+
+
 def test_progress_sink_equals_batch(spark, tmp_path):
     rows = make_events(1500, seed=21)
     events = spark.createDataFrame(rows, SCHEMA)
