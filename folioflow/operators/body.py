@@ -75,15 +75,14 @@ def _joined(rows: Column, separator: str) -> Column:
 
 def page_preview(pages: DataFrame, key: str) -> DataFrame:
     """First pages as they are, next to a cleaned sample of the document."""
-    totals = pages.groupBy(key).agg(
-        (F.max("page") + 1).alias("total_pages"),
-        *[
-            F.max(F.when(F.col("page") == p, F.col("text"))).alias(f"_p{p}")
-            for p in range(V.PREVIEW_CLEAN_PAGES)
-        ],
+    totals = pages.groupBy(key).agg((F.max("page") + 1).alias("total_pages"))
+    samples = (
+        pages.where(F.col("page") < V.PREVIEW_CLEAN_PAGES)
+        .groupBy(key)
+        .agg(_in_order(F.struct("page", "text"), "\n").alias("_sample"))
+        .select(key, T.clean_text(F.col("_sample")).alias("_cleaned"))
     )
-    sample = F.concat_ws("\n", *[f"_p{p}" for p in range(V.PREVIEW_CLEAN_PAGES)])
-    docs = totals.select(key, "total_pages", T.clean_text(sample).alias("_cleaned")).select(
+    docs = totals.join(samples, key, "left").select(
         key,
         "total_pages",
         F.length("_cleaned").alias("cleaned_text_length"),

@@ -138,12 +138,11 @@ def playback_fold(
     events. The second group holds one summary per chunk of a key. `start` is an
     earlier snapshot to go on from.
     """
-    partitions = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = [*KEY, "ts", "event_id"]
     # The low 33 bits of the id are the row's number in its sorted partition.
     row = F.monotonically_increasing_id().bitwiseAND(F.lit(2**33 - 1))
     chunked = (
-        events.repartitionByRange(partitions, *order)
+        events.repartitionByRange(*order)
         .sortWithinPartitions(*order)
         .withColumn("_partition", F.spark_partition_id())
         .withColumn("_slice", F.floor(row / chunk_rows))

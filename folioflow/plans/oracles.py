@@ -97,7 +97,7 @@ VIEWS = {
         FROM lines""",
     "page_texts": f"""SELECT doc_id, pos // 40 AS page, string_agg(text, {NL} ORDER BY pos) AS text
         FROM lines GROUP BY ALL""",
-    "catalog": f"""SELECT doc_id AS id, left(text, 40) AS title, nullif(source, 'src0') AS author,
+    "catalog": f"""SELECT doc_id AS id, split_part(text, chr(10), 1) AS title, nullif(source, 'src0') AS author,
         CASE WHEN doc_id % 4 <> 1 THEN 'cover/' || doc_id END AS cover_url, 'b' || doc_id AS book_id,
         CASE WHEN doc_id % 10 <> 0 THEN CAST(ceil(n_chars / 3.8e3) AS INTEGER) END AS parts_count,
         CASE doc_id % 3 WHEN 1 THEN '{V.DEFAULT_VOICE}' WHEN 2 THEN 'es-ES-ElviraNeural' END AS voice,
@@ -142,7 +142,7 @@ VIEWS = {
           WHEN '3-MEDIUM' THEN 'followup' ELSE o_orderpriority END AS type,
         CASE o_orderstatus WHEN 'O' THEN 'scheduled' WHEN 'F' THEN 'completed' ELSE 'cancelled' END AS status
         FROM orders""",
-    "feed": """SELECT doc_id AS id, left(text, 40) AS title, substring(text, 41, 160) AS summary, source,
+    "feed": """SELECT doc_id AS id, split_part(text, chr(10), 1) AS title, text AS summary, source,
         upper(lang) AS category, CASE WHEN doc_id % 3 <> 0 THEN doc_id % 5 = 0 END AS is_new FROM documents""",
     "tests": """SELECT p_partkey AS id, p_name AS name, p_brand AS short_name,
         ['cognitive', 'personality', 'mood', 'anxiety', 'trauma', 'other'][p_size % 6 + 1] AS category,
@@ -150,7 +150,7 @@ VIEWS = {
         ['minimal', 'mild', 'moderate', 'severe', 'none'][p_size % 5 + 1] AS severity FROM part""",
     "messages": """SELECT conv_id, turn, role, CASE WHEN turn % 3 = 2 THEN 'evidence' ELSE 'reasoning' END AS type,
         CASE WHEN turn % 5 = 4 THEN ' ' || chr(9) || ' ' ELSE text END AS content FROM conversations""",
-    "sources": """SELECT doc_id AS id, string_split(left(text, 40), ' ')[1:CAST(doc_id % 4 AS INTEGER)] AS authors,
+    "sources": """SELECT doc_id AS id, string_split(split_part(text, chr(10), 1), ' ')[1:CAST(doc_id % 4 AS INTEGER)] AS authors,
         CAST(doc_id % 35 + 1990 AS INTEGER) AS year FROM documents""",
     "accounts": """SELECT c_custkey AS id,
         CASE c_custkey % 3 WHEN 1 THEN '' WHEN 2 THEN c_name END AS full_name,

@@ -5,7 +5,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow import fixed_values as V
@@ -19,6 +19,10 @@ PLAN_VOICE = "v1"
 EPOCH = "timestamp_ntz'2024-01-01 00:00:00'"
 
 
+def _first_line() -> Column:
+    return F.split_part(F.col("text"), F.lit("\n"), F.lit(1))
+
+
 class Views:
     """Lazy DataFrames over one directory of driver tables."""
 
@@ -113,7 +117,7 @@ class Views:
         key = i.cast("string")
         return self.table("documents").select(
             i.alias("id"),
-            F.left(F.col("text"), F.lit(40)).alias("title"),
+            _first_line().alias("title"),
             F.nullif(F.col("source"), F.lit("src0")).alias("author"),
             F.when(i % 4 != 1, F.concat(F.lit("cover/"), key)).alias("cover_url"),
             F.concat(F.lit("b"), key).alias("book_id"),
@@ -281,8 +285,8 @@ class Views:
     def feed(self) -> DataFrame:
         return self.table("documents").select(
             F.col("doc_id").alias("id"),
-            F.left(F.col("text"), F.lit(40)).alias("title"),
-            F.substring(F.col("text"), 41, 160).alias("summary"),
+            _first_line().alias("title"),
+            F.col("text").alias("summary"),
             "source",
             F.upper("lang").alias("category"),
             F.when(F.col("doc_id") % 3 != 0, F.col("doc_id") % 5 == 0).alias("is_new"),
@@ -312,7 +316,7 @@ class Views:
         )
 
     def sources(self) -> DataFrame:
-        words = F.split(F.left(F.col("text"), F.lit(40)), " ")
+        words = F.split(_first_line(), " ")
         return self.table("documents").select(
             F.col("doc_id").alias("id"),
             F.slice(words, F.lit(1), (F.col("doc_id") % 4).cast("int")).alias("authors"),
