@@ -118,5 +118,10 @@ def long_date_es(ts: Column) -> Column:
     )
 
 
+def iso_timestamp(text: Column) -> Column:
+    """Instant of an ISO 8601 string, null if it is none."""
+    return F.try_to_timestamp(text)
+
+
 def clock_es(ts: Column) -> Column:
     return F.date_format(ts, "HH:mm")

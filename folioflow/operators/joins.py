@@ -38,12 +38,14 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     """Spread a small input over all cores before heavy per-row work.
 
     A table of one row group arrives as a single task. Inputs beyond one read
-    split per core are already spread by the scan and are left as they are.
+    split per core, or of one file per core, are already spread by the scan and are
+    left as they are.
     """
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
     split = _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
-    return df.repartition(cores, key) if input_bytes(df) < split * cores else df
+    small = input_bytes(df) < split * cores
+    return df.repartition(cores, key) if small and len(df.inputFiles()) < cores else df
 
 
 def unroll(df: DataFrame, keep: list[str], array: str, position: str, value: str) -> DataFrame:

@@ -296,6 +296,8 @@ def test_small_expressions(spark):
         S.display_name(F.lit(""), F.lit("ana@x.org")).alias("name"),
         S.display_name(F.lit(None).cast("string"), F.lit("plain")).alias("no_at"),
         S.long_date_es(F.expr("timestamp_ntz'2026-01-31 10:30:59'")).alias("date"),
+        S.clock_es(S.iso_timestamp(F.lit("2026-01-31T10:30:00+02:00"))).alias("from_iso"),
+        S.iso_timestamp(F.lit("soon")).alias("not_iso"),
         S.label(F.lit("?"), V.TEST_CATEGORY_LABELS).alias("raw_code"),
         S.label(F.lit("?"), V.SEVERITY_LABELS, fallback=False).alias("no_label"),
         *[S.overlap_band(F.lit(p)).alias(f"band{p}") for p in (70, 69, 50, 49)],
@@ -308,6 +310,8 @@ def test_small_expressions(spark):
         "name": "ana",
         "no_at": "plain",
         "date": "31 de enero de 2026, 10:30",
+        "from_iso": "08:30",
+        "not_iso": None,
         "raw_code": "?",
         "no_label": None,
         "band70": "destructive",
