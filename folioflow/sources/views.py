@@ -20,7 +20,7 @@ EPOCH = "timestamp_ntz'2024-01-01 00:00:00'"
 
 
 def _first_line() -> Column:
-    return F.split_part(F.col("text"), F.lit("\n"), F.lit(1))
+    return F.substring_index(F.col("text"), "\n", 1)
 
 
 class Views:
@@ -115,7 +115,7 @@ class Views:
     def catalog(self) -> DataFrame:
         i = F.col("doc_id")
         key = i.cast("string")
-        return self.table("documents").select(
+        return self.docs().select(
             i.alias("id"),
             _first_line().alias("title"),
             F.nullif(F.col("source"), F.lit("src0")).alias("author"),
