@@ -1,0 +1,100 @@
+import struct
+
+import pytest
+import zstandard
+from compare import differences, duck
+
+from folioflow.llm import warc_zstd as W
+
+
+def test_query_equals_sql(spark, sf):
+    assert differences(W.op10_warc(spark, sf), duck(sf), W.OP10_SQL) == ""
+
+
+def round_trip(df, **more):
+    records = W.as_records(df, "page_id", "url", "html")
+    return W.read_archives(W.write_archives(records, W.sample_dictionary(records), **more)).collect()
+
+
+def test_edges(spark):
+    long = "é\r\n\r\n" * 40
+    rows = [
+        (3, "http://a/ b\r\nX: y", long, b"x"),
+        (2, None, long, b"x"),
+        (2, None, long, b"x"),
+        (5, "u", "short", b"x"),
+        (6, "u", "short", b"x"),
+        (7, "u", None, b"x"),
+        (8, "u", "", b"x"),
+        (None, "u", long, b"x"),
+        (9, "u", "z" * 3_000_000, b"x"),
+    ]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, digest binary").repartition(3)
+    got = round_trip(df, archive_bytes=200)
+    seen = sorted((r["record_id"], r["record_type"], r["refers_to"] or "", r["full_bytes"]) for r in got)
+    n = len(long.encode())
+    assert seen == [
+        ("urn:page:", "revisit", "urn:page:2", n),
+        ("urn:page:2", "response", "", n),
+        ("urn:page:2", "response", "", n),
+        ("urn:page:3", "revisit", "urn:page:2", n),
+        ("urn:page:5", "response", "", 5),
+        ("urn:page:6", "response", "", 5),
+        ("urn:page:7", "response", "", 0),
+        ("urn:page:8", "response", "", 0),
+        ("urn:page:9", "response", "", 3_000_000),
+    ]
+    texts = {r["record_id"]: r["payload"] for r in got if r["record_type"] == "response"}
+    assert texts["urn:page:2"].decode() == long and texts["urn:page:9"] == b"z" * 3_000_000
+    assert {r["target_uri"] for r in got} == {None, "u", "http://a/%20b%0D%0AX:%20y"}
+    assert round_trip(df.where("false")) == []
+
+
+def test_files_through_binary_source(spark, tmp_path):
+    df = spark.createDataFrame([(i, "u", f"<p>{i}</p>" * 30) for i in range(50)], "page_id long, url string, html string")
+    records = W.as_records(df, "page_id", "url", "html")
+    for r in W.write_archives(records, W.sample_dictionary(records)).collect():
+        assert struct.unpack_from("<I", r["content"])[0] == W.SKIPPABLE
+        (tmp_path / r["path"]).write_bytes(r["content"])
+    files = spark.read.format("binaryFile").load(str(tmp_path))
+    assert {r["record_id"] for r in W.read_archives(files).collect()} == {f"urn:page:{i}" for i in range(50)}
+
+
+def record(**change):
+    row = {"record_id": "urn:page:1", "record_type": "response", "refers_to": None, "target_uri": "u", "full_bytes": 3}
+    row |= {"digest": "ba7816bf8f01cfea414140de5dae2223b00361a396177a9cb410ff61f20015ad", "payload": b"abc"}
+    return W._record(row | change, "2024-01-01T00:00:00Z")
+
+
+def test_dictionary_may_be_compressed_or_absent():
+    words = zstandard.ZstdCompressionDict(W.FIRST_WORDS)
+    packed = zstandard.ZstdCompressor().compress(W.FIRST_WORDS)
+    frame = zstandard.ZstdCompressor(dict_data=words).compress(record())
+    with_dict = struct.pack("<II", W.SKIPPABLE, len(packed)) + packed + frame + frame
+    assert list(W.frames(with_dict)) == [record(), record()]
+    assert list(W.frames(zstandard.ZstdCompressor().compress(record()))) == [record()]
+
+
+@pytest.mark.parametrize(
+    "bad",
+    [
+        record()[:-1],
+        record().replace(b"WARC/1.1", b"WARC/7.1"),
+        record().replace(b"abc\r\n", b"abd\r\n"),
+        record().replace(b"WARC-Date", b"No-Date"),
+        record(full_bytes=4),
+        record(record_type="revisit", payload=None).replace(b"WARC-Refers-To", b"X"),
+        record().replace(b"Content-Length: ", b"Content-Length: x"),
+        b"",
+    ],
+)
+def test_bad_records_are_refused(bad):
+    with pytest.raises(ValueError):
+        W.parse_record(bad)
+
+
+def test_cut_archives_are_refused():
+    frame = zstandard.ZstdCompressor().compress(record())
+    for bad in (frame[:-3], frame + b"xy", struct.pack("<II", W.SKIPPABLE, 99) + b"x"):
+        with pytest.raises((ValueError, zstandard.ZstdError)):
+            list(W.frames(bad))
