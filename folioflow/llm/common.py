@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,7 +64,7 @@ def by_bytes(
     """The same rows in batches whose `column` holds about `most` bytes; a row is never cut."""
     for batch in batches:
         values = batch.column(column)
-        sizes = pa.compute.fill_null(pa.compute.binary_length(values), 0).to_pylist()
+        sizes = pc.fill_null(pc.binary_length(values), 0).to_pylist()
         begin = held = 0
         for row, size in enumerate(sizes):
             if held and held + size > most:
