@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from folioflow.llm.bpe_tree import op4_bpe_tree
+from folioflow.llm.language_id import op5_language_id
 from folioflow.llm.packing import op2_packing
 from folioflow.llm.topk_search import OP7_SQL, op7_topk_search
+from folioflow.llm.toxicity import op1_toxicity
 from folioflow.llm.url_graph import op8_url_graph
 from folioflow.llm.warc_zstd import OP10_SQL, op10_warc
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_packing": op2_packing,
     "op4_bpe_tree": op4_bpe_tree,
+    "op5_language_id": op5_language_id,
     "op7_topk_search": op7_topk_search,
     "op8_url_graph": op8_url_graph,
     "op10_warc": op10_warc,
