@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from folioflow.llm.bpe_tree import op4_bpe_tree
 from folioflow.llm.language_id import op5_language_id
+from folioflow.llm.media_sequences import op9_media_sequences
 from folioflow.llm.packing import op2_packing
 from folioflow.llm.topk_search import OP7_SQL, op7_topk_search
 from folioflow.llm.toxicity import op1_toxicity
@@ -17,6 +18,7 @@ QUERIES = {
     "op5_language_id": op5_language_id,
     "op7_topk_search": op7_topk_search,
     "op8_url_graph": op8_url_graph,
+    "op9_media_sequences": op9_media_sequences,
     "op10_warc": op10_warc,
 }
 SQL = {"op7_topk_search": OP7_SQL, "op10_warc": OP10_SQL}
