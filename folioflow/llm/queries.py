@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from folioflow.llm.bpe_tree import op4_bpe_tree
+from folioflow.llm.dart_minhash import op6_dart_minhash
 from folioflow.llm.language_id import op5_language_id
 from folioflow.llm.media_sequences import op9_media_sequences
 from folioflow.llm.packing import op2_packing
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op4_bpe_tree": op4_bpe_tree,
     "op5_language_id": op5_language_id,
+    "op6_dart_minhash": op6_dart_minhash,
     "op7_topk_search": op7_topk_search,
     "op8_url_graph": op8_url_graph,
     "op9_media_sequences": op9_media_sequences,

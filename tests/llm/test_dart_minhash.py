@@ -1,0 +1,116 @@
+import random
+
+import numpy as np
+from compare import duck
+
+from folioflow.llm import dart_minhash as M
+
+
+def plain_set(text):
+    words = [w for w in text.lower().encode().split() if w]
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} or {tuple(words)}
+
+
+def by_hand(rows, similarity=0.8):
+    """Classes from all pairs."""
+    parent = {i: i for i, _ in rows}
+
+    def top(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    sets = [(i, plain_set(t), bool(t.split())) for i, t in rows if t is not None]
+    for n, (i, a, full) in enumerate(sets):
+        for j, b, other in sets[:n]:
+            same = a == b if not (full and other) else len(a & b) / len(a | b) >= similarity
+            if same and top(i) != top(j):
+                parent[max(top(i), top(j))] = min(top(i), top(j))
+    return {i: top(i) for i, _ in rows}
+
+
+def classes(df):
+    return {r["doc_id"]: r["class_id"] for r in df.collect()}
+
+
+def test_registered_query_against_all_pairs(spark, sf):
+    rows = duck(sf).execute("SELECT doc_id, text FROM documents").fetchall()
+    assert classes(M.op6_dart_minhash(spark, sf)) == by_hand(rows)
+
+
+def test_families_around_the_threshold(spark):
+    """Chains and families whose members are more or less similar than the threshold."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefghij", k=5))
+    rows = []
+    for _ in range(12):
+        base = [word() for _ in range(120)]
+        for _ in range(rng.choice([2, 9, 25])):
+            text = list(base)
+            for _ in range(rng.choice([0, 1, 2, 3, 4, 5, 6])):
+                text[rng.randrange(len(text))] = word()
+            rows.append((len(rows), " ".join(text)))
+            base = text if rng.random() < 0.3 else base
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    assert classes(M.near_duplicates(df, centres=2)) == by_hand(rows)
+
+
+def test_signature_agreement_is_the_weighted_similarity():
+    rng = np.random.default_rng(4)
+    ids = rng.integers(0, 2**63, 60).astype(np.uint64)
+    ids.sort()
+    x, y = rng.choice([0.0, 0.3, 1.0, 2.5, 7.0], 60), rng.choice([0.0, 0.3, 1.0, 2.5, 7.0], 60)
+    want = np.minimum(x, y).sum() / np.maximum(x, y).sum()
+    k = 20_000
+    a, b = M.signatures([ids[x > 0], ids[y > 0]], [x[x > 0], y[y > 0]], k)
+    assert abs((a == b).mean() - want) < 4 * np.sqrt(want * (1 - want) / k)
+    assert not (a == np.uint64(2**64 - 1)).any()
+    again = M.signatures([ids[x > 0]], [x[x > 0]], k)
+    assert (again[0] == a).all()
+
+
+def test_hashes_follow_the_words():
+    a = M.word_hashes(b"one two\n three  \xc3\xa9t\xc3\xa9")
+    b = M.word_hashes(b" three \xc3\xa9t\xc3\xa9 one two ")
+    assert a.tolist() == [*b[2:].tolist(), *b[:2].tolist()]
+    assert len(M.word_hashes(b" \n ")) == 0 and len(M.shingles(a)) == 0
+    words = M.word_hashes(b"a b c d e f a b c d e")
+    found = M.shingles(words)
+    assert len(found) == 7 and found[0] == found[6] and len(set(found.tolist())) == 6
+
+
+def test_components(spark):
+    pairs = [(i, i + 1) for i in range(40)] + [(100, 101), (103, 101), (200, 200), (5, 0)]
+    got = classes(
+        M.components(spark.createDataFrame(pairs, "a long, b long")).selectExpr("node doc_id", "comp class_id")
+    )
+    assert got == {**dict.fromkeys(range(41), 0), **dict.fromkeys((100, 101, 103), 100)}
+
+
+def test_edges(spark):
+    long = " ".join(f"w{i}" for i in range(30_000))
+    base = "the quick brown fox jumps over the lazy dog and runs away"
+    rows = [
+        (9, None),
+        (8, None),
+        (7, ""),
+        (6, " \n "),
+        (5, "A b"),
+        (4, "a  B"),
+        (3, "a c"),
+        (20, base),
+        (12, base.upper()),
+        (13, base.replace(" ", "\n")),
+        (13, base.replace(" ", "\n")),
+        (30, long),
+        (31, long + " end"),
+        (None, base),
+        (None, "nothing like it in the whole table of texts"),
+        (None, None),
+    ]
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, class_id string")
+    got = sorted(map(tuple, M.near_duplicates(df).collect()), key=repr)
+    want = [(9, 9), (8, 8), (7, 6), (6, 6), (5, 4), (4, 4), (3, 3), (20, 12), (12, 12), (13, 12), (13, 12)]
+    want += [(30, 30), (31, 30), (None, 12), (None, None), (None, None)]
+    assert got == sorted(want, key=repr)
+    assert M.near_duplicates(df.where("false")).collect() == []
