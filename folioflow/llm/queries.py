@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from folioflow.llm.bpe_tree import op4_bpe_tree
 from folioflow.llm.dart_minhash import op6_dart_minhash
+from folioflow.llm.hmm_lm import op3_hmm_lm
 from folioflow.llm.language_id import op5_language_id
 from folioflow.llm.media_sequences import op9_media_sequences
 from folioflow.llm.packing import op2_packing
@@ -15,6 +16,7 @@ from folioflow.llm.warc_zstd import OP10_SQL, op10_warc
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_packing": op2_packing,
+    "op3_hmm_lm": op3_hmm_lm,
     "op4_bpe_tree": op4_bpe_tree,
     "op5_language_id": op5_language_id,
     "op6_dart_minhash": op6_dart_minhash,
