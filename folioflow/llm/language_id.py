@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import by_bytes, fold, table
+from folioflow.llm.common import fold, table
 
 BUCKETS = 1 << 16
 WIDTH = 16
@@ -194,27 +194,28 @@ def train(docs: DataFrame, most_rows: int = MOST_ROWS) -> LanguageModel:
     return LanguageModel(languages, logits, temperature, least)
 
 
-def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
-    """The rows of docs with lang_pred, lang_score and lang_rejected."""
+def identify(docs: DataFrame, model: LanguageModel, text: str = "text", prefix: str = "lang") -> DataFrame:
+    """The rows of docs with {prefix}_pred, {prefix}_score and {prefix}_rejected.
+
+    Only the text goes to Python.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    added = {"lang_pred": pa.string(), "lang_score": pa.float64(), "lang_rejected": pa.bool_()}
-    kept = docs.drop(*added)
-    schema = kept.withColumns(
-        {"lang_pred": F.lit(""), "lang_score": F.lit(0.0), "lang_rejected": F.lit(True)}
-    ).schema
 
-    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("pred string, score double, rejected boolean")
+    def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known = sent.value
         for batch in batches:
-            for part in by_bytes([batch], text):
-                found = [known.predict(t) for t in part.column(text).to_pylist()]
-                values = ([f[0] for f in found], [f[1] for f in found])
-                rejected = [name == NONE or score < known.least for name, score in found]
-                for (name, kind), column in zip(added.items(), (*values, rejected)):
-                    part = part.append_column(name, pa.array(column, kind))
-                yield part
-
-    return kept.mapInArrow(over, schema)
+            found = [known.predict(t) for t in batch.to_pylist()]
+            columns = (
+                pa.array([name for name, _ in found], pa.string()),
+                pa.array([score for _, score in found], pa.float64()),
+                pa.array([name == NONE or score < known.least for name, score in found], pa.bool_()),
+            )
+            yield pa.StructArray.from_arrays(columns, names=["pred", "score", "rejected"])
+
+    marked = docs.withColumn(f"_{prefix}", predict(F.col(text)))
+    parts = {f"{prefix}_{c}": F.col(f"_{prefix}")[c] for c in ("pred", "score", "rejected")}
+    return marked.withColumns(parts).drop(f"_{prefix}")
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.llm.chunks import Cache
-from folioflow.llm.common import by_bytes, fold, table
+from folioflow.llm.common import fold, table
 
 ORDER = 6
 #: Contexts of fewer characters than this have counts of both classes together.
@@ -274,22 +274,16 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Tox
     return ToxicityModel(model, fit_curve(features, toxic, weights / weights.mean()), prior)
 
 
-def score_texts(docs: DataFrame, model: ToxicityModel, text: str = "text") -> DataFrame:
-    """The rows of docs with a column toxicity, 0 to 1."""
+def score_texts(docs: DataFrame, model: ToxicityModel, text: str = "text", output: str = "toxicity") -> DataFrame:
+    """The rows of docs with a column of scores, 0 to 1; only the text goes to Python."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    schema = docs.withColumn("toxicity", F.lit(0.0)).schema
 
-    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            for part in by_bytes([batch], text):
-                scores = pa.array(sent.value.scores(part.column(text).to_pylist()))
-                at = part.schema.get_field_index("toxicity")
-                if at >= 0:
-                    yield part.set_column(at, "toxicity", scores)
-                else:
-                    yield part.append_column("toxicity", scores)
+            yield pa.array(sent.value.scores(batch.to_pylist()), pa.float64())
 
-    return docs.mapInArrow(over, schema)
+    return docs.withColumn(output, score(F.col(text)))
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str, threshold: float = 0.7) -> DataFrame:
