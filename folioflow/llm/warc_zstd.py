@@ -34,6 +34,9 @@ VERSION = b"WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 REQUIRED = (b"warc-type", b"warc-record-id", b"warc-date", b"content-length")
 
+#: Bytes that a decoder is given at a time.
+STEP = 1 << 13
+
 ARCHIVE = "path string, content binary"
 RECORD = (
     "record_id string, record_type string, refers_to string, target_uri string, "
@@ -160,12 +163,15 @@ def frames(content: bytes) -> Iterator[bytes]:
                 packer = zstandard.ZstdDecompressor(dict_data=_dictionary(bytes(view[8 : 8 + size])))
             at += 8 + size
             continue
-        one = packer.decompressobj()
-        record = one.decompress(view[at:])
-        if not one.eof:
-            raise ValueError(f"frame at {at} is cut off")
-        yield record
-        at = len(view) - len(one.unused_data)
+        # Fed in steps: what a step holds beyond the frame's end is copied back.
+        one, parts, begin = packer.decompressobj(), [], at
+        while not one.eof:
+            if at >= len(view):
+                raise ValueError(f"frame at {begin} is cut off")
+            parts.append(one.decompress(view[at : at + STEP]))
+            at = min(len(view), at + STEP)
+        at -= len(one.unused_data)
+        yield b"".join(parts)
 
 
 def parse_record(record: bytes) -> dict:
