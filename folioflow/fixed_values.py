@@ -12,6 +12,9 @@ WS = r"\t-\r\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 # One character each: the blank line that "\r\n" leaves behind is dropped later.
 LINE_BREAK = r"[\n\x0B\f\r\x1C-\x1E\x85\u2028\u2029]"
 
+# Words before a page number, in any case, as the inside of a group.
+PAGE_MARK = r"p[áa]gina|page|pág\.?"
+
 PART_CHARS = 3800
 MAX_PAGES = 1000
 SAMPLE_PAGES = 20
@@ -29,10 +32,7 @@ MAX_UPLOAD_BYTES = 10 * 1024 * 1024
 
 # --- Catalog -------------------------------------------------------------
 UPLOAD_AUTHOR = "Documento PDF"
-DEFAULT_COVER = (
-    "https://images.unsplash.com/photo-1481627834876-b7833e8f5570"
-    "?w=300&h=400&fit=crop"
-)
+DEFAULT_COVER = "https://images.unsplash.com/photo-1481627834876-b7833e8f5570?w=300&h=400&fit=crop"
 DEFAULT_VOICE = "es-MX-JorgeNeural"
 MINUTES_PER_PART = 4
 DEFAULT_DURATION = "~15min"

@@ -26,13 +26,13 @@ def in_part_ratio(elapsed: Column, total: Column) -> Column:
 
 
 def format_time(seconds: Column) -> Column:
-    """h:mm:ss from one hour on, m:ss below."""
-    h = F.floor(seconds / 3600)
-    m = F.floor((seconds % 3600) / 60)
-    s = F.lpad(F.floor(seconds % 60).cast("string"), 2, "0")
-    return F.when(
-        h > 0, F.concat_ws(":", h.cast("string"), F.lpad(m.cast("string"), 2, "0"), s)
-    ).otherwise(F.concat_ws(":", m.cast("string"), s))
+    """Whole seconds as a clock: hours only from one hour on, the rest in two digits."""
+    whole = F.floor(seconds).cast("long")
+    clock = F.printf(
+        F.lit("%d:%02d:%02d"), F.floor(whole / 3600), F.floor(whole / 60) % 60, whole % 60
+    )
+    under_an_hour = F.printf(F.lit("%d:%02d"), F.floor(whole / 60), whole % 60)
+    return F.when(whole >= 3600, clock).otherwise(under_an_hour)
 
 
 def seek_forward(position: Column, duration: Column) -> Column:

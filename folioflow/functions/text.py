@@ -10,7 +10,7 @@ from folioflow.functions import lists
 
 # A stripped line that ends in a page marker, or is a number between dashes or alone.
 PAGE_FURNITURE = (
-    rf"(?iu)(?:p[áa]gina|page|pág\.?)[{V.WS}]*\p{{Nd}}+$"
+    rf"(?iu)(?:{V.PAGE_MARK})[{V.WS}]*\p{{Nd}}+$"
     rf"|^[-–—{V.WS}]*\p{{Nd}}+[-–—{V.WS}]*$"
 )
 MAY_END_FURNITURE = r"[\p{Nd}–—-]"

@@ -1,4 +1,8 @@
-"""Body text and previews from page layout tables."""
+"""Body text and previews from page layout tables.
+
+A document is the unit of work: its spans come together once, as they do in the result,
+and everything else is an expression over its own lines.
+"""
 
 from __future__ import annotations
 
@@ -9,90 +13,116 @@ from folioflow import fixed_values as V
 from folioflow.functions import text as T
 
 
-def main_sizes(text_spans: DataFrame, key: str) -> DataFrame:
-    """Font size with most characters on the sampled pages; ties to the first seen."""
-    chars = F.length(T.strip(F.col("text")))
-    weights = (
-        text_spans.where((F.col("page") < V.SAMPLE_PAGES) & (chars > 2))
-        .groupBy(key, "size")
-        .agg(
-            F.sum(chars).alias("weight"),
-            F.min(F.struct("page", "block", "line", "span")).alias("first_seen"),
-        )
-    )
-    return weights.groupBy(key).agg(
-        F.min_by("size", F.struct(-F.col("weight"), "first_seen")).alias("main_size")
+def main_size(lines: Column, sample_pages: int) -> Column:
+    """Font size with most characters on the first pages; ties to the first seen.
+
+    Lines are in reading order; a span of at most two characters does not count.
+    """
+    sampled = F.filter(lines, lambda line: line["page"] < sample_pages)
+    spans = F.filter(
+        F.flatten(F.transform(sampled, lambda line: line["spans"])), lambda s: s["chars"] > 2
     )
 
+    def heaviest(spans: Column) -> Column:
+        sizes = F.array_distinct(F.transform(spans, lambda s: s["size"]))
 
-def body_text(spans: DataFrame, key: str) -> DataFrame:
+        def weighed(size: Column, at: Column) -> Column:
+            chars = F.aggregate(
+                spans,
+                F.lit(0).cast("long"),
+                lambda sum_, s: sum_ + F.when(s["size"] == size, s["chars"]).otherwise(0),
+            )
+            return F.struct(chars.alias("weight"), (-at).alias("at"), size.alias("size"))
+
+        return F.array_max(F.transform(sizes, weighed))["size"]
+
+    return T.bind(spans, heaviest)
+
+
+def body_text(
+    spans: DataFrame,
+    key: str,
+    sample_pages: int = V.SAMPLE_PAGES,
+    max_pages: int | None = None,
+) -> DataFrame:
     """Narration text of every document, without headers, footers and small print.
 
-    Pages are the unit of work: spans meet their main size by (document, page),
-    each page is cleaned on its own, and only then a document's pages, at most
-    MAX_PAGES, come together.
+    The main size comes from the first `sample_pages` pages. Pages from `max_pages` on
+    are left out, if it is given; `pages_dropped` says how many had text.
+
+    Spans are shuffled once, by document: lines and then documents are grouped on that
+    partitioning.
     """
-    text_spans = spans.where((F.col("block_type") == 0) & (F.col("page") < V.MAX_PAGES)).withColumn(
-        "size", F.round("size", 1)
-    )
-    page_sizes = (
-        text_spans.select(key, "page").distinct().join(main_sizes(text_spans, key), key, "inner")
-    )
     in_margin = (F.col("y1") < F.col("page_height") * V.TOP_MARGIN) | (
         F.col("y0") > F.col("page_height") * V.BOTTOM_MARGIN
     )
-    body = (
-        text_spans.where(~F.coalesce(in_margin, F.lit(False)))
-        .join(page_sizes, [key, "page"], "inner")
-        .where(F.col("size") >= F.col("main_size") - V.SIZE_TOLERANCE)
-    )
-    lines = body.groupBy(key, "page", "block", "line").agg(
-        _in_order(F.struct("span", "text"), "").alias("text")
+    beyond = F.lit(False) if max_pages is None else F.col("page") >= max_pages
+    span = F.struct(
+        "span",
+        F.round("size", 1).alias("size"),
+        F.length(T.strip(F.col("text"))).alias("chars"),
+        F.coalesce(in_margin, F.lit(False)).alias("margin"),
+        "text",
     )
-    pages = lines.groupBy(key, "page").agg(
-        _in_order(F.struct("block", "line", "text"), "\n").alias("text")
+    lines = (
+        spans.where(F.col("block_type") == 0)
+        .repartition(key)
+        .groupBy(key, "page", "block", "line")
+        .agg(F.sort_array(F.collect_list(F.when(~beyond, span))).alias("spans"))
     )
-    cleaned = pages.select(
-        key, "page", F.array_join(T.narration_lines(F.col("text")), " ").alias("text")
+    line = F.struct("page", "block", "line", "spans")
+    dropped = F.size(F.collect_set(F.when(beyond, F.col("page"))))
+    docs = lines.groupBy(key).agg(
+        F.sort_array(F.collect_list(F.when(~beyond, line))).alias("_lines"), dropped.alias("pages_dropped")
     )
-    # Dropping empty pages while collecting, not by a filter, which Catalyst would
-    # push below the projection and so clean every page twice.
-    kept = F.when(F.col("text") != "", F.struct("page", "text"))
-    docs = cleaned.groupBy(key).agg(F.collect_list(kept).alias("_pages"))
-    return docs.where(F.size("_pages") > 0).select(
-        key, T.close_text(_joined(F.col("_pages"), " ")).alias("body")
-    )
-
-
-def _in_order(row: Column, separator: str) -> Column:
-    """Texts of a group joined in the order of the struct's leading fields."""
-    return _joined(F.collect_list(row), separator)
+    sized = docs.withColumn("_main", main_size(F.col("_lines"), sample_pages))
 
+    def kept(line: Column) -> Column:
+        large = F.filter(
+            line["spans"], lambda s: ~s["margin"] & (s["size"] >= F.col("_main") - V.SIZE_TOLERANCE)
+        )
+        return T.strip(F.array_join(F.transform(large, lambda s: s["text"]), ""))
 
-def _joined(rows: Column, separator: str) -> Column:
-    return F.array_join(F.transform(F.sort_array(rows), lambda r: r["text"]), separator)
+    texts = F.filter(F.transform("_lines", kept), lambda x: x != "")
+    body = T.clean_text(F.array_join(texts, "\n"))
+    # An empty body is kept as an empty row while it is computed, not filtered below,
+    # where Catalyst would compute it again.
+    rows = sized.select(key, F.array(F.struct(body.alias("body"))).alias("_body"), "pages_dropped")
+    return rows.select(key, "pages_dropped", F.inline_outer("_body")).where(F.col("body") != "")
 
 
 def page_preview(pages: DataFrame, key: str) -> DataFrame:
-    """First pages as they are, next to a cleaned sample of the document."""
-    totals = pages.groupBy(key).agg((F.max("page") + 1).alias("total_pages"))
-    samples = (
-        pages.where(F.col("page") < V.PREVIEW_CLEAN_PAGES)
-        .groupBy(key)
-        .agg(_in_order(F.struct("page", "text"), "\n").alias("_sample"))
-        .select(key, T.clean_text(F.col("_sample")).alias("_cleaned"))
+    """First pages as they are, next to a cleaned sample of the document.
+
+    One grouping by document, which carries the text of the shown pages only.
+    """
+    shown = F.when(F.col("page") < V.PREVIEW_PAGES, F.struct("page", "text"))
+    docs = pages.groupBy(key).agg(
+        (F.max("page") + 1).alias("total_pages"),
+        F.sort_array(F.collect_list(shown)).alias("_pages"),
     )
-    docs = totals.join(samples, key, "left").select(
+    first = F.filter("_pages", lambda p: p["page"] < V.PREVIEW_CLEAN_PAGES)
+    sample = F.array_join(F.transform(first, lambda p: p["text"]), "\n")
+    cleaned = docs.select(
         key,
         "total_pages",
-        F.length("_cleaned").alias("cleaned_text_length"),
-        F.left("_cleaned", F.lit(V.PREVIEW_CLEAN_CHARS)).alias("cleaned_text_preview"),
-        F.right("_cleaned", F.lit(V.PREVIEW_CLEAN_CHARS)).alias("cleaned_text_end"),
+        "_pages",
+        # Null without any of the cleaned pages, as those of a document may start later.
+        T.bind(
+            F.when(F.size(first) > 0, T.clean_text(sample)),
+            lambda t: F.struct(
+                F.length(t).alias("cleaned_text_length"),
+                F.left(t, F.lit(V.PREVIEW_CLEAN_CHARS)).alias("cleaned_text_preview"),
+                F.right(t, F.lit(V.PREVIEW_CLEAN_CHARS)).alias("cleaned_text_end"),
+            ),
+        ).alias("_sample"),
     )
-    shown = pages.where(F.col("page") < V.PREVIEW_PAGES).select(
+    rows = cleaned.select(key, "total_pages", "_sample", F.explode("_pages").alias("_page"))
+    return rows.select(
         key,
-        (F.col("page") + 1).alias("page"),
-        F.length("text").alias("chars_raw"),
-        F.left("text", F.lit(V.PREVIEW_PAGE_CHARS)).alias("preview"),
+        (F.col("_page.page") + 1).alias("page"),
+        F.length("_page.text").alias("chars_raw"),
+        F.left("_page.text", F.lit(V.PREVIEW_PAGE_CHARS)).alias("preview"),
+        "total_pages",
+        "_sample.*",
     )
-    return shown.join(docs, key, "inner")

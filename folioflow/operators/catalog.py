@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from folioflow import fixed_values as V
 from folioflow.functions.scalars import or_default
-from folioflow.operators.joins import lookup_join
 
 BOOK_COLUMNS = [
     "id",
@@ -73,12 +72,7 @@ def catalog_view(catalog: DataFrame) -> DataFrame:
 
 def _with_parent(user_books: DataFrame, catalog: DataFrame) -> DataFrame:
     parents = catalog.drop("lang", "added_by", "created_at").withColumnRenamed("id", "global_book_id")
-    joined = lookup_join(
-        user_books,
-        parents.withColumn("_found", F.lit(True)),
-        "global_book_id",
-        spread_on=["user_id"],
-    )
+    joined = user_books.join(parents.withColumn("_found", F.lit(True)), "global_book_id", "left")
     return joined.withColumnRenamed("global_book_id", "id")
 
 
@@ -154,19 +148,23 @@ def resolve_play(requests: DataFrame, user_books: DataFrame, catalog: DataFrame)
     personal = user_books.withColumn("_personal", F.lit(True))
     rows = wanted.join(personal, ["user_id", "global_book_id"], "left")
     parents = catalog.drop("lang", "added_by").withColumnRenamed("id", "global_book_id")
-    joined = lookup_join(rows, parents, "global_book_id", spread_on=["user_id"], how="inner")
-    joined = joined.withColumnRenamed("global_book_id", "id").select(
+    joined = rows.join(parents, "global_book_id").withColumnRenamed("global_book_id", "id").select(
         "*",
         F.col("_personal").isNull().alias("to_add"),
     )
-    joined = joined.withColumn("added_at", F.coalesce("added_at", "created_at"))
-    return book_view(joined, "user_id", "to_add")
+    since = F.when(F.col("to_add"), F.col("created_at")).otherwise(F.col("added_at"))
+    return book_view(joined.withColumn("added_at", since), "user_id", "to_add")
+
 
+def category_override(library: DataFrame, choices: DataFrame) -> DataFrame:
+    """Books as each reader sees them after moving some; a reader's last choice counts.
 
-def category_override(catalog: DataFrame, choices: DataFrame) -> DataFrame:
-    """Catalog as a reader sees it after moving books; the last choice counts."""
-    last = choices.groupBy("id").agg(
-        F.max_by("category", F.struct("ts", "event_id")).alias("_chosen")
+    The entry for all books is no category, so a choice of it is not taken.
+    """
+    last = (
+        choices.where(F.col("category") != V.ALL_CATEGORIES)
+        .groupBy("user_id", "id")
+        .agg(F.max_by("category", F.struct("ts", "event_id")).alias("_chosen"))
     )
-    joined = catalog.join(last, "id", "left")
+    joined = library.join(last, ["user_id", "id"], "left")
     return joined.withColumn("category", F.coalesce("_chosen", "category")).drop("_chosen")

@@ -42,22 +42,6 @@ def saved_answers(responses: DataFrame, n_questions: int) -> DataFrame:
     return grid.join(answered, ["session", "question"], "left")
 
 
-def results(responses: DataFrame, n_domains: int) -> DataFrame:
-    """Nested result per session: one score struct per domain."""
-    answers = responses.groupBy("session", "question").agg(
-        F.max(F.struct("ts", "event_id", "value"))["value"].alias("value")
-    )
-    domains = answers.groupBy("session", (F.col("question") % n_domains).alias("domain")).agg(
-        F.sum("value").cast("int").alias("score"), (F.count("*") * 3).cast("int").alias("max_score")
-    )
-    percentile = F.floor(F.col("score") * 100 / F.col("max_score")).cast("int")
-    return domains.groupBy("session").agg(
-        F.sort_array(
-            F.collect_list(F.struct("domain", "score", "max_score", percentile.alias("percentile")))
-        ).alias("domain_scores")
-    )
-
-
 def domain_profile(results: DataFrame) -> DataFrame:
     return results.select("session", F.inline("domain_scores")).select(
         "session",

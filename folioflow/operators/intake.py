@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioflow import fixed_values as V
 from folioflow.functions import text as T
 from folioflow.functions.scalars import or_default
-from folioflow.operators.joins import lookup_join, unroll
-from folioflow.sources.staging import materialize
+from folioflow.operators.joins import unroll
 
 
 def intake_gate(uploads: DataFrame, known: DataFrame) -> DataFrame:
@@ -17,35 +16,20 @@ def intake_gate(uploads: DataFrame, known: DataFrame) -> DataFrame:
 
     The rules hold in the order in which a client and then a server meet them. A
     file is a duplicate when the catalog has its hash or when an earlier file of
-    the batch with that hash was accepted.
+    the batch with that hash was accepted. Files of one hash hold the same text, so
+    whether an earlier one had any is seen on the row itself, and the list of first
+    files per hash needs no text.
     """
-    checked = (
-        uploads.withColumn("_clean", F.coalesce(T.clean_text(F.col("text")), F.lit("")))
-        .withColumn(
-            "_before",
-            F.when(or_default(F.col("category"), "") == "", "no_category").when(
-                F.col("size_bytes") > V.MAX_UPLOAD_BYTES, "too_large"
-            ),
-        )
-        .withColumn(
-            "_after",
-            F.when(~F.endswith(F.lower(F.coalesce("file_name", F.lit(""))), F.lit(".pdf")), "not_pdf")
-            .when(F.col("size_bytes") == 0, "empty_file")
-            .when(F.col("_clean") == "", "no_text"),
-        )
-        # The part count is taken here, so that the text itself is never shuffled.
-        .withColumn(
-            "parts_count", F.when(F.col("_after").isNull(), F.size(T.split_parts(F.col("_clean"))))
-        )
-        .drop("_clean", "text", "size_bytes")
+    before = F.when(or_default(F.col("category"), "") == "", "no_category").when(
+        F.col("size_bytes") > V.MAX_UPLOAD_BYTES, "too_large"
     )
-    # A few narrow columns stand for the whole text from here on.
-    checked = materialize(checked)
-    passes = F.col("_before").isNull() & F.col("_after").isNull()
+    after = F.when(
+        ~F.endswith(F.lower(F.coalesce("file_name", F.lit(""))), F.lit(".pdf")), "not_pdf"
+    ).when(F.col("size_bytes") == 0, "empty_file")
     per_hash = (
-        checked.select(
+        uploads.select(
             "file_hash",
-            F.when(passes, F.col("upload_id")).alias("_first"),
+            F.when(before.isNull() & after.isNull(), F.col("upload_id")).alias("_first"),
             F.lit(False).alias("_known"),
         )
         .unionByName(
@@ -54,10 +38,26 @@ def intake_gate(uploads: DataFrame, known: DataFrame) -> DataFrame:
         .groupBy("file_hash")
         .agg(F.min("_first").alias("_first"), F.bool_or("_known").alias("_known"))
     )
-    joined = lookup_join(checked, per_hash, "file_hash", spread_on=["upload_id"])
-    duplicate = F.col("_known") | (F.coalesce("_first", "upload_id") < F.col("upload_id"))
+    # Texts end here: the joins see the number of parts only.
+    counted = uploads.withColumn("_parts", _part_count(F.coalesce("text", F.lit("")))).select(
+        *[c for c in uploads.columns if c not in ("text", "size_bytes")],
+        before.alias("_before"),
+        F.coalesce(after, F.when(F.col("_parts") == 0, "no_text")).alias("_after"),
+        "_parts",
+    )
+    joined = counted.join(per_hash, "file_hash", "left")
+    earlier = (F.col("_first") < F.col("upload_id")) & (F.col("_parts") > 0)
+    duplicate = F.coalesce("_known", F.lit(False)) | F.coalesce(earlier, F.lit(False))
     reason = F.coalesce("_before", F.when(duplicate, "duplicate"), "_after")
-    return joined.withColumn("reject_reason", reason).drop("_before", "_after", "_first", "_known")
+    return (
+        joined.withColumn("reject_reason", reason)
+        .withColumn("parts_count", F.when(F.col("_after").isNull(), F.col("_parts")))
+        .drop("_before", "_after", "_first", "_known", "_parts")
+    )
+
+
+def _part_count(text: Column) -> Column:
+    return F.size(T.split_parts(T.clean_text(text)))
 
 
 def new_documents(arrivals: DataFrame, known: DataFrame, order: str) -> DataFrame:
@@ -95,9 +95,9 @@ def parts_manifest(docs: DataFrame, key: str) -> DataFrame:
 def catalog_candidates(accepted: DataFrame) -> DataFrame:
     """New catalog rows of accepted uploads, with the values shown at upload.
 
-    Needs upload_id, file_name, file_hash, category, added_by, parts_count and
-    cover_url. The store key comes from the file's hash instead of a random id, so
-    a repeated task writes the same row.
+    Needs upload_id, file_name, file_hash, category, added_by, parts_count, cover_url
+    and arrived_at, which becomes the time of insertion. The store key is the file's
+    hash instead of a random id, so a repeated task writes the same row.
     """
     parts = F.nullif(F.col("parts_count"), F.lit(0))
     return accepted.select(
@@ -105,12 +105,13 @@ def catalog_candidates(accepted: DataFrame) -> DataFrame:
         T.derive_title(F.col("file_name")).alias("title"),
         F.lit(V.UPLOAD_AUTHOR).alias("author"),
         or_default(F.col("cover_url"), V.DEFAULT_COVER).alias("cover_url"),
-        F.substring("file_hash", 1, 12).alias("book_id"),
+        F.col("file_hash").alias("book_id"),
         "parts_count",
         F.lit(V.DEFAULT_VOICE).alias("voice"),
         "category",
         "file_hash",
         "added_by",
+        F.col("arrived_at").alias("created_at"),
         F.coalesce(
             F.concat(F.lit("~"), (parts * V.MINUTES_PER_PART).cast("string"), F.lit("min")),
             F.lit(V.DEFAULT_DURATION),
@@ -120,8 +121,14 @@ def catalog_candidates(accepted: DataFrame) -> DataFrame:
 
 
 def catalog_apply(known: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Catalog snapshot with the candidates added; the part count defaults to 1."""
-    new = candidates.join(known.select("file_hash").distinct(), "file_hash", "left_anti")
-    columns = [c for c in known.columns if c in candidates.columns]
-    new = new.select(*columns).withColumn("parts_count", F.coalesce("parts_count", F.lit(1)))
-    return known.unionByName(new, allowMissingColumns=True)
+    """Catalog snapshot with the candidates added; the part count defaults to 1.
+
+    Candidates must have all columns of the catalog. Those whose hash is already there
+    stay out, so applying a batch twice changes nothing.
+    """
+    missing = set(known.columns) - set(candidates.columns)
+    if missing:
+        raise ValueError(f"candidates lack {sorted(missing)}")
+    new = candidates.join(known.select("file_hash"), "file_hash", "left_anti")
+    new = new.withColumn("parts_count", F.coalesce("parts_count", F.lit(1)))
+    return known.unionByName(new.select(*known.columns))

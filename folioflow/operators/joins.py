@@ -1,52 +1,17 @@
-"""Join helpers that hold when one key carries a large share of the rows."""
+"""Helpers around joins.
+
+Joins here are plain equi-joins. A key that holds a large share of the facts makes one
+shuffle partition large, and adaptive execution splits that partition by the files it
+comes from and reads the other side once per split, for any number of such keys. This
+needs the settings of `session.SETTINGS`; with `forceOptimizeSkewedJoin` the split is
+also made where it costs a further shuffle.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-HOT_KEYS = 1000
-HOT_ROWS = 1_000_000
-MAX_SALTS = 10_000
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate, the one its own broadcast decision uses."""
-    stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(str(stats.sizeInBytes()))
-
-
-def input_bytes(df: DataFrame) -> int:
-    """Size of the tables a plan reads; Catalyst's estimate for a join is the product."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-
-
-def _bytes(setting: str) -> int:
-    units = {"b": 1, "k": 2**10, "m": 2**20, "g": 2**30}
-    text = setting.strip().lower().removesuffix("b") or "0"
-    if text[-1] in units:
-        return int(text[:-1]) * units[text[-1]]
-    return int(text)
-
-
-def broadcast_limit(df: DataFrame) -> int:
-    return _bytes(df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold"))
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Spread a small input over all cores before heavy per-row work.
-
-    A table of one row group arrives as a single task. Inputs beyond one read
-    split per core, or of one file per core, are already spread by the scan and are
-    left as they are.
-    """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    split = _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
-    small = input_bytes(df) < split * cores
-    return df.repartition(cores, key) if small and len(df.inputFiles()) < cores else df
-
 
 def unroll(df: DataFrame, keep: list[str], array: str, position: str, value: str) -> DataFrame:
     """One row per array element, with its position.
@@ -56,58 +21,3 @@ def unroll(df: DataFrame, keep: list[str], array: str, position: str, value: str
     """
     rows = df.select(*keep, F.posexplode_outer(array).alias(position, value))
     return rows.where(F.col(position).isNotNull())
-
-
-def lookup_join(
-    facts: DataFrame,
-    lookup: DataFrame,
-    on: str | list[str],
-    spread_on: list[str],
-    how: str = "left",
-    broadcast_bytes: int | None = None,
-    hot_rows: int = HOT_ROWS,
-) -> DataFrame:
-    """Join facts to a table that has one row per key.
-
-    A lookup below the broadcast threshold is left to Catalyst, which broadcasts
-    it. Beyond that, keys with more than `hot_rows` facts are split: their lookup
-    row is copied once per salt and the facts draw a salt from `spread_on`, the
-    columns that tell the facts of one key apart. Only the HOT_KEYS largest keys
-    are looked at, so the broadcast list is bounded; a key outside it holds less
-    than a 1/HOT_KEYS share of the rows and travels unsplit.
-    """
-    keys = [on] if isinstance(on, str) else list(on)
-    limit = broadcast_limit(facts) if broadcast_bytes is None else broadcast_bytes
-    if estimated_bytes(lookup) <= limit:
-        return facts.join(lookup, keys, how)
-
-    hot = (
-        facts.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .where((F.col("_n") > hot_rows) & _all_set(keys))
-        .orderBy(F.desc("_n"), *keys)
-        .limit(HOT_KEYS)
-        .select(
-            *keys,
-            F.least(F.ceil(F.col("_n") / hot_rows), F.lit(MAX_SALTS)).cast("int").alias("_salts"),
-        )
-    )
-    salts = F.coalesce(F.col("_salts"), F.lit(1))
-    # Facts without a key match nothing and may lie anywhere.
-    fact_salts = F.when(_all_set(keys), salts).otherwise(MAX_SALTS)
-    salted_facts = facts.join(F.broadcast(hot), keys, "left").withColumn(
-        "_salt", F.pmod(F.xxhash64(*spread_on), fact_salts).cast("int")
-    )
-    salted_lookup = lookup.join(F.broadcast(hot), keys, "left").withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), salts - 1))
-    )
-    return salted_facts.drop("_salts").join(
-        salted_lookup.drop("_salts"), [*keys, "_salt"], how
-    ).drop("_salt")
-
-
-def _all_set(keys: list[str]) -> Column:
-    check = F.lit(True)
-    for key in keys:
-        check = check & F.col(key).isNotNull()
-    return check

@@ -1,13 +1,17 @@
 """Playback events to progress snapshots, and the save throttle.
 
 Both are folds over ordered events, and one reader or book may own a large share
-of the events. So no step gathers all events of a key: events are cut into
-chunks of bounded size, each chunk is reduced to a small summary of what it does
-to any state before it, and only the summaries of a key come together.
+of the events. So no step gathers all events of a key: events are cut into buckets of
+time, each bucket is reduced to a small summary of what it does to any state before
+it, and only the summaries of a key come together, first by spans of time.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,16 +20,18 @@ from folioflow.functions import lists
 from folioflow.functions import scalars as S
 
 KEY = ["user_id", "global_book_id"]
-CHUNK_ROWS = 2**18
+HOUR_MS = 3_600_000
+#: Buckets whose effects are put together before a key's effects meet.
+SPAN = 512
 STATE = {
     "current_part_index": "int",
     "current_time": "double",
     "total_time": "double",
     "progress": "int",
 }
-# Effect of a chunk of events on any state before it:
+# Effect of a bucket of events on any state before it:
 #   the last tick, if any, happened at part `tick_base` (null: the part before the
-#   chunk) plus `tick_ended` finished parts, at position `tick_pos`;
+#   bucket) plus `tick_ended` finished parts, at position `tick_pos`;
 #   `zeroed`: a restart came after it;
 #   then the reader jumped to part `base` (null: did not) and `ended` parts finished;
 #   `duration` is the last known duration.
@@ -49,7 +55,7 @@ def _changed(types: dict[str, str], old: Column, **new: Column) -> Column:
     return _struct(types, {name: new.get(name, old[name]) for name in types})
 
 
-def chunk_effect(events: Column, parts: Column) -> Column:
+def bucket_effect(events: Column, parts: Column) -> Column:
     """Effect of an ordered array of (kind, value) events on a book of `parts` parts."""
     null = F.lit(None)
     start = _struct(
@@ -96,7 +102,7 @@ def chunk_effect(events: Column, parts: Column) -> Column:
 
 
 def apply_effect(state: Column, effect: Column, parts: Column) -> Column:
-    """State after a chunk."""
+    """State after a bucket."""
     last = F.coalesce(parts, F.lit(0)) - 1
 
     def advance(part: Column, ended: Column) -> Column:
@@ -127,43 +133,64 @@ def apply_effect(state: Column, effect: Column, parts: Column) -> Column:
     )
 
 
+def then(first: Column, second: Column) -> Column:
+    """Effect of one bucket and the next, on any state before both."""
+    ticked, jumped = second["tick_pos"].isNotNull(), second["base"].isNotNull()
+    since = first["ended"] + F.when(first["base"].isNull(), first["tick_ended"]).otherwise(0)
+    tick_ended = second["tick_ended"] + F.when(second["tick_base"].isNull(), since).otherwise(0)
+    # With a tick or a restart in the second, only its own place in the book counts.
+    fresh = ticked | second["zeroed"]
+    keep = {n: F.when(fresh, second[n]).otherwise(first[n]) for n in ("tick_pos", "zeroed")}
+    return _struct(
+        EFFECT,
+        {
+            "tick_base": F.when(ticked, F.coalesce(second["tick_base"], first["base"], first["tick_base"]))
+            .when(second["zeroed"], F.lit(None))
+            .otherwise(first["tick_base"]),
+            "tick_ended": F.when(ticked, tick_ended)
+            .when(second["zeroed"], F.lit(0))
+            .otherwise(first["tick_ended"]),
+            **keep,
+            "base": F.when(fresh | jumped, second["base"]).otherwise(first["base"]),
+            "ended": F.when(fresh | jumped, second["ended"]).otherwise(first["ended"] + second["ended"]),
+            "duration": F.coalesce(second["duration"], first["duration"]),
+        },
+    )
+
+
+def _together(effects: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """One effect per group of keys, of its effects in order."""
+    ordered = F.sort_array(F.collect_list(F.struct(order, "_effect")))
+    grouped = effects.groupBy(*keys).agg(F.max("parts").alias("parts"), ordered.alias("_all"))
+    rest = F.slice("_all", F.lit(2), F.size("_all"))
+    whole = F.aggregate(rest, F.get("_all", F.lit(0))["_effect"], lambda s, e: then(s, e["_effect"]))
+    return grouped.select(*keys, "parts", whole.alias("_effect"))
+
+
 def playback_fold(
-    events: DataFrame, start: DataFrame | None = None, chunk_rows: int = CHUNK_ROWS
+    events: DataFrame, start: DataFrame | None = None, bucket_ms: int = HOUR_MS
 ) -> DataFrame:
     """Progress snapshot per (user, book) from all of its player events.
 
-    `events` has user_id, global_book_id, ts, event_id, kind, value and parts.
-    A range partitioning by key and time may cut a key with many events in several
-    partitions, and each sorted partition is cut in chunks of at most `chunk_rows`
-    events. The second group holds one summary per chunk of a key. `start` is an
-    earlier snapshot to go on from.
+    `events` has user_id, global_book_id, ts, event_id, kind, value and parts. They are
+    shuffled once, by key and time bucket, and a bucket becomes one effect; effects are
+    put together by spans of SPAN buckets and then by key. So a task holds what one
+    key's player sends in a bucket, and a key's last group one effect per span. Events
+    without a time come first. `start` is an earlier snapshot to go on from.
     """
-    order = [*KEY, "ts", "event_id"]
-    # The low 33 bits of the id are the row's number in its sorted partition.
-    row = F.monotonically_increasing_id().bitwiseAND(F.lit(2**33 - 1))
-    chunked = (
-        events.repartitionByRange(*order)
-        .sortWithinPartitions(*order)
-        .withColumn("_partition", F.spark_partition_id())
-        .withColumn("_slice", F.floor(row / chunk_rows))
-    )
+    clock = F.unix_millis(F.col("ts").cast("timestamp"))
+    bucket = F.coalesce(F.floor(clock / bucket_ms), F.lit(-(2**62)))
     effects = (
-        chunked.groupBy(*KEY, "_partition", "_slice")
+        events.withColumn("_bucket", bucket)
+        .groupBy(*KEY, "_bucket")
         .agg(
             F.max("parts").alias("parts"),
             F.sort_array(F.collect_list(F.struct("ts", "event_id", "kind", "value"))).alias("_events"),
         )
-        .select(
-            *KEY,
-            F.struct("_partition", "_slice").alias("_chunk"),
-            "parts",
-            chunk_effect(F.col("_events"), F.col("parts")).alias("_effect"),
-        )
-    )
-    per_key = effects.groupBy(*KEY).agg(
-        F.max("parts").alias("parts"),
-        F.sort_array(F.collect_list(F.struct("_chunk", "_effect"))).alias("_effects"),
+        .select(*KEY, "_bucket", "parts", bucket_effect(F.col("_events"), F.col("parts")).alias("_effect"))
     )
+    spans = _together(effects.withColumn("_span", F.floor(F.col("_bucket") / SPAN)), [*KEY, "_span"], "_bucket")
+    per_key = _together(spans, KEY, "_span")
     fresh = _struct(STATE, {name: F.lit(0) for name in STATE})
     if start is None:
         before = fresh
@@ -172,74 +199,128 @@ def playback_fold(
         per_key = per_key.join(kept, KEY, "left")
         old = F.col("_old")
         before = _struct(STATE, {name: F.coalesce(old[name], F.lit(0)) for name in STATE})
-    after = F.aggregate(
-        F.col("_effects"), before, lambda s, c: apply_effect(s, c["_effect"], F.col("parts"))
-    )
+    after = apply_effect(before, F.col("_effect"), F.col("parts"))
     return per_key.select(*KEY, after.alias("_state")).select(*KEY, "_state.*")
 
 
+def usable_tick() -> Column:
+    return F.col("user_id").isNotNull() & F.col("ts").isNotNull()
+
+
+def unusable_ticks(ticks: DataFrame) -> DataFrame:
+    """user_id, tick_id and why, of the ticks that no clock can judge."""
+    reason = F.when(F.col("user_id").isNull(), "no_user").otherwise("no_time")
+    return ticks.where(~usable_tick()).select("user_id", "tick_id", reason.alias("reason"))
+
+
 def saved_events(events: DataFrame, gap_ms: int = V.SAVE_GAP_MS, **throttle) -> DataFrame:
-    """Events that change the stored progress: all but the ticks the throttle holds back."""
+    """Events that change the stored progress: all but the ticks the throttle holds back.
+
+    Ticks carry their other columns through the throttle. Ticks without a user or time
+    are held back too; `unusable_ticks` lists them.
+    """
     is_tick = F.col("kind") == "tick"
-    ticks = events.where(is_tick)
-    saved = tick_throttle(
-        ticks.select("user_id", "ts", F.col("event_id").alias("tick_id")), gap_ms, **throttle
-    ).select("user_id", F.col("tick_id").alias("event_id"))
-    kept = ticks.join(saved, ["user_id", "event_id"], "left_semi").select(*events.columns)
-    return kept.unionByName(events.where(~is_tick))
+    others = [c for c in events.columns if c not in ("user_id", "event_id")]
+    ticks = events.where(is_tick).withColumnRenamed("event_id", "tick_id")
+    saved = tick_throttle(ticks, gap_ms, carry=others, **throttle)
+    kept = saved.withColumnRenamed("tick_id", "event_id").select(*events.columns)
+    return kept.unionByName(events.where(~F.coalesce(is_tick, F.lit(False))))
+
+
+def bucket_moves(clocks: np.ndarray, first_places: int, gap_ms: int) -> np.ndarray:
+    """For each of the first ticks: the last save if it is the first save, by its place.
+
+    The save after a tick is the first tick over a gap later; following these links is
+    done by doubling them, so the cost grows with the ticks.
+    """
+    link = np.searchsorted(clocks, clocks + gap_ms, side="right")
+    places = np.arange(len(clocks))
+    link = np.where(link < len(clocks), link, places)
+    while True:
+        far = link[link]
+        if (far == link).all():
+            return link[:first_places]
+        link = far
+
+
+def bucket_saves(clocks: np.ndarray, last: int, gap_ms: int) -> list[int]:
+    """Places of the saved ticks, after a save at `last`."""
+    out, at = [], int(np.searchsorted(clocks, last + gap_ms, side="right"))
+    while at < len(clocks):
+        out.append(at)
+        at = int(np.searchsorted(clocks, clocks[at] + gap_ms, side="right"))
+    return out
+
+
+def _lists(array: pa.Array) -> Iterator[np.ndarray]:
+    values = array.flatten().to_numpy(zero_copy_only=False)
+    ends = np.cumsum(array.value_lengths().to_numpy(zero_copy_only=False))
+    return iter(np.split(values, ends[:-1])) if len(array) else iter(())
 
 
 def tick_throttle(
     ticks: DataFrame,
     gap_ms: int = V.SAVE_GAP_MS,
-    bucket_ms: int = 2 * 3_600_000,
+    bucket_ms: int = 2 * HOUR_MS,
     start: DataFrame | None = None,
+    carry: list[str] | None = None,
 ) -> DataFrame:
     """Ticks that are saved: each comes more than `gap_ms` after the one saved before.
 
     The clock has millisecond steps and there is one per user. Ticks of one user in
     the same millisecond are told apart by tick_id, and only the first can be saved,
-    so a bucket of `bucket_ms` holds at most that many ticks.
+    so a bucket of `bucket_ms` holds at most that many ticks. Ticks without a user or
+    time are not judged; `unusable_ticks` lists them.
 
     Which ticks a bucket saves depends on the last save before it, but only through
     the first tick it lets pass, which lies at most one gap behind the first tick.
     The bucket's summary therefore lists, for each tick that may come first, the
     last save that follows from it. A fold over a user's summaries yields the last
     save before every bucket, and then the buckets are worked off side by side.
-    `start` (user_id, last_save) continues from earlier saves.
+    Only the clocks of a bucket go to Python, which finds the links between ticks in
+    time that grows with them. `start` (user_id, last_save) continues from earlier
+    saves; `carry` names further columns of the saved ticks.
     """
-    id_type = ticks.schema["tick_id"].dataType.simpleString()
+    carry = carry or []
     clock = F.unix_millis(F.col("ts").cast("timestamp"))
-    known = F.col("user_id").isNotNull() & F.col("ts").isNotNull()
-    timed = ticks.where(known).select("user_id", "tick_id", clock.alias("clock"))
+    timed = ticks.where(usable_tick()).select("user_id", "tick_id", clock.alias("clock"), *carry)
     bucket = F.col("clock") - F.pmod("clock", F.lit(bucket_ms))
+    first_of = F.min_by(F.struct("tick_id", *carry), "tick_id")
     buckets = (
         timed.groupBy("user_id", bucket.alias("bucket"), "clock")
-        .agg(F.min("tick_id").alias("tick_id"))
+        .agg(first_of.alias("_tick"))
         .groupBy("user_id", "bucket")
-        .agg(F.sort_array(F.collect_list(F.struct("clock", "tick_id"))).alias("_ticks"))
+        .agg(F.sort_array(F.collect_list(F.struct("clock", "_tick"))).alias("_ticks"))
     )
     never = F.lit(-(2**62))
-
-    def last_save(after: Column) -> Column:
-        return F.aggregate(
-            F.col("_ticks"),
-            after,
-            lambda last, t: F.when(t["clock"] > last + gap_ms, t["clock"]).otherwise(last),
-        )
-
+    clocks = F.col("_ticks.clock")
     first = F.get(F.col("_ticks"), F.lit(0))["clock"]
     # A save in an earlier bucket reaches at most one gap past the bucket's begin; one
     # in `start` may lie in the same bucket.
-    reachable = F.size(F.filter("_ticks", lambda t: t["clock"] < first + gap_ms)) + 1
+    reachable = F.size(F.filter(clocks, lambda t: t < first + gap_ms)) + 1
     if start is None:
         reachable = F.when(first - F.col("bucket") < gap_ms, reachable).otherwise(1)
-    moves = F.transform(
-        F.slice("_ticks", F.lit(1), reachable),
-        lambda t: F.struct(t["clock"].alias("first"), last_save(t["clock"]).alias("last")),
-    )
+
+    @F.arrow_udf("array<struct<first:bigint,last:bigint>>")
+    def moves(clocks: pa.Array, places: pa.Array) -> pa.Array:
+        first, last = [], []
+        for c, n in zip(_lists(clocks), places.to_pylist()):
+            first.append(c[:n])
+            last.append(c[bucket_moves(c, n, gap_ms)])
+        none = np.empty(0, np.int64)
+        pairs = pa.StructArray.from_arrays(
+            [pa.array(np.concatenate([none, *x]).astype(np.int64)) for x in (first, last)], ["first", "last"]
+        )
+        ends = np.cumsum([0, *map(len, first)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pairs)
+
+    @F.arrow_udf("array<int>")
+    def saves(clocks: pa.Array, before: pa.Array) -> pa.Array:
+        found = [bucket_saves(c, last, gap_ms) for c, last in zip(_lists(clocks), before.to_pylist())]
+        return pa.array(found, pa.list_(pa.int32()))
+
     per_user = (
-        buckets.select("user_id", "bucket", moves.alias("_moves"))
+        buckets.select("user_id", "bucket", moves(clocks, reachable).alias("_moves"))
         .groupBy("user_id")
         .agg(F.sort_array(F.collect_list(F.struct("bucket", "_moves"))).alias("_buckets"))
     )
@@ -269,25 +350,13 @@ def tick_throttle(
     entering = per_user.select("user_id", F.inline_outer(entries)).where(
         F.col("bucket").isNotNull()
     )
-
-    def keep(s: Column, t: Column) -> Column:
-        saved = F.struct(t["clock"].alias("last"), lists.append(s["saved"], t).alias("saved"))
-        return F.when(t["clock"] > s["last"] + gap_ms, saved).otherwise(s)
-
-    saved = F.aggregate(
-        F.col("_ticks"),
-        F.struct(
-            F.col("last_before").alias("last"),
-            lists.empty(f"struct<clock:bigint,tick_id:{id_type}>").alias("saved"),
-        ),
-        keep,
-        lambda s: lists.whole(s["saved"]),
-    )
     # Every bucket has its entry. The left join, unlike an inner one, adds no null
     # checks below `buckets`, so both uses of it share one shuffle.
+    picked = F.transform("_saved", lambda at: F.get("_ticks", at))
     return (
         buckets.join(entering, ["user_id", "bucket"], "left")
-        .select("user_id", F.inline_outer(saved))
-        .where(F.col("tick_id").isNotNull())
-        .select("user_id", "tick_id", "clock")
+        .withColumn("_saved", saves(clocks, F.coalesce("last_before", never)))
+        .select("user_id", F.inline_outer(picked))
+        .where(F.col("clock").isNotNull())
+        .select("user_id", "_tick.tick_id", "clock", *[F.col("_tick")[c].alias(c) for c in carry])
     )

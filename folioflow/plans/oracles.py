@@ -26,7 +26,7 @@ def _lines(text: str) -> str:
     lines = f"list_transform(regexp_split_to_array({text}, '{BREAK}'), lambda l: {_strip('l')})"
     keep = (
         r"lambda l: l <> '' AND NOT regexp_matches(l, '^\p{Nd}+$')"
-        rf" AND NOT regexp_matches(l, '(?i)(p[áa]gina|page|pág\.?)[{WS}]*\p{{Nd}}+$')"
+        rf" AND NOT regexp_matches(l, '(?i)({V.PAGE_MARK})[{WS}]*\p{{Nd}}+$')"
         rf" AND NOT regexp_matches(l, '^[-–—{WS}]*\p{{Nd}}+[-–—{WS}]*$')"
     )
     return f"array_to_string(list_filter({lines}, {keep}), ' ')"
@@ -68,7 +68,7 @@ def _list(names: list[str]) -> str:
     return "[" + ", ".join(f"'{n}'" for n in names) + "]"
 
 
-CATALOG_COLUMNS = "id, title, author, cover_url, book_id, parts_count, voice, category, file_hash, added_by"
+CATALOG_COLUMNS = "id, title, author, cover_url, book_id, parts_count, voice, category, file_hash, added_by, created_at"
 
 VIEWS = {
     "raw_docs": """SELECT doc_id, text || chr(10) || doc_id || chr(10) || 'Página ' || doc_id
@@ -83,23 +83,27 @@ VIEWS = {
           ELSE source || '_doc-' || doc_id || '.pdf' END AS file_name,
         CASE WHEN doc_id % 50 = 7 THEN 0 ELSE n_chars * 2000 END AS size_bytes,
         CASE doc_id % 8 WHEN 3 THEN NULL WHEN 4 THEN '' ELSE 'Novela' END AS category,
-        CASE WHEN doc_id % 40 = 11 THEN chr(10) || ' 12 ' || chr(10) || '- 3 -' ELSE text END AS text,
-        CASE doc_id % 3 WHEN 0 THEN 'cover/' || doc_id WHEN 1 THEN '' END AS cover_url,
-        'u' || (doc_id % 7) AS added_by,
-        sha256(text) AS file_hash
-        FROM documents""",
+        text, CASE doc_id % 3 WHEN 0 THEN 'cover/' || doc_id WHEN 1 THEN '' END AS cover_url,
+        'u' || (doc_id % 7) AS added_by, sha256(text) AS file_hash,
+        TIMESTAMP '2024-01-02' + to_seconds(doc_id) AS arrived_at
+        FROM (SELECT * REPLACE (
+          CASE WHEN doc_id % 40 = 13 THEN chr(10) || ' 12 ' || chr(10) || '- 3 -' ELSE text END AS text)
+          FROM documents)""",
     "lines": f"""SELECT doc_id, unnest(string_split(text, {NL})) AS text,
         CAST(generate_subscripts(string_split(text, {NL}), 1) - 1 AS INTEGER) AS pos FROM documents""",
-    "spans": """SELECT doc_id, pos // 40 AS page, pos % 40 AS block,
+    "pieces": """SELECT doc_id, pos, unnest(regexp_extract_all(text, '(?s).{1,40}')) AS text,
+        CAST(generate_subscripts(regexp_extract_all(text, '(?s).{1,40}'), 1) - 1 AS INTEGER) AS span FROM lines""",
+    "spans": """SELECT doc_id, pos // 5 AS page, pos % 5 // 2 AS block, pos % 5 % 2 AS line, span,
         CASE WHEN pos % 13 = 12 THEN 1 ELSE 0 END AS block_type,
-        (pos % 40) * 2e1 AS y0, (pos % 40) * 2e1 + 12 AS y1, 8e2 AS page_height,
-        CASE WHEN pos % 7 = 0 THEN 8e0 WHEN pos % 5 = 0 THEN 11.5e0 ELSE 12e0 END AS size, text
-        FROM lines""",
-    "page_texts": f"""SELECT doc_id, pos // 40 AS page, string_agg(text, {NL} ORDER BY pos) AS text
+        (pos % 5) * 19e1 AS y0, (pos % 5) * 19e1 + 12 AS y1, 8e2 AS page_height,
+        CASE WHEN pos % 7 = 0 THEN 8e0 WHEN span % 4 = 1 THEN 11.96e0 WHEN span % 4 = 2 THEN 11.4e0
+          WHEN span % 4 = 3 THEN 11.3e0 ELSE 12e0 END AS size, text
+        FROM pieces""",
+    "page_texts": f"""SELECT doc_id, pos // 5 AS page, string_agg(text, {NL} ORDER BY pos) AS text
         FROM lines GROUP BY ALL""",
     "catalog": f"""SELECT doc_id AS id, split_part(text, chr(10), 1) AS title, nullif(source, 'src0') AS author,
         CASE WHEN doc_id % 4 <> 1 THEN 'cover/' || doc_id END AS cover_url, 'b' || doc_id AS book_id,
-        CASE WHEN doc_id % 10 <> 0 THEN CAST(ceil(n_chars / 3.8e3) AS INTEGER) END AS parts_count,
+        CASE WHEN doc_id % 10 <> 0 THEN CAST(ceil(n_chars / 1e3) AS INTEGER) END AS parts_count,
         CASE doc_id % 3 WHEN 1 THEN '{V.DEFAULT_VOICE}' WHEN 2 THEN 'es-ES-ElviraNeural' END AS voice,
         CASE WHEN lang = 'fr' THEN 'Novela' WHEN lang = 'de' THEN 'Historia' WHEN lang = 'es' THEN 'Sin mapa'
           WHEN doc_id % 2 = 1 THEN '' END AS category,
@@ -109,21 +113,24 @@ VIEWS = {
     "parts_required": """SELECT id, book_id, CAST(unnest(range(parts_count)) AS INTEGER) AS part_index, 'v1' AS voice
         FROM catalog WHERE parts_count > 0""",
     "stored_text": "SELECT book_id, part_index FROM parts_required WHERE (id + part_index) % 7 <> 0",
-    "stored_audio": "SELECT book_id, part_index, voice FROM parts_required WHERE (id + part_index) % 3 = 0",
+    "stored_audio": "SELECT book_id, part_index, voice AS voice_slug FROM parts_required WHERE (id + part_index) % 3 = 0",
+    "searchable": "SELECT c.* REPLACE (replace(d.text, chr(10), ' ') AS title) FROM catalog c JOIN documents d ON c.id = d.doc_id",
+    "picked": """SELECT *, (user_id * 31 + (event_id % 8) * 97) % (SELECT count(*) FROM documents) AS book,
+        (user_id * 31 + (event_id % 10) * 97) % (SELECT count(*) FROM documents) AS wanted FROM events""",
     "listening": """SELECT e.user_id, d.doc_id AS global_book_id, e.ts, e.event_id,
         CASE event_type WHEN 'view' THEN 'tick' WHEN 'click' THEN 'ended' WHEN 'signup' THEN 'duration'
           WHEN 'error' THEN 'seek' WHEN 'purchase' THEN 'restart' END AS kind,
         CASE WHEN event_type = 'error' THEN CAST(CAST(floor(value) AS BIGINT) % 6 - 1 AS DOUBLE)
           WHEN event_type = 'signup' AND event_id % 5 = 0 THEN 0e0 ELSE value END AS value,
         CAST(greatest(1, ceil(n_chars / 2e2)) AS INTEGER) AS parts
-        FROM events e JOIN documents d ON d.doc_id = e.event_id % 20""",
-    "user_books": """SELECT user_id, CASE WHEN event_id % 101 = 0 THEN -1 ELSE event_id % 20 END AS global_book_id,
-        CASE WHEN min(event_id) % 4 <> 0 THEN CAST(min(event_id) % 6 AS INTEGER) END AS current_part_index,
+        FROM picked e JOIN documents d ON d.doc_id = e.book""",
+    "user_books": """SELECT user_id, CASE WHEN event_id % 101 = 0 THEN -1 ELSE book END AS global_book_id,
+        CASE WHEN min(event_id) % 4 <> 0 THEN CAST(min(event_id) // 7 % 3 AS INTEGER) END AS current_part_index,
         max(value) AS "current_time",
         CASE WHEN count(*) % 3 <> 0 THEN min(value) * 10 END AS total_time,
         CAST(CAST(floor(max(value)) AS BIGINT) % 3 * 50 AS INTEGER) AS progress, min(ts) AS added_at
-        FROM events GROUP BY 1, 2""",
-    "requests": "SELECT user_id, event_id % 23 AS global_book_id, ts, event_id, value, event_type FROM events",
+        FROM picked GROUP BY 1, 2""",
+    "requests": "SELECT user_id, wanted AS global_book_id, ts, event_id, value, event_type FROM picked",
     "library": """SELECT u.user_id, c.id, c.title, coalesce(c.author, '') AS author,
         coalesce(c.cover_url, '') AS cover_url, coalesce(u.progress, 0) AS progress, '' AS duration,
         coalesce(u."current_time", 0) AS "current_time", coalesce(u.total_time, 0) AS total_time, u.added_at,
@@ -150,7 +157,8 @@ VIEWS = {
         ['minimal', 'mild', 'moderate', 'severe', 'none'][p_size % 5 + 1] AS severity FROM part""",
     "messages": """SELECT conv_id, turn, role, CASE WHEN turn % 3 = 2 THEN 'evidence' ELSE 'reasoning' END AS type,
         CASE WHEN turn % 5 = 4 THEN ' ' || chr(9) || ' ' ELSE text END AS content FROM conversations""",
-    "sources": """SELECT doc_id AS id, string_split(split_part(text, chr(10), 1), ' ')[1:CAST(doc_id % 4 AS INTEGER)] AS authors,
+    "sources": """SELECT doc_id AS id, CASE WHEN doc_id % 5 = 0 THEN []
+          ELSE list_filter(string_split(text, chr(10)), lambda x: x <> '') END AS authors,
         CAST(doc_id % 35 + 1990 AS INTEGER) AS year FROM documents""",
     "accounts": """SELECT c_custkey AS id,
         CASE c_custkey % 3 WHEN 1 THEN '' WHEN 2 THEN c_name END AS full_name,
@@ -178,7 +186,7 @@ candidates AS (
     coalesce(nullif({_strip("translate(regexp_replace(file_name, '(?s)[.][^.]*$', ''), '_-', '  ')")}, ''),
       '{V.DEFAULT_TITLE}') AS title,
     '{V.UPLOAD_AUTHOR}' AS author, coalesce(nullif(cover_url, ''), '{V.DEFAULT_COVER}') AS cover_url,
-    left(file_hash, 12) AS book_id, c.parts_count, '{V.DEFAULT_VOICE}' AS voice, category, file_hash, added_by,
+    file_hash AS book_id, c.parts_count, '{V.DEFAULT_VOICE}' AS voice, category, file_hash, added_by, arrived_at AS created_at,
     '~' || (c.parts_count * {V.MINUTES_PER_PART}) || 'min' AS duration, 0 AS total_time
   FROM accepted a JOIN counts c USING (upload_id))"""
 
@@ -218,18 +226,22 @@ LAST_STATE = """SELECT user_id, global_book_id, current_part_index, "current_tim
         QUALIFY row_number() OVER (PARTITION BY user_id, global_book_id ORDER BY rn DESC) = 1"""
 
 MAIN_SIZE = """weights AS (
-  SELECT doc_id, round(size, 1) AS size, sum(length(trim(text, {spaces}))) AS weight, min([page, block]) AS seen
+  SELECT doc_id, round(size, 1) AS size, sum(length(trim(text, {spaces}))) AS weight, min([page, block, line, span]) AS seen
   FROM spans WHERE block_type = 0 AND page < {sample} AND length(trim(text, {spaces})) > 2 GROUP BY 1, 2),
 main_size AS (
   SELECT doc_id, size AS main FROM weights
   QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, seen) = 1),
 body_lines AS (
-  SELECT s.doc_id, page, block, trim(text, {spaces}) AS line FROM spans s JOIN main_size m USING (doc_id)
+  SELECT s.doc_id, page, block, line, trim(string_agg(text, '' ORDER BY span), {spaces}) AS text
+  FROM spans s JOIN main_size m USING (doc_id)
   WHERE block_type = 0 AND page < {pages} AND NOT (y1 < page_height * {top}e0 OR y0 > page_height * {bottom}e0)
-    AND round(size, 1) >= main - {tol}e0),
+    AND round(size, 1) >= main - {tol}e0 GROUP BY ALL),
 bodies AS (
-  SELECT doc_id, string_agg(line, chr(10) ORDER BY page, block) AS text FROM body_lines WHERE line <> ''
-  GROUP BY doc_id)""".format(
+  SELECT doc_id, string_agg(text, chr(10) ORDER BY page, block, line) AS text FROM body_lines WHERE text <> ''
+  GROUP BY doc_id),
+dropped AS (
+  SELECT doc_id, CAST(count(DISTINCT page) FILTER (page >= {pages}) AS INTEGER) AS pages_dropped
+  FROM spans WHERE block_type = 0 GROUP BY doc_id)""".format(
     spaces=SPACES,
     sample=V.SAMPLE_PAGES,
     pages=V.MAX_PAGES,
@@ -248,7 +260,8 @@ QUERIES = {
         SELECT doc_id, part_index, CAST(count(*) OVER (PARTITION BY doc_id) AS INTEGER) AS parts_count,
           doc_id || '/text/part_' || part_index || '.txt' AS path,
           CAST(length(part) AS INTEGER) AS part_chars, sha256(part) AS part_hash FROM parts""",
-    "body_text": f"WITH {MAIN_SIZE} SELECT doc_id, body FROM (SELECT doc_id, {_clean('text')} AS body FROM bodies) WHERE body <> ''",
+    "body_text": f"""WITH {MAIN_SIZE} SELECT doc_id, body, pages_dropped
+        FROM (SELECT doc_id, {_clean('text')} AS body FROM bodies) JOIN dropped USING (doc_id) WHERE body <> ''""",
     "page_preview": f"""WITH totals AS (
           SELECT doc_id, CAST(max(page) + 1 AS INTEGER) AS total_pages,
             string_agg(text, {NL} ORDER BY page) FILTER (page < {V.PREVIEW_CLEAN_PAGES}) AS text
@@ -263,7 +276,7 @@ QUERIES = {
     "derive_title": f"""SELECT upload_id,
           coalesce(nullif({_strip("translate(regexp_replace(file_name, '(?s)[.][^.]*$', ''), '_-', '  ')")}, ''),
             '{V.DEFAULT_TITLE}') AS title FROM uploads""",
-    "slug_key": f"SELECT id, {SLUG.format('title')} AS title_slug, {SLUG.format(chr(39).join(['coalesce(author, ', '', ')']))} AS author_slug FROM catalog",
+    "slug_key": f"SELECT doc_id AS id, {SLUG.format('text')} AS title_slug, {SLUG.format(chr(39).join(['coalesce(source, ', '', ')']))} AS author_slug FROM documents",
     "file_hash": "SELECT doc_id, sha256(text) AS file_hash FROM documents",
     "intake_gate": f"WITH RECURSIVE {GATE} SELECT upload_id, file_name, reject_reason FROM gate",
     "new_documents": """SELECT file_hash, min(id) AS id FROM catalog
@@ -283,8 +296,8 @@ QUERIES = {
         ORDER BY user_id, added_at DESC, id""",
     "catalog_by_category": f"""SELECT id, title, category FROM catalog
         WHERE coalesce(nullif(category, ''), '{V.NO_CATEGORY}') = '{V.NO_CATEGORY}'""",
-    "catalog_search": """SELECT id, title, author, category FROM catalog
-        WHERE contains(lower(title), 'novel') OR contains(lower(author), 'novel') OR contains(lower(category), 'novel')""",
+    "catalog_search": """SELECT id, title, author, category FROM searchable
+        WHERE contains(lower(title), 'ther th') OR contains(lower(author), 'ther th') OR contains(lower(category), 'ther th')""",
     "used_categories": f"""WITH listed AS (
           SELECT unnest({_list(V.CATEGORIES)}) AS category,
             CAST(generate_subscripts({_list(V.CATEGORIES)}, 1) - 1 AS INTEGER) AS ord)
@@ -300,10 +313,21 @@ QUERIES = {
         FROM (SELECT DISTINCT user_id, global_book_id FROM requests WHERE event_type = 'click') q
         JOIN catalog c ON c.id = q.global_book_id
         LEFT JOIN user_books u ON u.user_id = q.user_id AND u.global_book_id = q.global_book_id""",
-    "category_override": f"""WITH chosen AS (
-          SELECT event_id % 20 AS id, {_list(V.CATEGORIES)}[event_id % {len(V.CATEGORIES)} + 1] AS chosen FROM events
-          QUALIFY row_number() OVER (PARTITION BY event_id % 20 ORDER BY ts DESC, event_id DESC) = 1)
-        SELECT id, title, coalesce(chosen, category) AS category FROM catalog LEFT JOIN chosen USING (id)""",
+    "category_override": f"""WITH offered AS (
+          SELECT user_id, book AS id, ts, event_id, {_list(V.CATEGORIES)}[event_id % {len(V.CATEGORIES)} + 1] AS chosen
+          FROM picked WHERE event_id % 3 = 0),
+        chosen AS (
+          SELECT user_id, id, chosen FROM offered WHERE chosen <> '{V.ALL_CATEGORIES}'
+          QUALIFY row_number() OVER (PARTITION BY user_id, id ORDER BY ts DESC, event_id DESC) = 1)
+        SELECT user_id, id, title, coalesce(chosen, category) AS category FROM library LEFT JOIN chosen USING (user_id, id)""",
+    "library_search": """SELECT user_id, id, title, category FROM library
+        WHERE contains(lower(title), 'novel') OR contains(lower(author), 'novel') OR contains(lower(category), 'novel')""",
+    "library_categories": f"""WITH listed AS (
+          SELECT unnest({_list(V.CATEGORIES)}) AS category,
+            CAST(generate_subscripts({_list(V.CATEGORIES)}, 1) - 1 AS INTEGER) AS ord)
+        SELECT ord, category FROM listed WHERE category = '{V.ALL_CATEGORIES}'
+          OR category IN (SELECT coalesce(nullif(category, ''), '{V.NO_CATEGORY}') FROM library) ORDER BY ord""",
+    "one_library": "SELECT * FROM library WHERE user_id = 7 ORDER BY added_at DESC, id",
     "library_add": """SELECT * FROM user_books UNION ALL
         SELECT user_id, global_book_id, 0, 0e0, 0e0, 0, min(ts) FROM requests r
         WHERE event_type = 'signup' AND NOT EXISTS (SELECT 1 FROM user_books u
@@ -326,17 +350,19 @@ QUERIES = {
           coalesce(b, "current_time") AS "current_time", coalesce(c, total_time) AS total_time,
           coalesce(d, progress) AS progress, added_at
         FROM user_books LEFT JOIN merged USING (user_id, global_book_id)""",
-    "audio_plan": """SELECT book_id, part_index, voice,
+    "audio_plan": """SELECT r.book_id, r.part_index, r.voice,
+          r.book_id || '/audio/part_' || r.part_index || '_' || r.voice || '.mp3' AS path,
           CASE WHEN a.book_id IS NOT NULL THEN 'hit' WHEN t.book_id IS NOT NULL THEN 'generate'
             ELSE 'missing_text' END AS state
-        FROM parts_required r LEFT JOIN stored_audio a USING (book_id, part_index, voice)
-        LEFT JOIN stored_text t USING (book_id, part_index)""",
+        FROM parts_required r
+        LEFT JOIN stored_audio a ON a.book_id = r.book_id AND a.part_index = r.part_index AND a.voice_slug = r.voice
+        LEFT JOIN stored_text t ON t.book_id = r.book_id AND t.part_index = r.part_index""",
     "prefetch_plan": """WITH following AS (
           SELECT DISTINCT c.book_id, CAST(coalesce(current_part_index, 0) + 1 AS INTEGER) AS part_index, 'v1' AS voice
           FROM user_books u JOIN catalog c ON c.id = u.global_book_id
           WHERE coalesce(current_part_index, 0) < c.parts_count - 1)
         SELECT * FROM following n WHERE NOT EXISTS (SELECT 1 FROM stored_audio a
-          WHERE a.book_id = n.book_id AND a.part_index = n.part_index AND a.voice = n.voice)""",
+          WHERE a.book_id = n.book_id AND a.part_index = n.part_index AND a.voice_slug = n.voice)""",
     "parts_gap_report": """SELECT book_id, coalesce(parts_count, 0) AS declared,
           CAST(count(t.part_index) AS INTEGER) AS stored,
           CAST(coalesce(parts_count, 0) - count(t.part_index) AS INTEGER) AS missing
@@ -361,8 +387,14 @@ QUERIES = {
         saved_events AS (SELECT * FROM listening
           WHERE kind <> 'tick' OR event_id IN (SELECT tick_id FROM walk WHERE saved)),
         {FOLD.format(source='saved_events')} {LAST_STATE}""",
-    "tick_throttle": f"""WITH RECURSIVE {THROTTLE.format(source='events')}
-        SELECT user_id, tick_id, clock FROM walk WHERE saved""",
+    "tick_throttle": f"""WITH RECURSIVE given AS (
+          SELECT CASE WHEN event_id % 97 <> 5 THEN user_id END AS user_id, CASE WHEN event_id % 89 <> 7 THEN ts END AS ts,
+            event_id FROM events),
+        judged AS (SELECT * FROM given WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+        {THROTTLE.format(source='judged')}
+        SELECT user_id, tick_id, clock, NULL AS reason FROM walk WHERE saved
+        UNION ALL SELECT user_id, event_id, NULL, CASE WHEN user_id IS NULL THEN 'no_user' ELSE 'no_time' END
+        FROM given WHERE user_id IS NULL OR ts IS NULL""",
     "responses_latest": """SELECT session, question, value,
           CAST(row_number() OVER (PARTITION BY session ORDER BY ts, event_id) AS INTEGER) AS position,
           (question + 1) / 21e0 * 100 AS answer_progress FROM answers""",

@@ -46,7 +46,7 @@ def parts_manifest(v: Views) -> DataFrame:
 
 @query
 def body_text(v: Views) -> DataFrame:
-    return body.body_text(v.spans(), "doc_id")
+    return body.body_text(v.spans(), "doc_id", max_pages=V.MAX_PAGES)
 
 
 @query
@@ -61,10 +61,10 @@ def derive_title(v: Views) -> DataFrame:
 
 @query
 def slug_key(v: Views) -> DataFrame:
-    return v.catalog().select(
-        "id",
-        T.slug(F.col("title")).alias("title_slug"),
-        T.slug(F.coalesce("author", F.lit(""))).alias("author_slug"),
+    return v.docs().select(
+        F.col("doc_id").alias("id"),
+        T.slug(F.col("text")).alias("title_slug"),
+        T.slug(F.coalesce("source", F.lit(""))).alias("author_slug"),
     )
 
 
@@ -97,7 +97,7 @@ def catalog_candidates(v: Views) -> DataFrame:
 
 @query
 def catalog_apply(v: Views) -> DataFrame:
-    return intake.catalog_apply(v.known_catalog().drop("created_at"), _candidates(v))
+    return intake.catalog_apply(v.known_catalog(), _candidates(v))
 
 
 # --- catalog and shelves -------------------------------------------------
@@ -137,7 +137,8 @@ def catalog_by_category(v: Views) -> DataFrame:
 
 @query
 def catalog_search(v: Views) -> DataFrame:
-    return catalog.catalog_search(v.catalog(), "  NoVeL ").select("id", "title", "author", "category")
+    found = catalog.catalog_search(v.searchable(), "  ThEr tH ")
+    return found.select("id", "title", "author", "category")
 
 
 @query
@@ -152,8 +153,25 @@ def resolve_play(v: Views) -> DataFrame:
 
 @query
 def category_override(v: Views) -> DataFrame:
-    moved = catalog.category_override(v.catalog(), v.category_choices())
-    return moved.select("id", "title", "category")
+    moved = catalog.category_override(_library(v), v.category_choices())
+    return moved.select("user_id", "id", "title", "category")
+
+
+@query
+def library_search(v: Views) -> DataFrame:
+    """The personal tab's search; its books may lie in any reader's library."""
+    found = catalog.catalog_search(_library(v), " NoVeL")
+    return found.select("user_id", "id", "title", "category")
+
+
+@query
+def library_categories(v: Views) -> DataFrame:
+    return catalog.used_categories(_library(v))
+
+
+@query
+def one_library(v: Views) -> DataFrame:
+    return catalog.user_library(v.user_books(), v.catalog(), user_id=7)
 
 
 # --- library changes -----------------------------------------------------
@@ -237,7 +255,8 @@ def playback_saved(v: Views) -> DataFrame:
 
 @query
 def tick_throttle(v: Views) -> DataFrame:
-    return playback.tick_throttle(v.ticks(), THROTTLE_GAP_MS, THROTTLE_BUCKET_MS)
+    saved = playback.tick_throttle(v.ticks(), THROTTLE_GAP_MS, THROTTLE_BUCKET_MS)
+    return saved.unionByName(playback.unusable_ticks(v.ticks()), allowMissingColumns=True)
 
 
 # --- clinic --------------------------------------------------------------
@@ -253,7 +272,7 @@ def saved_answers(v: Views) -> DataFrame:
 
 @query
 def domain_profile(v: Views) -> DataFrame:
-    return clinic.domain_profile(clinic.results(v.responses(), DOMAINS))
+    return clinic.domain_profile(v.results(DOMAINS))
 
 
 @query

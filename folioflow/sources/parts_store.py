@@ -2,36 +2,71 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.functions.text import file_hash
 
 BOOK_META = "title string, voice string, parts_count int, cover_url string"
+BUCKET_BYTES = 1 << 28
+#: batch and the number of buckets are part of the path, so they come back as columns.
+STORE_COLUMNS = ("batch", "buckets", "bucket")
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Size of the tables a plan reads."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+
 
+def bucket_of(key: Column, buckets) -> Column:
+    return F.pmod(F.xxhash64(key), buckets).cast("int")
 
-def write_parts(parts: DataFrame, path: str, key: str = "book_id", buckets: int = 64) -> None:
-    """Write (key, part_index, text) to parquet, split in buckets by key.
 
-    The rebalance hint lets Spark split a bucket that one long book makes too large
-    and merge small ones, so files come out at about the same size.
+def write_parts(
+    parts: DataFrame, path: str, batch: str, key: str = "book_id", buckets: int | None = None
+) -> None:
+    """Add a batch of (key, part_index, text) to the store at `path`.
+
+    Every batch has a folder of its own, so earlier batches stay, and writing a batch
+    again replaces just that batch. The number of buckets follows from the size of what
+    the batch is made from unless given; it is kept in the batch's path. The rebalance
+    hint lets Spark split a bucket that one long book makes too large and merge small
+    ones. Rows are sorted in their file, so that a book's row groups can be picked.
     """
-    bucketed = parts.select(
-        key, "part_index", "text", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias("bucket")
+    if not re.fullmatch(r"[\w.-]+", batch):
+        raise ValueError(f"batch {batch!r}: letters, digits, '_', '.' and '-' only")
+    n = buckets or min(100_000, max(1, -(-input_bytes(parts) // BUCKET_BYTES)))
+    bucketed = parts.select(key, "part_index", "text", bucket_of(F.col(key), F.lit(n)).alias("bucket"))
+    (
+        bucketed.hint("rebalance", "bucket")
+        .sortWithinPartitions("bucket", key, "part_index")
+        .withColumn("buckets", F.lit(n))
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "static")
+        .partitionBy("buckets", "bucket")
+        .parquet(f"{path}/batch={batch}")
     )
-    bucketed.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def _store(spark: SparkSession, path: str) -> DataFrame:
+    # The batch's name stays text whatever it looks like.
+    return spark.read.parquet(path).withColumn("batch", F.col("batch").cast("string"))
 
 
 def read_parts(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).drop("bucket")
+    """Parts of all batches. A batch must not repeat a book of another one; the gate sees to that."""
+    return _store(spark, path).drop(*STORE_COLUMNS)
 
 
-def read_book(spark: SparkSession, path: str, book, key: str = "book_id", buckets: int = 64) -> DataFrame:
-    """Parts of one book; only its bucket is read."""
-    parts = spark.read.parquet(path)
+def read_book(spark: SparkSession, path: str, book, key: str = "book_id") -> DataFrame:
+    """Parts of one book; only its bucket in each batch is read, and there its row groups."""
+    parts = _store(spark, path)
     typed = F.lit(book).cast(parts.schema[key].dataType)
-    bucket = spark.range(1).select(F.pmod(F.xxhash64(typed), F.lit(buckets)).cast("int")).first()[0]
-    return parts.where((F.col("bucket") == bucket) & (F.col(key) == typed)).drop("bucket")
+    mine = (F.col("bucket") == bucket_of(typed, F.col("buckets"))) & (F.col(key) == typed)
+    return parts.where(mine).drop(*STORE_COLUMNS)
 
 
 def read_part_files(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
@@ -58,19 +93,42 @@ def read_part_files(spark: SparkSession, root: str) -> tuple[DataFrame, DataFram
     return books, parts
 
 
+def read_audio_files(spark: SparkSession, root: str) -> DataFrame:
+    """Stored audio of a `<book>/audio/part_<n>_<voice slug>.mp3` layout: book_id, part_index, voice_slug.
+
+    Only names are listed; no audio is read.
+    """
+    files = spark.read.format("binaryFile").load(f"{root}/*/audio/part_*.mp3").select("path")
+    at = r"([^/]+)/audio/part_(\d+)_([^/]+)\.mp3$"
+    name = F.url_decode("path")
+    return files.select(
+        F.regexp_extract(name, at, 1).alias("book_id"),
+        F.regexp_extract(name, at, 2).cast("int").alias("part_index"),
+        F.regexp_extract(name, at, 3).alias("voice_slug"),
+    )
+
+
+def _qualified(spark: SparkSession, path: str) -> str:
+    """The path with its scheme, as the file sources report it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    return system.makeQualified(where).toString().rstrip("/")
+
+
 def read_uploads(spark: SparkSession, root: str, listing: DataFrame) -> DataFrame:
     """Listed upload files with their size and hash.
 
-    The listing (upload_id, file_name, category) leads, because the file source
-    leaves out empty files.
+    The listing (upload_id, file_path below `root`, file_name, category) leads, because
+    the file source leaves out empty files. Equal names in different folders are
+    different files.
     """
-    files = spark.read.format("binaryFile").load(root)
-    name = F.url_decode(F.regexp_extract(F.col("path"), r"([^/]+)$", 1))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    below = F.substring(F.url_decode("path"), len(_qualified(spark, root)) + 2, 2**31 - 1)
     found = files.select(
-        name.alias("file_name"), F.col("length").alias("_length"), file_hash(F.col("content")).alias("_hash")
+        below.alias("file_path"), F.col("length").alias("_length"), file_hash(F.col("content")).alias("_hash")
     )
     empty = file_hash(F.lit("").cast("binary"))
-    return listing.join(found, "file_name", "left").select(
+    return listing.join(found, "file_path", "left").select(
         *listing.columns,
         F.coalesce("_length", F.lit(0)).alias("size_bytes"),
         F.coalesce("_hash", empty).alias("file_hash"),

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from folioflow import fixed_values as V
 from folioflow.functions import text as T
 from folioflow.functions.scalars import part_indexes
-from folioflow.operators.joins import lookup_join, spread, unroll
+from folioflow.operators.joins import unroll
 
-LISTENED_BOOKS = 20
+PAGE_LINES = 5
 QUESTIONS = 21
 PLAN_VOICE = "v1"
 EPOCH = "timestamp_ntz'2024-01-01 00:00:00'"
@@ -35,7 +35,7 @@ class Views:
 
     # --- documents -------------------------------------------------------
     def docs(self) -> DataFrame:
-        return spread(self.table("documents"), "doc_id")
+        return self.table("documents")
 
     def raw_docs(self) -> DataFrame:
         """Documents with page marks, which the driver's text lacks."""
@@ -50,9 +50,10 @@ class Views:
         return self.docs().select("doc_id", marked.alias("text"))
 
     def uploads(self) -> DataFrame:
-        """Files as they arrive; upload_id is the arrival order."""
+        """Files as they arrive; upload_id is the arrival order. Some hold no text."""
         i = F.col("doc_id")
         key = i.cast("string")
+        text = F.when(i % 40 == 13, "\n 12 \n- 3 -").otherwise(F.col("text"))
         file_name = (
             F.when(i % 9 == 0, "_-_.pdf")
             .when(i % 9 == 1, F.concat(F.lit("notes "), key, F.lit(".txt")))
@@ -68,42 +69,50 @@ class Views:
             .when(i % 8 == 4, "")
             .otherwise("Novela")
             .alias("category"),
-            F.when(i % 40 == 11, "\n 12 \n- 3 -").otherwise(F.col("text")).alias("text"),
+            text.alias("text"),
             F.when(i % 3 == 0, F.concat(F.lit("cover/"), key)).when(i % 3 == 1, "").alias("cover_url"),
             F.concat(F.lit("u"), (i % 7).cast("string")).alias("added_by"),
-            T.file_hash(F.col("text")).alias("file_hash"),
+            T.file_hash(text).alias("file_hash"),
+            F.expr(f"{EPOCH} + make_dt_interval(1, 0, 0, doc_id)").alias("arrived_at"),
         )
 
     def spans(self) -> DataFrame:
-        """One text span per line of a document, 40 lines to a page."""
+        """Text spans of 40 characters; five lines to a page, the outer two in its margins.
+
+        Lines come two to a block, and spans of a line differ in size.
+        """
         split = self.docs().select("doc_id", F.split("text", "\n").alias("_lines"))
-        lines = unroll(split, ["doc_id"], "_lines", "pos", "text")
-        row = F.col("pos") % 40
-        return lines.select(
+        lines = unroll(split, ["doc_id"], "_lines", "pos", "line_text")
+        row = F.col("pos") % PAGE_LINES
+        cut = F.regexp_extract_all(F.col("line_text"), F.lit("(?s).{1,40}"), F.lit(0))
+        spans = unroll(lines.withColumn("_spans", cut), ["doc_id", "pos"], "_spans", "span", "text")
+        return spans.select(
             "doc_id",
-            F.floor(F.col("pos") / 40).cast("int").alias("page"),
-            row.alias("block"),
-            F.lit(0).alias("line"),
-            F.lit(0).alias("span"),
+            F.floor(F.col("pos") / PAGE_LINES).cast("int").alias("page"),
+            F.floor(row / 2).cast("int").alias("block"),
+            (row % 2).cast("int").alias("line"),
+            "span",
             F.when(F.col("pos") % 13 == 12, 1).otherwise(0).alias("block_type"),
-            (row * 20.0).alias("y0"),
-            (row * 20.0 + 12).alias("y1"),
+            (row * 190.0).alias("y0"),
+            (row * 190.0 + 12).alias("y1"),
             F.lit(800.0).alias("page_height"),
             F.when(F.col("pos") % 7 == 0, 8.0)
-            .when(F.col("pos") % 5 == 0, 11.5)
+            .when(F.col("span") % 4 == 1, 11.96)
+            .when(F.col("span") % 4 == 2, 11.4)
+            .when(F.col("span") % 4 == 3, 11.3)
             .otherwise(12.0)
             .alias("size"),
             "text",
         )
 
     def page_texts(self) -> DataFrame:
-        """Plain text of every page, 40 lines each."""
+        """Plain text of every page, five lines each."""
 
         def page_list(lines):
-            n_pages = F.ceil(F.size(lines) / 40).cast("int")
+            n_pages = F.ceil(F.size(lines) / PAGE_LINES).cast("int")
             return F.transform(
                 F.sequence(F.lit(0), n_pages - 1),
-                lambda p: F.array_join(F.slice(lines, p * 40 + 1, F.lit(40)), "\n"),
+                lambda p: F.array_join(F.slice(lines, p * PAGE_LINES + 1, F.lit(PAGE_LINES)), "\n"),
             )
 
         pages = T.bind(F.split("text", "\n"), page_list)
@@ -121,7 +130,7 @@ class Views:
             F.nullif(F.col("source"), F.lit("src0")).alias("author"),
             F.when(i % 4 != 1, F.concat(F.lit("cover/"), key)).alias("cover_url"),
             F.concat(F.lit("b"), key).alias("book_id"),
-            F.when(i % 10 != 0, F.ceil(F.col("n_chars") / 3800.0).cast("int")).alias("parts_count"),
+            F.when(i % 10 != 0, F.ceil(F.col("n_chars") / 1000.0).cast("int")).alias("parts_count"),
             F.when(i % 3 == 1, V.DEFAULT_VOICE)
             .when(i % 3 == 2, "es-ES-ElviraNeural")
             .alias("voice"),
@@ -155,12 +164,23 @@ class Views:
     def stored_audio(self) -> DataFrame:
         parts = self.parts_required()
         return parts.where((F.col("id") + F.col("part_index")) % 3 == 0).select(
-            "book_id", "part_index", "voice"
+            "book_id", "part_index", T.slug(F.col("voice")).alias("voice_slug")
         )
 
+    def searchable(self) -> DataFrame:
+        """Books with their whole text, on one line, as the title."""
+        whole = F.regexp_replace("text", "\n", " ")
+        book = self.table("documents").select(F.col("doc_id").alias("id"), whole.alias("title"))
+        return self.catalog().drop("title").join(book, "id")
+
     # --- listening -------------------------------------------------------
+    def _book(self, of: int):
+        """A book for an event: each reader has up to `of` books, spread over all documents."""
+        n = self.table("documents").agg(F.count("*")).scalar()
+        return (F.col("user_id") * 31 + (F.col("event_id") % of) * 97) % n
+
     def events(self) -> DataFrame:
-        return self.table("events").withColumn("book", F.col("event_id") % LISTENED_BOOKS)
+        return self.table("events").withColumn("book", self._book(8))
 
     def listening(self) -> DataFrame:
         """Player events with the part count of their book."""
@@ -186,11 +206,16 @@ class Views:
             "doc_id",
             F.greatest(F.lit(1), F.ceil(F.col("n_chars") / 200.0)).cast("int").alias("parts"),
         )
-        joined = lookup_join(events, books, "doc_id", spread_on=["event_id"], how="inner")
-        return joined.withColumnRenamed("doc_id", "global_book_id")
+        return events.join(books, "doc_id").withColumnRenamed("doc_id", "global_book_id")
 
     def ticks(self) -> DataFrame:
-        return self.table("events").select("user_id", "ts", F.col("event_id").alias("tick_id"))
+        """Ticks of all events; some lack their user, some their time."""
+        i = F.col("event_id")
+        return self.table("events").select(
+            F.when(i % 97 != 5, F.col("user_id")).alias("user_id"),
+            F.when(i % 89 != 7, F.col("ts")).alias("ts"),
+            i.alias("tick_id"),
+        )
 
     def user_books(self) -> DataFrame:
         book = F.when(F.col("event_id") % 101 == 0, F.lit(-1)).otherwise(F.col("book"))
@@ -199,7 +224,7 @@ class Views:
             self.events()
             .groupBy("user_id", book.alias("global_book_id"))
             .agg(
-                F.when(first % 4 != 0, (first % 6).cast("int")).alias("current_part_index"),
+                F.when(first % 4 != 0, (F.floor(first / 7) % 3).cast("int")).alias("current_part_index"),
                 F.max("value").alias("current_time"),
                 F.when(F.count("*") % 3 != 0, F.min("value") * 10).alias("total_time"),
                 ((F.floor(F.max("value")) % 3) * 50).cast("int").alias("progress"),
@@ -208,13 +233,13 @@ class Views:
         )
 
     def changes(self, event_type: str) -> DataFrame:
-        """Requests of one kind; books 20 to 22 are in nobody's library."""
+        """Requests of one kind; the last two of a reader's ten books are not in the library."""
         return (
             self.table("events")
             .where(F.col("event_type") == event_type)
             .select(
                 "user_id",
-                (F.col("event_id") % 23).alias("global_book_id"),
+                self._book(10).alias("global_book_id"),
                 "ts",
                 "event_id",
                 "value",
@@ -236,8 +261,10 @@ class Views:
         )
 
     def category_choices(self) -> DataFrame:
-        return self.table("events").select(
-            (F.col("event_id") % LISTENED_BOOKS).alias("id"),
+        """What readers chose for their books; some chose the entry for all."""
+        return self.table("events").where(F.col("event_id") % 3 == 0).select(
+            "user_id",
+            self._book(8).alias("id"),
             F.element_at(
                 F.array(*[F.lit(c) for c in V.CATEGORIES]),
                 (F.col("event_id") % len(V.CATEGORIES) + 1).cast("int"),
@@ -256,6 +283,21 @@ class Views:
             "event_id",
         )
 
+    def results(self, n_domains: int) -> DataFrame:
+        """Nested result per session: one score struct per domain, out of the possible score."""
+        answers = self.responses().groupBy("session", "question").agg(
+            F.max(F.struct("ts", "event_id", "value"))["value"].alias("value")
+        )
+        domains = answers.groupBy("session", (F.col("question") % n_domains).alias("domain")).agg(
+            F.sum("value").cast("int").alias("score"), (F.count("*") * 3).cast("int").alias("max_score")
+        )
+        percentile = F.floor(F.col("score") * 100 / F.col("max_score")).cast("int")
+        return domains.groupBy("session").agg(
+            F.sort_array(
+                F.collect_list(F.struct("domain", "score", "max_score", percentile.alias("percentile")))
+            ).alias("domain_scores")
+        )
+
     def patients(self) -> DataFrame:
         return self.table("customer").select(
             F.col("c_custkey").alias("id"),
@@ -316,10 +358,12 @@ class Views:
         )
 
     def sources(self) -> DataFrame:
-        words = F.split(_first_line(), " ")
+        """Every line of a text is an author; some sources have none."""
+        lines = F.filter(F.split("text", "\n"), lambda line: line != "")
+        none = F.array().cast("array<string>")
         return self.table("documents").select(
             F.col("doc_id").alias("id"),
-            F.slice(words, F.lit(1), (F.col("doc_id") % 4).cast("int")).alias("authors"),
+            F.when(F.col("doc_id") % 5 == 0, none).otherwise(lines).alias("authors"),
             (F.col("doc_id") % 35 + 1990).cast("int").alias("year"),
         )
 

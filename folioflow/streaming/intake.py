@@ -2,14 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def new_uploads(uploads: DataFrame, catalog: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Arriving files that neither the catalog nor the last `delay` of the stream holds.
+from folioflow.streaming.tables import StateTable, overwrite
 
-    `uploads` is a stream with file_hash and a timestamp arrived_at; carry keys, not
-    texts. Copies farther apart than the delay are left to the catalog check.
+
+def upload_sink(
+    root: str,
+    read_catalog: Callable[[SparkSession], DataFrame],
+    order: str = "upload_id",
+    compact_every: int = 20,
+):
+    """foreachBatch function that lets each file in once: upload rows with file_hash and `order`.
+
+    A batch's first file of a hash is new if neither an earlier batch has let the hash in
+    nor the catalog holds it, which `read_catalog` reads again for each batch. New rows
+    go under `new`, all others under `copies`. Hashes that were let in are kept for good,
+    so copies are found however far apart and however late they come. A repeated batch
+    writes its files anew. Carry keys, not texts.
     """
-    first = uploads.withWatermark("arrived_at", delay).dropDuplicatesWithinWatermark(["file_hash"])
-    return first.join(catalog.select("file_hash"), "file_hash", "left_anti")
+    table = StateTable(f"{root}/hashes", ["file_hash"], compact_every)
+
+    def apply(uploads: DataFrame, batch: int) -> None:
+        spark = uploads.sparkSession
+        first = uploads.groupBy("file_hash").agg(F.min(order).alias("_first"))
+        let_in = table.read(spark, batch - 1)
+        if let_in is not None:
+            first = first.join(let_in, "file_hash", "left_anti")
+        first = first.join(read_catalog(spark).select("file_hash"), "file_hash", "left_anti")
+        path = f"{root}/decided/batch={batch}"
+        # The catalog may grow while the batch runs; one written decision serves all outputs.
+        overwrite(first, path)
+        first = spark.read.schema(first.schema).parquet(path)
+        marked = uploads.join(first, "file_hash", "left")
+        new = F.coalesce(F.col("_first") == F.col(order), F.lit(False))
+        overwrite(marked.where(new).drop("_first"), f"{root}/new/batch={batch}")
+        overwrite(marked.where(~new).drop("_first"), f"{root}/copies/batch={batch}")
+        table.write(first.select("file_hash", F.lit(batch).alias("since")), batch)
+
+    return apply

@@ -104,12 +104,24 @@ def test_play_and_override(spark, books, mine):
     assert {k: r.to_add for k, r in got.items()} == {(7, 2): False, (9, 2): True, (7, 3): True}
     assert got[7, 2].current_time == 5.0 and got[9, 2].current_time == 0.0
     assert got[9, 2].added_at == T1
+    nowhen = spark.createDataFrame([(7, 2, 1, 5.0, 60.0, 50, None)], USER_BOOKS)
+    (personal,) = catalog.resolve_play(asked.where("user_id = 7 and global_book_id = 2"), nowhen, books).collect()
+    assert personal.added_at is None and not personal.to_add
+
+
+def test_override_is_per_reader(spark, books, mine):
     moves = spark.createDataFrame(
-        [(2, "Viajes", T0, 1), (2, "Otro", T1, 2), (77, "Otro", T1, 3)],
-        "id long, category string, ts timestamp_ntz, event_id long",
+        [
+            (7, 2, "Viajes", T0, 1),
+            (7, 2, "Otro", T1, 2),
+            (7, 2, V.ALL_CATEGORIES, T1, 3),
+            (8, 2, V.ALL_CATEGORIES, T1, 4),
+            (9, 2, "Otro", T1, 5),
+        ],
+        "user_id long, id long, category string, ts timestamp_ntz, event_id long",
     )
-    moved = {r.id: r.category for r in catalog.category_override(books, moves).collect()}
-    assert moved == {1: None, 2: "Otro", 3: "", 4: "Sin mapa"}
+    moved = catalog.category_override(catalog.user_library(mine, books), moves)
+    assert {(r.user_id, r.id): r.category for r in moved.collect()} == {(7, 1): None, (7, 2): "Otro", (8, 2): "Historia"}
 
 
 def test_library_changes(spark, mine):
@@ -131,7 +143,7 @@ def test_library_changes(spark, mine):
 
 UPLOADS = (
     "upload_id long, file_name string, size_bytes long, category string, text string, "
-    "cover_url string, added_by string, file_hash string"
+    "cover_url string, added_by string, file_hash string, arrived_at timestamp_ntz"
 )
 
 
@@ -149,7 +161,7 @@ def test_intake_gate_order(spark):
         (10, "a.pdf", 5, "", "x", None, "u", "n6"),
         (11, None, 5, "c", "x", None, "u", "n7"),
     ]
-    uploads = spark.createDataFrame(rows, UPLOADS)
+    uploads = spark.createDataFrame([(*r, T1) for r in rows], UPLOADS)
     known = spark.createDataFrame([("k1",), ("k1",)], "file_hash string")
     gate = intake.intake_gate(uploads, known)
     assert {r.upload_id: r.reject_reason for r in gate.collect()} == {
@@ -172,15 +184,20 @@ def test_intake_gate_order(spark):
 def test_candidate_without_parts(spark):
     schema = (
         "upload_id long, file_name string, file_hash string, category string, "
-        "cover_url string, added_by string, parts_count int"
+        "cover_url string, added_by string, parts_count int, arrived_at timestamp_ntz"
     )
-    rows = [(1, "x.pdf", "h" * 20, "c", "u", "me", None), (2, "y.pdf", "k" * 20, "c", "u", "me", 0)]
+    rows = [(1, "x.pdf", "h" * 20, "c", "u", "me", None, T0), (2, "y.pdf", "k" * 20, "c", "u", "me", 0, T1)]
     candidates = intake.catalog_candidates(spark.createDataFrame(rows, schema))
     got = [(r.duration, r.total_time, r.book_id) for r in candidates.orderBy("id").collect()]
-    assert got == [("~15min", 900, "h" * 12), ("~15min", 900, "k" * 12)]
-    known = spark.createDataFrame([(9, "t", 4, "z")], "id long, title string, parts_count int, file_hash string")
-    applied = intake.catalog_apply(known, candidates.drop("duration", "total_time"))
-    assert {r.id: r.parts_count for r in applied.collect()} == {9: 4, 1: 1, 2: 0}
+    assert got == [("~15min", 900, "h" * 20), ("~15min", 900, "k" * 20)]
+    known = spark.createDataFrame(
+        [(9, "t", 4, "z", T0)], "id long, title string, parts_count int, file_hash string, created_at timestamp_ntz"
+    )
+    applied = intake.catalog_apply(known, candidates)
+    assert {r.id: (r.parts_count, r.created_at) for r in applied.collect()} == {9: (4, T0), 1: (1, T0), 2: (0, T1)}
+    assert intake.catalog_apply(applied, candidates).count() == 3
+    with pytest.raises(ValueError):
+        intake.catalog_apply(known, candidates.drop("created_at"))
 
 
 def test_new_documents_with_many_copies(spark):
@@ -220,8 +237,13 @@ def test_body_text(spark):
         (3, 0, 0, 0, 0, 0, 100.0, 112.0, 800.0, 9.0, "ab"),
         (4, 0, 0, 0, 0, 0, 100.0, 112.0, 800.0, 9.0, "1234"),
     ]
-    got = {r.doc: r.body for r in body.body_text(spark.createDataFrame(rows, SPANS), "doc").collect()}
-    assert got == {1: "Hello world. kept, Big last.", 2: "same size."}
+    df = spark.createDataFrame(rows, SPANS)
+    got = {r.doc: (r.body, r.pages_dropped) for r in body.body_text(df, "doc", max_pages=1000).collect()}
+    assert got == {1: ("Hello world. kept, Big last.", 1), 2: ("same size.", 0)}
+    (whole,) = body.body_text(df, "doc").where("doc = 1").collect()
+    assert (whole.body, whole.pages_dropped) == ("Hello world. kept, Big last beyond.", 0)
+    (more,) = body.body_text(df, "doc", sample_pages=30).where("doc = 1").collect()
+    assert more.body.startswith("Hello world. kept, small Big many small")
 
 
 def test_body_text_tie_goes_to_the_first_seen(spark):
@@ -241,14 +263,19 @@ def test_page_preview(spark):
 
 
 def test_audio(spark, books, mine):
-    required = spark.createDataFrame([("b", i, "v") for i in range(3)], "book_id string, part_index int, voice string")
+    required = spark.createDataFrame(
+        [("b", i, v) for i in range(3) for v in ("a b", "a  b!")], "book_id string, part_index int, voice string"
+    )
     stored = required.where("part_index < 2").select("book_id", "part_index")
-    made = required.where("part_index = 0")
-    plan = audio.audio_plan(required, stored.union(stored), made.union(made)).collect()
-    assert sorted((r.part_index, r.state) for r in plan) == [(0, "hit"), (1, "generate"), (2, "missing_text")]
-    none = spark.createDataFrame([], required.schema)
+    schema = "book_id string, part_index int, voice_slug string"
+    made = spark.createDataFrame([("b", 0, "a_b"), ("b", 0, "a_b"), ("b", 1, "other")], schema)
+    plan = audio.audio_plan(required, stored, made).collect()
+    states = {0: "hit", 1: "generate", 2: "missing_text"}
+    assert len(plan) == 6 and all(r.state == states[r.part_index] for r in plan)
+    assert {r.path for r in plan} == {f"b/audio/part_{i}_a_b.mp3" for i in range(3)}
+    none = spark.createDataFrame([], schema)
     assert [tuple(r) for r in audio.prefetch_plan(mine, books, none, "v").collect()] == [("b2", 2, "v")]
-    have = spark.createDataFrame([("b2", 2, "v")], required.schema)
+    have = spark.createDataFrame([("b2", 2, "v")], schema)
     assert audio.prefetch_plan(mine, books, have, "v").count() == 0
 
 

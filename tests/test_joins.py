@@ -1,73 +1,77 @@
-"""Lookup joins with hot and missing keys, small and beyond the broadcast size."""
-
-from collections import Counter
+"""Joins with a hot key are split by adaptive execution, and results stay the same."""
 
 import pytest
 from pyspark.sql import functions as F
 
-from folioflow.operators.joins import HOT_KEYS, _bytes, estimated_bytes, lookup_join, spread
-
-
-@pytest.fixture(scope="module")
-def facts(spark):
-    i = F.col("id")
-    key = F.when(i % 3 == 0, 1).when(i % 7 == 0, F.lit(None)).otherwise(i % 50)
-    return spark.range(4000).select(key.cast("int").alias("k"), i.alias("fact"))
-
-
-@pytest.fixture(scope="module")
-def lookup(spark):
-    return spark.range(40).select(F.col("id").cast("int").alias("k"), (F.col("id") * 2).alias("name"))
-
+from folioflow.operators.catalog import resolve_play, user_library
+from folioflow.operators.joins import unroll
+from folioflow.session import SETTINGS
 
-@pytest.mark.parametrize("how", ["left", "inner"])
-def test_salted_equals_plain(facts, lookup, how):
-    plain = facts.join(lookup, "k", how)
-    salted = lookup_join(facts, lookup, "k", ["fact"], how, broadcast_bytes=0, hot_rows=60)
-    assert salted.columns == plain.columns
-    assert Counter(salted.collect()) == Counter(plain.collect())
+SMALL = {
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10k",
+    "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.shuffle.partitions": "6",
+}
 
 
-def test_salts_spread_a_hot_key(spark, facts, lookup):
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        joined = lookup_join(facts, lookup, "k", ["fact"], broadcast_bytes=0, hot_rows=60)
-        sizes = joined.where("k = 1").groupBy(F.spark_partition_id()).count().collect()
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-        spark.conf.unset("spark.sql.adaptive.enabled")
-    assert len(sizes) == 4
+@pytest.fixture
+def small_partitions(spark):
+    before = {k: spark.conf.get(k, None) for k in SMALL}
+    for k, v in SMALL.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def test_small_lookup_is_left_to_catalyst(facts, lookup):
-    plan = lookup_join(facts, lookup, "k", ["fact"])._jdf.queryExecution().optimizedPlan().toString()
-    assert "_salt" not in plan
-
-
-def test_two_keys(spark):
-    facts = spark.range(1000).select((F.col("id") % 2).alias("a"), (F.col("id") % 3).alias("b"), "id")
-    lookup = spark.createDataFrame([(0, 0, "x"), (1, 2, "y")], "a bigint, b bigint, v string")
-    salted = lookup_join(facts, lookup, ["a", "b"], ["id"], broadcast_bytes=0, hot_rows=10)
-    assert Counter(salted.collect()) == Counter(facts.join(lookup, ["a", "b"], "left").collect())
-
-
-def test_spread_only_small_inputs(spark, small):
-    docs = spark.read.parquet(f"{small}/documents.parquet")
-    assert spread(docs, "doc_id").rdd.getNumPartitions() == 4
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
-    try:
-        assert "Exchange" not in spread(docs, "doc_id")._jdf.queryExecution().executedPlan().toString()
-    finally:
-        spark.conf.unset("spark.sql.files.maxPartitionBytes")
-
-
-def test_sizes(facts):
-    assert [_bytes(s) for s in ("10485760b", "10MB", "1g", "-1", "64k")] == [
-        10485760,
-        10485760,
-        2**30,
-        -1,
-        65536,
-    ]
-    assert estimated_bytes(facts) > 0 and HOT_KEYS > 0
+def tables(spark):
+    """A third of all readers have book 1, and there are far over a thousand other hot books."""
+    i = F.col("id")
+    book = F.when(i % 3 == 0, 1).otherwise(i % 1500)
+    mine = spark.range(0, 30_000, numPartitions=12).select(
+        i.alias("user_id"),
+        book.alias("global_book_id"),
+        F.lit(1).alias("current_part_index"),
+        F.rand(1).alias("current_time"),
+        F.lit(1.0).alias("total_time"),
+        F.lit(50).alias("progress"),
+        F.expr("timestamp_ntz'2024-01-01'").alias("added_at"),
+    )
+    books = spark.range(0, 1400, numPartitions=4).select(
+        i.alias("id"),
+        *[F.concat(F.lit(c), i.cast("string")).alias(c) for c in ("title", "author", "cover_url", "book_id")],
+        F.lit(3).alias("parts_count"),
+        *[F.lit("x").alias(c) for c in ("voice", "category", "file_hash", "added_by")],
+        F.expr("timestamp_ntz'2024-01-01'").alias("created_at"),
+    )
+    return mine, books
+
+
+def plan_after_run(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_settings_split_skew():
+    assert SETTINGS["spark.sql.adaptive.skewJoin.enabled"] == "true"
+    assert SETTINGS["spark.sql.adaptive.forceOptimizeSkewedJoin"] == "true"
+
+
+@pytest.mark.parametrize("job", ["library", "play"])
+def test_a_hot_book_is_split(spark, small_partitions, job):
+    mine, books = tables(spark)
+    if job == "library":
+        df = user_library(mine, books)
+    else:
+        df = resolve_play(mine.select("user_id", "global_book_id"), mine, books)
+    assert "skew=true" in plan_after_run(df)
+    hits = mine.where("global_book_id < 1400").count()
+    assert df.count() == hits and df.where("id = 1").count() == mine.where("global_book_id = 1").count()
+
+
+def test_unroll_keeps_no_empty_arrays(spark):
+    df = spark.createDataFrame([(1, ["a", "b"]), (2, []), (3, None)], "k int, xs array<string>")
+    assert sorted(map(tuple, unroll(df, ["k"], "xs", "at", "x").collect())) == [(1, 0, "a"), (1, 1, "b")]

@@ -1,6 +1,7 @@
 """Fold and throttle against event-at-a-time loops, with hot keys and cut chunks."""
 
 import random
+import time
 from collections import defaultdict
 from datetime import datetime, timedelta
 
@@ -9,7 +10,8 @@ from playback_by_hand import fold, throttle
 from pyspark.sql import functions as F
 
 from folioflow.functions import scalars as S
-from folioflow.operators.playback import playback_fold, tick_throttle
+from folioflow.operators import playback
+from folioflow.operators.playback import playback_fold, saved_events, tick_throttle, unusable_ticks
 
 SCHEMA = "user_id int, global_book_id int, ts timestamp_ntz, event_id long, kind string, value double, parts int"
 START = datetime(2024, 1, 1)
@@ -46,10 +48,11 @@ def as_dict(df):
     return {(r.user_id, r.global_book_id): tuple(r[n] for n in names) for r in df.collect()}
 
 
-@pytest.mark.parametrize("chunk_rows", [1, 7, 100, 10_000])
-def test_fold_equals_loop(spark, chunk_rows):
-    rows = make_events(3000, seed=chunk_rows)
-    got = as_dict(playback_fold(spark.createDataFrame(rows, SCHEMA), chunk_rows=chunk_rows))
+@pytest.mark.parametrize("bucket_ms,span", [(1000, 2), (7000, 512), (60_000, 3), (10**9, 512)])
+def test_fold_equals_loop(spark, monkeypatch, bucket_ms, span):
+    monkeypatch.setattr(playback, "SPAN", span)
+    rows = make_events(3000, seed=span + bucket_ms)
+    got = as_dict(playback_fold(spark.createDataFrame(rows, SCHEMA), bucket_ms=bucket_ms))
     assert got == {k: fold(e, PARTS[k[1]]) for k, e in by_key(rows).items()}
 
 
@@ -57,19 +60,27 @@ def test_fold_goes_on_from_a_snapshot(spark):
     rows = make_events(1200, seed=11)
     cut = START + timedelta(seconds=200)
     df = spark.createDataFrame(rows, SCHEMA)
-    first = playback_fold(df.where(F.col("ts") < F.lit(cut)), chunk_rows=7)
-    rest = as_dict(playback_fold(df.where(F.col("ts") >= F.lit(cut)), start=first, chunk_rows=7))
+    first = playback_fold(df.where(F.col("ts") < F.lit(cut)), bucket_ms=3000)
+    rest = as_dict(playback_fold(df.where(F.col("ts") >= F.lit(cut)), start=first, bucket_ms=3000))
     want = {k: fold(e, PARTS[k[1]]) for k, e in by_key(rows).items()}
     assert rest and all(want[k] == state for k, state in rest.items())
 
 
-def test_a_hot_key_is_cut_into_chunks(spark):
+def test_a_hot_key_is_cut_into_buckets(spark):
+    """Events are shuffled once, by key and bucket; no task gets a key whole."""
     df = spark.createDataFrame(make_events(3000, seed=2), SCHEMA)
-    plan = playback_fold(df)._jdf.queryExecution().executedPlan().toString()
-    assert "rangepartitioning(user_id" in plan and "Sort [user_id" in plan
-    ranged = df.repartitionByRange(10, "user_id", "global_book_id", "ts", "event_id")
-    sizes = [r["count"] for r in ranged.groupBy(F.spark_partition_id()).count().collect()]
-    assert len(sizes) == 10 and max(sizes) < 2 * 3000 / 10
+    folded = playback_fold(df, bucket_ms=10_000)
+    plan = folded._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 3 and "rangepartitioning" not in plan
+    clock = F.unix_millis(F.col("ts").cast("timestamp"))
+    sizes = df.groupBy("user_id", F.floor(clock / 10_000)).count().agg(F.max("count")).first()[0]
+    assert sizes < 3000 / 20
+
+
+def test_events_without_a_time_come_first(spark):
+    rows = [(1, 3, None, 5, "ended", None, 7), (1, 3, START, 1, "tick", 24.0, 7)]
+    got = as_dict(playback_fold(spark.createDataFrame(rows, SCHEMA)))
+    assert got == {(1, 3): (1, 24.0, 0.0, 16)}
 
 
 def make_ticks(seed):
@@ -121,6 +132,40 @@ def test_throttle_goes_on_from_earlier_saves(spark, seconds):
     assert sorted(both.collect()) == sorted(whole.collect())
 
 
+def test_unusable_ticks_are_listed(spark):
+    rows = [(1, START, 1), (None, START, 2), (1, None, 3), (None, None, 4)]
+    ticks = spark.createDataFrame(rows, "user_id int, ts timestamp_ntz, tick_id long")
+    assert [r.tick_id for r in tick_throttle(ticks).collect()] == [1]
+    got = sorted((r.tick_id, r.reason) for r in unusable_ticks(ticks).collect())
+    assert got == [(2, "no_user"), (3, "no_time"), (4, "no_user")]
+
+
+def test_dense_ticks_cost_in_proportion(spark):
+    def seconds(n):
+        rows = spark.range(n).select(
+            F.lit(1).alias("user_id"), F.timestamp_millis(F.col("id") * 2).alias("ts"), F.col("id").alias("tick_id")
+        )
+        began = time.perf_counter()
+        saved = tick_throttle(rows, 3000).count()
+        assert saved == -(-2 * n // 3002)
+        return time.perf_counter() - began
+
+    seconds(3000)
+    assert min(seconds(48_000) for _ in range(2)) < 4 * min(seconds(3000) for _ in range(2)) + 1
+
+
+def test_saved_events_carry_their_columns(spark):
+    rows = make_events(800, seed=8)
+    events = spark.createDataFrame(rows, SCHEMA)
+    kept = saved_events(events, 3000, bucket_ms=20_000)
+    ticks = events.where("kind = 'tick'")
+    saved = {r.tick_id for r in tick_throttle(ticks.withColumnRenamed("event_id", "tick_id"), 3000, 20_000).collect()}
+    want = [r for r in rows if r[4] != "tick" or r[3] in saved]
+    assert sorted(map(repr, map(tuple, kept.collect()))) == sorted(map(repr, want))
+    plan = kept.select("event_id", "value")._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" not in plan
+
+
 def test_throttle_shares_its_shuffle(spark, small):
     events = spark.read.parquet(f"{small}/events.parquet").withColumnRenamed("event_id", "tick_id")
     df = tick_throttle(events, 3000)

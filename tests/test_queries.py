@@ -13,9 +13,25 @@ def con(small):
     return duck(small)
 
 
+#: Their linear pass over a bucket's clocks runs in Arrow batches.
+WITH_PYTHON = {"tick_throttle", "playback_saved"}
+
+
 @pytest.mark.parametrize("name", sorted(REGISTRY))
 def test_query_equals_sql(spark, small, con, name):
-    assert differences(REGISTRY[name](spark, small), con, sql(name)) == ""
+    df = REGISTRY[name](spark, small)
+    assert differences(df, con, sql(name)) == ""
+    assert not df.isEmpty()
+
+
+def test_every_gate_outcome_and_many_prefetches(con):
+    medium = duck("/root/testdata/sf0.01")
+    reasons = {r for (r,) in medium.execute(f"SELECT DISTINCT reject_reason FROM ({sql('intake_gate')})").fetchall()}
+    assert reasons == {None, "no_category", "too_large", "duplicate", "not_pdf", "empty_file", "no_text"}
+    (n,) = medium.execute(f"SELECT count(*) FROM ({sql('prefetch_plan')})").fetchone()
+    assert n > 100
+    pages = medium.execute(f"SELECT count(*) FROM ({sql('page_preview')}) WHERE total_pages > 20").fetchone()[0]
+    assert pages > 0
 
 
 def test_entry_and_contract(spark):
@@ -27,8 +43,55 @@ def test_entry_and_contract(spark):
 @pytest.mark.parametrize("name", sorted(REGISTRY))
 def test_no_python_and_no_cross_join(spark, small, name):
     plan = REGISTRY[name](spark, small)._jdf.queryExecution().executedPlan().toString()
-    for operator in ("Python", "Pandas", "CartesianProduct", "BroadcastNestedLoopJoin"):
-        assert operator not in plan
+    for operator in ("Python", "Pandas", "ArrowEval", "CartesianProduct", "BroadcastNestedLoopJoin"):
+        assert operator not in plan or (name in WITH_PYTHON and operator in ("Python", "ArrowEval"))
+
+
+def exchanged_columns(df):
+    """Columns that the exchanges of a plan carry, by name."""
+    node = df._jdf.queryExecution().executedPlan()
+    found, todo = set(), [node]
+    while todo:
+        node = todo.pop()
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            todo.append(node.inputPlan())
+        if "Exchange" in name:
+            out = node.output()
+            found |= {out.apply(i).name() for i in range(out.size())}
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return found
+
+
+#: The views of these group or join texts; all others work on a text in its row.
+MOVES_TEXT = {"body_text", "page_preview", "catalog_search"}
+
+
+@pytest.mark.parametrize("name", sorted(set(REGISTRY) - MOVES_TEXT))
+def test_texts_are_not_shuffled(spark, small, name):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "text" not in exchanged_columns(REGISTRY[name](spark, small))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("name", ["body_text", "page_preview"])
+def test_layout_queries_read_texts_once(spark, small, name):
+    df = REGISTRY[name](spark, small)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("Initial Plan")[0]
+    assert final.count("FileScan parquet") == 1
+    assert final.count("Exchange hashpartitioning") == 1
+
+
+def test_playback_saved_reads_events_twice(spark, small):
+    df = REGISTRY["playback_saved"](spark, small)
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert final.count("events.parquet") <= 2
 
 
 def plan_of(df):

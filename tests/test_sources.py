@@ -1,7 +1,6 @@
-"""Stored parts, upload files, tables and staging."""
+"""Stored parts, upload files and tables."""
 
 import json
-from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +9,6 @@ from folioflow.functions.text import file_hash
 from folioflow.operators.audio import missing_parts, parts_gap_report
 from folioflow.operators.intake import parts_table
 from folioflow.sources import parts_store, tables
-from folioflow.sources.staging import materialize, staging_dir
 
 
 @pytest.fixture(scope="module")
@@ -47,29 +45,57 @@ def test_part_files_and_gaps(spark, layout):
     assert report == [("b1", 3, 2, 1), ("b2", 2, 2, 0), ("b3", 1, 0, 1)]
 
 
-def test_parts_table_round_trip(spark, small, tmp_path):
+def test_parts_store_keeps_its_batches(spark, small, tmp_path):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     parts = parts_table(docs, "doc_id").drop("parts_count")
     path = str(tmp_path / "parts")
-    parts_store.write_parts(parts, path, key="doc_id", buckets=8)
+    halves = [parts.where(f"doc_id % 2 = {i}") for i in (0, 1)]
+    parts_store.write_parts(halves[0], path, "a", key="doc_id", buckets=8)
+    parts_store.write_parts(halves[1], path, "2024-01", key="doc_id")
     assert sorted(parts_store.read_parts(spark, path).collect()) == sorted(parts.collect())
-    book = parts_store.read_book(spark, path, 17, key="doc_id", buckets=8)
-    assert sorted(book.collect()) == sorted(parts.where("doc_id = 17").collect())
+    parts_store.write_parts(halves[1], path, "2024-01", key="doc_id")
+    assert sorted(parts_store.read_parts(spark, path).collect()) == sorted(parts.collect())
+    for number in (16, 17):
+        book = parts_store.read_book(spark, path, number, key="doc_id")
+        assert sorted(book.collect()) == sorted(parts.where(f"doc_id = {number}").collect())
     plan = book._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(bucket" in plan
+    assert "PartitionFilters: [isnotnull(bucket" in plan and "PushedFilters: [IsNotNull(doc_id), EqualTo(doc_id,17)]" in plan
+    for file in (tmp_path / "parts").rglob("part-*.parquet"):
+        keys = [(r.doc_id, r.part_index) for r in spark.read.parquet(str(file)).collect()]
+        assert keys == sorted(keys)
+    with pytest.raises(ValueError):
+        parts_store.write_parts(parts, path, "../x", key="doc_id")
+
+
+def test_bucket_number_follows_the_input(spark, small, tmp_path, monkeypatch):
+    monkeypatch.setattr(parts_store, "BUCKET_BYTES", 10_000)
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    parts_store.write_parts(parts_table(docs, "doc_id"), str(tmp_path), "a", key="doc_id")
+    (folder,) = (tmp_path / "batch=a").glob("buckets=*")
+    assert int(folder.name.removeprefix("buckets=")) > 5
 
 
 def test_upload_files_with_an_empty_one(spark, tmp_path):
-    for name, content in {"a b.pdf": b"x", "B.PDF": b"yy", "empty.pdf": b""}.items():
+    (tmp_path / "more").mkdir()
+    for name, content in {"a b.pdf": b"x", "B.PDF": b"yy", "empty.pdf": b"", "more/B.PDF": b"z"}.items():
         (tmp_path / name).write_bytes(content)
+    paths = ["a b.pdf", "B.PDF", "empty.pdf", "gone.pdf", "more/B.PDF"]
     listing = spark.createDataFrame(
-        [(1, "a b.pdf", "c"), (2, "B.PDF", "c"), (3, "empty.pdf", None), (4, "gone.pdf", "c")],
-        "upload_id int, file_name string, category string",
+        [(i, p, p.rpartition("/")[2], "c") for i, p in enumerate(paths, 1)],
+        "upload_id int, file_path string, file_name string, category string",
     )
     got = {r.upload_id: r for r in parts_store.read_uploads(spark, str(tmp_path), listing).collect()}
-    assert {k: r.size_bytes for k, r in got.items()} == {1: 1, 2: 2, 3: 0, 4: 0}
+    assert {k: r.size_bytes for k, r in got.items()} == {1: 1, 2: 2, 3: 0, 4: 0, 5: 1}
     want = spark.range(1).select(file_hash(F.lit("yy"))).first()[0]
-    assert got[2].file_hash == want
+    assert got[2].file_hash == want and got[5].file_hash != want
+
+
+def test_audio_files(spark, tmp_path):
+    for name in ("b1/audio/part_0_es-MX.mp3", "b1/audio/part_12_a_b.mp3", "b2/audio/part_1_x.mp3", "b2/audio/x.mp3"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"a")
+    got = sorted(map(tuple, parts_store.read_audio_files(spark, str(tmp_path)).collect()))
+    assert got == [("b1", 0, "es-MX"), ("b1", 12, "a_b"), ("b2", 1, "x")]
 
 
 def test_tables(spark, tmp_path):
@@ -92,10 +118,12 @@ def test_tables(spark, tmp_path):
     catalog = spark.createDataFrame([("h1",), ("h2",)], "file_hash string")
     assert tables.hash_known(catalog, "h1") and not tables.hash_known(catalog, "h9")
 
-
-def test_staging_uses_the_shared_folder(spark, shared_folder):
-    assert staging_dir(spark) == shared_folder
-    before = set(Path(shared_folder).glob("folioflow-*"))
-    df = materialize(spark.range(5).withColumn("x", F.lit("a")))
-    assert sorted(r.id for r in df.collect()) == [0, 1, 2, 3, 4]
-    assert len(set(Path(shared_folder).glob("folioflow-*")) - before) == 1
+    rows = [(str(i), "t", None, None, f"b{i}", 1, "v", "c", f"h{i}", "u") for i in range(3)]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in tables.CATALOG.fields[:-1])
+    books = spark.createDataFrame(rows, schema).withColumn("created_at", F.expr("timestamp_ntz'2024-01-01'"))
+    books.write.parquet(str(tmp_path / "catalog"))
+    read = tables.read_catalog(spark, str(tmp_path / "catalog"))
+    assert read.columns == tables.CATALOG.names and read.count() == 3
+    plan = read.select("id", "file_hash")._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<id:string,file_hash:string>" in plan
+    assert tables.hash_known(read, "h1") and not tables.hash_known(read, "h9")

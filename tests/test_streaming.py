@@ -1,18 +1,23 @@
 """Streams give what the batch operators give on the same rows."""
 
+from pathlib import Path
+
 from pyspark.sql import functions as F
-from test_playback import PARTS, SCHEMA, as_dict, by_key, make_events, make_ticks
+from test_playback import PARTS, SCHEMA, START, as_dict, by_key, make_events, make_ticks
 from playback_by_hand import fold
 
-from folioflow.operators.playback import playback_fold, tick_throttle
-from folioflow.streaming.intake import new_uploads
+from folioflow.operators.playback import playback_fold, saved_events, tick_throttle
+from folioflow.streaming.intake import upload_sink
 from folioflow.streaming.playback import (
+    clock_table,
+    playback_sink,
     progress_sink,
     read_snapshot,
-    snapshot_path,
+    snapshot_table,
     throttle_sink,
     throttle_stream,
 )
+from folioflow.streaming.tables import StateTable
 
 
 def write_slices(spark, df, folder, column, cuts):
@@ -47,9 +52,9 @@ def test_throttle_stream_equals_batch(spark, tmp_path):
     out = str(tmp_path / "out")
     run(throttle_stream(stream, 3000).writeStream.format("parquet").option("path", out), tmp_path)
     got = spark.read.parquet(out)
-    assert got.where("late").count() == 0
+    assert got.where("reason is not null").count() == 0
     want = tick_throttle(ticks, 3000, 30_000)
-    assert sorted(got.drop("late").collect()) == sorted(want.collect())
+    assert sorted(got.drop("reason").collect()) == sorted(want.collect())
 
 
 def test_throttle_stream_marks_late_ticks(spark, tmp_path):
@@ -63,7 +68,17 @@ def test_throttle_stream_marks_late_ticks(spark, tmp_path):
     got = spark.read.parquet(out)
     seen = [r.user_id for r in ticks.where(F.col("ts") >= F.lit(cut)).select("user_id").distinct().collect()]
     early = ticks.where((F.col("ts") < F.lit(cut)) & F.col("user_id").isin(seen))
-    assert got.where("late").count() == early.count()
+    assert got.where("reason = 'late'").count() == early.count()
+
+
+def test_throttle_stream_reports_unusable_ticks(spark, tmp_path):
+    rows = [(1, START, 1), (None, START, 2), (1, None, 3)]
+    ticks = spark.createDataFrame(rows, "user_id int, ts timestamp_ntz, tick_id long")
+    stream = write_slices(spark, ticks, str(tmp_path / "in"), "ts", [])
+    out = str(tmp_path / "out")
+    run(throttle_stream(stream, 3000).writeStream.format("parquet").option("path", out), tmp_path)
+    got = sorted((r.tick_id, r.reason) for r in spark.read.parquet(out).collect())
+    assert got == [(1, None), (2, "no_user"), (3, "no_time")]
 
 
 def test_throttle_sink_equals_batch(spark, tmp_path):
@@ -76,7 +91,7 @@ def test_throttle_sink_equals_batch(spark, tmp_path):
     got = spark.read.parquet(f"{root}/saved").drop("batch")
     assert sorted(got.collect()) == sorted(tick_throttle(ticks, 3000, 30_000).collect())
     assert spark.read.parquet(f"{root}/late").count() == 0
-    clocks = {r.user_id: r.last_save for r in read_snapshot(spark, root, 2).collect()}
+    clocks = {r.user_id: r.last_save for r in clock_table(root).read(spark, 2).collect()}
     want = got.groupBy("user_id").agg(F.max("clock").alias("c")).collect()
     assert clocks == {r.user_id: r.c for r in want}
 
@@ -90,7 +105,7 @@ def test_throttle_sink_sets_late_ticks_aside(spark, tmp_path):
     sink(ticks.where(F.col("ts") >= F.lit(cut)), 0)
     early = ticks.where(F.col("ts") < F.lit(cut))
     sink(early, 1)
-    known = read_snapshot(spark, root, 0).select("user_id")
+    known = clock_table(root).read(spark, 0).select("user_id")
     assert spark.read.parquet(f"{root}/late/batch=1").count() == early.join(known, "user_id", "left_semi").count()
 
 
@@ -103,7 +118,11 @@ def test_progress_sink_equals_batch(spark, tmp_path):
     got = as_dict(read_snapshot(spark, root, 2))
     assert got == as_dict(playback_fold(events))
     assert got == {k: fold(e, PARTS[k[1]]) for k, e in by_key(rows).items()}
-    assert spark.read.parquet(f"{root}/late").count() == 0
+    assert spark.read.parquet(f"{root}/late_events").count() == 0
+
+
+def state(spark, root, batch):
+    return sorted(read_snapshot(spark, root, batch).collect())
 
 
 def test_progress_sink_repeats_and_late_events(spark, tmp_path):
@@ -115,24 +134,79 @@ def test_progress_sink_repeats_and_late_events(spark, tmp_path):
     sink = progress_sink(root)
     sink(old, 0)
     sink(new, 1)
-    once = sorted(spark.read.parquet(snapshot_path(root, 1)).collect())
+    once = state(spark, root, 1)
     sink(new, 1)
-    assert sorted(spark.read.parquet(snapshot_path(root, 1)).collect()) == once
+    assert state(spark, root, 1) == once
     sink(old, 2)
     known = new.select("user_id", "global_book_id").distinct()
     late = old.join(known, ["user_id", "global_book_id"], "left_semi").count()
-    assert spark.read.parquet(f"{root}/late/batch=2").count() >= late
-    assert sorted(spark.read.parquet(snapshot_path(root, 2)).collect()) == once
-
-
-def test_upload_stream_drops_copies(spark, tmp_path):
-    rows = [(i, f"h{i % 7}", i) for i in range(40)]
-    uploads = spark.createDataFrame(rows, "upload_id int, file_hash string, s long").select(
-        "upload_id", "file_hash", F.timestamp_seconds("s").alias("arrived_at")
+    assert spark.read.parquet(f"{root}/late_events/batch=2").count() >= late
+    assert state(spark, root, 2) == once
+
+
+def test_a_small_batch_writes_little(spark, tmp_path):
+    i = F.col("id")
+    many = spark.range(20_000).select(
+        (i % 5000).cast("int").alias("user_id"),
+        F.lit(3).alias("global_book_id"),
+        F.timestamp_seconds(i).cast("timestamp_ntz").alias("ts"),
+        i.alias("event_id"),
+        F.lit("tick").alias("kind"),
+        F.lit(5.0).alias("value"),
+        F.lit(7).alias("parts"),
     )
-    catalog = spark.createDataFrame([("h2",), ("h5",)], "file_hash string")
-    stream = write_slices(spark, uploads, str(tmp_path / "in"), "upload_id", [15])
-    out = str(tmp_path / "out")
-    run(new_uploads(stream, catalog).writeStream.format("parquet").option("path", out), tmp_path)
-    got = sorted(r.file_hash for r in spark.read.parquet(out).collect())
-    assert got == ["h0", "h1", "h3", "h4", "h6"]
+    root = str(tmp_path)
+    sink = progress_sink(root)
+    sink(many, 0)
+    sink(many.withColumn("ts", F.col("ts") + F.expr("interval 9 days")).limit(3), 1)
+
+    def written(batch):
+        folder = Path(root) / "snapshot" / "changes" / f"batch={batch}"
+        return sum(f.stat().st_size for f in folder.glob("*.parquet")), spark.read.parquet(str(folder)).count()
+
+    assert written(0)[1] == 5000 and written(1)[1] <= 3 and written(1)[0] < written(0)[0] / 5
+    assert read_snapshot(spark, root, 1).count() == 5000
+
+
+def test_state_table_compacts_and_clears(spark, tmp_path):
+    table = StateTable(str(tmp_path / "t"), ["k"], compact_every=3)
+    assert table.read(spark, 5) is None
+    for batch in range(10):
+        rows = [(k, batch) for k in range(batch % 4 + 1)] + [(100 + batch, batch)]
+        df = spark.createDataFrame(rows, "k int, v int")
+        table.write(df, batch)
+        table.write(df, batch)
+    got = {r.k: r.v for r in table.read(spark, 9).collect()}
+    want = {}
+    for batch in range(10):
+        want |= {k: batch for k in range(batch % 4 + 1)} | {100 + batch: batch}
+    assert got == want
+    assert sorted(p.name for p in (tmp_path / "t/base").iterdir()) == ["batch=5", "batch=8"]
+    assert sorted(p.name for p in (tmp_path / "t/changes").iterdir()) == [f"batch={i}" for i in (6, 7, 8, 9)]
+
+
+def test_playback_sink_equals_batch(spark, tmp_path):
+    rows = make_events(1500, seed=31)
+    events = spark.createDataFrame(rows, SCHEMA)
+    root = str(tmp_path / "state")
+    stream = write_slices(spark, events, str(tmp_path / "in"), "ts", times(rows, 2, 4))
+    sink = playback_sink(root, 3000, compact_every=2, bucket_ms=30_000)
+    run(stream.writeStream.foreachBatch(sink), tmp_path)
+    want = playback_fold(saved_events(events, 3000, bucket_ms=30_000))
+    assert as_dict(snapshot_table(root).read(spark, 3)) == as_dict(want)
+
+
+def test_upload_sink_lets_each_file_in_once(spark, tmp_path):
+    rows = [(i, f"h{i % 7}") for i in range(40)]
+    uploads = spark.createDataFrame(rows, "upload_id int, file_hash string")
+    root, catalog = str(tmp_path / "out"), str(tmp_path / "catalog")
+    spark.createDataFrame([("h2",), ("h5",)], "file_hash string").write.parquet(catalog)
+    sink = upload_sink(root, lambda s: s.read.parquet(catalog), compact_every=2)
+    sink(uploads.where("upload_id < 3"), 0)
+    spark.createDataFrame([("h6",)], "file_hash string").write.mode("append").parquet(catalog)
+    for _ in range(2):
+        sink(uploads.where("upload_id >= 3 and upload_id < 30"), 1)
+    sink(uploads.where("upload_id >= 30 or upload_id < 2"), 2)
+    new = {r.upload_id: r.file_hash for r in spark.read.parquet(f"{root}/new").collect()}
+    assert new == {0: "h0", 1: "h1", 3: "h3", 4: "h4"}
+    assert spark.read.parquet(f"{root}/copies").count() == 40 + 2 - 4
