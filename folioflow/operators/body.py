@@ -75,19 +75,21 @@ def body_text(
     docs = lines.groupBy(key).agg(
         F.sort_array(F.collect_list(F.when(~beyond, line))).alias("_lines"), dropped.alias("pages_dropped")
     )
-    sized = docs.withColumn("_main", main_size(F.col("_lines"), sample_pages))
 
-    def kept(line: Column) -> Column:
-        large = F.filter(
-            line["spans"], lambda s: ~s["margin"] & (s["size"] >= F.col("_main") - V.SIZE_TOLERANCE)
-        )
-        return T.strip(F.array_join(F.transform(large, lambda s: s["text"]), ""))
+    def text_of(main: Column) -> Column:
+        def kept(line: Column) -> Column:
+            large = F.filter(
+                line["spans"], lambda s: ~s["margin"] & (s["size"] >= main - V.SIZE_TOLERANCE)
+            )
+            return T.strip(F.array_join(F.transform(large, lambda s: s["text"]), ""))
+
+        return F.array_join(F.filter(F.transform("_lines", kept), lambda x: x != ""), "\n")
 
-    texts = F.filter(F.transform("_lines", kept), lambda x: x != "")
-    body = T.clean_text(F.array_join(texts, "\n"))
+    # Bound, not a column, which Catalyst would put into the loop over the spans.
+    body = T.bind(T.bind(main_size(F.col("_lines"), sample_pages), text_of), T.clean_text)
     # An empty body is kept as an empty row while it is computed, not filtered below,
     # where Catalyst would compute it again.
-    rows = sized.select(key, F.array(F.struct(body.alias("body"))).alias("_body"), "pages_dropped")
+    rows = docs.select(key, F.array(F.struct(body.alias("body"))).alias("_body"), "pages_dropped")
     return rows.select(key, "pages_dropped", F.inline_outer("_body")).where(F.col("body") != "")
 
 
