@@ -8,12 +8,17 @@ belongs to one of K coordinates, and the earliest dart of a coordinate is kept.
 in a coordinate with the probability of their weighted Jaccard similarity. Only darts up to a rank
 of about K ln K over the total weight are thrown; where a coordinate stays empty, more follow.
 
-Coordinates are banded. Members of a bucket are compared with a centre of the bucket, from the
-whole texts, and links of the wanted similarity or more are joined to classes. Buckets whose
-members are still in several classes get further centres from their smaller classes, until every
-pair of different classes in a bucket has been compared; so no pair that shares a bucket is left
-out, and all pairs of a large group are never made. With 24 bands of 4, a pair of similarity 0.8
-shares no bucket with a probability of 3e-6, and a more similar one with less.
+Coordinates are banded. Members of a bucket are compared with the bucket's centre, its smallest
+node, and links of the wanted similarity or more are joined to classes. Pairs whose signatures
+agree in less than AGREE of K coordinates are passed over (a pair of similarity 0.8 does so with a
+probability of 1e-9), all others are decided from the whole texts. Texts that share much, but not
+enough, meet in large buckets; so the members of buckets that still hold several classes are banded
+again with longer bands, which tell such texts apart. In small buckets of the last level all pairs
+of different classes are compared. No level makes all pairs of a large group. A pair of similarity 0.8
+shares no bucket of the first level with a probability of 3e-6, and 8 and 6 buckets on average in the
+two levels after it. It can be missed only if all of these hold a smaller node that is unlike one of
+the two, and those of the last level are large too: for a pair of similarity 0.85 among texts
+that have four fifths of their shingles in common, the probability is about 2e-5.
 
 Cases: the class is the smallest doc_id in it. Exact copies (of the lower-cased text) are collapsed
 first. Texts of fewer than five words belong together if their words are equal; so do texts without words. A null
@@ -29,16 +34,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.llm.common import by_bytes, stage, table
 
 SHINGLE = 5
 SIMILARITY = 0.8
-BANDS, ROWS = 24, 4
-#: Centres that a bucket of several classes gets in a round at most.
-CENTRES = 16
+COORDINATES = 96
+#: Bands and coordinates of a band, for all texts and then for those in buckets of several classes.
+LEVELS = ((24, 4), (48, 8), (96, 12))
+#: Pairs that agree in fewer coordinates are not compared.
+AGREE = 53
+#: Buckets of the last level up to this size are compared pair by pair.
+SMALL = 16
 
 _P = 0x9E3779B97F4A7C15 | 1
 _PINV = pow(_P, -1, 1 << 64)
@@ -136,7 +145,7 @@ def _throw(best, ids, docs, weights, limits, k: int) -> None:
         ids, docs, weights, limits = ids[on], docs[on], weights[on], limits[on]
 
 
-def signatures(sets: list[np.ndarray], weights: list[np.ndarray] | None = None, k: int = BANDS * ROWS) -> np.ndarray:
+def signatures(sets: list[np.ndarray], weights: list[np.ndarray] | None = None, k: int = COORDINATES) -> np.ndarray:
     """k coordinates of every weighted set (distinct hashes, positive weights); none may be empty."""
     none = np.uint64(2**64 - 1)
     best = np.full((len(sets), k), none, np.uint64)
@@ -160,19 +169,29 @@ def signatures(sets: list[np.ndarray], weights: list[np.ndarray] | None = None,
     return best
 
 
-def band_keys(best: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
+def band_places(level: int) -> np.ndarray:
+    """Which coordinates each band of a level holds: apart on the first, drawn on the others."""
+    bands, rows = LEVELS[level]
+    if bands * rows <= COORDINATES:
+        return np.arange(bands * rows).reshape(bands, rows)
+    rng = np.random.default_rng(level)
+    return np.stack([rng.permutation(COORDINATES)[:rows] for _ in range(bands)])
+
+
+def band_keys(coordinates: np.ndarray, level: int) -> np.ndarray:
     """One 64-bit key per band, different for different bands."""
-    parts = best.reshape(len(best), bands, rows)
-    code = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64) * _Q, parts.shape[:2]).copy()
-    for i in range(rows):
-        code = mix(code * _Q + parts[:, :, i])
+    places = band_places(level)
+    code = np.broadcast_to(np.arange(1, len(places) + 1, dtype=np.uint64) * _Q, (len(coordinates), len(places))).copy()
+    for i in range(places.shape[1]):
+        code = mix(code * _Q + coordinates[:, places[:, i]])
     return code.view(np.int64)
 
 
-def signed(docs: DataFrame, k_bands: int = BANDS, k_rows: int = ROWS, weighting: str = "set") -> DataFrame:
-    """doc_id, digest of the text, and band keys (empty for texts under five words).
+def signed(docs: DataFrame, weighting: str = "set") -> DataFrame:
+    """doc_id, digest of the text, and signature (null for texts under five words).
 
-    weighting: "set" weighs every distinct shingle one, "count" by how often it occurs.
+    The signature holds 32 bits of each coordinate. weighting: "set" weighs every distinct
+    shingle one, "count" by how often it occurs.
     """
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,18 +212,42 @@ def signed(docs: DataFrame, k_bands: int = BANDS, k_rows: int = ROWS, weighting:
                         digests.append(xxhash.xxh3_128_digest(raw))
                     else:
                         digests.append(xxhash.xxh3_128_digest(b" ".join(raw.split()), seed=1))
-                keys: list = [[]] * part.num_rows
+                signs: list = [None] * part.num_rows
                 if sets:
-                    found = band_keys(signatures(sets, weights, k_bands * k_rows), k_bands, k_rows)
-                    for row, key in zip(where, found):
-                        keys[row] = key
+                    found = mix(signatures(sets, weights)).astype("<u4")
+                    for row, sign in zip(where, found):
+                        signs[row] = sign.tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                    ["doc_id", "digest", "keys"],
+                    [part.column("doc_id"), pa.array(digests, pa.binary()), pa.array(signs, pa.binary())],
+                    ["doc_id", "digest", "sign"],
                 )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(over, "doc_id long, digest binary, keys array<long>")
+    return rows.mapInArrow(over, "doc_id long, digest binary, sign binary")
+
+
+def _signs(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<u4").reshape(-1, COORDINATES)
+
+
+def _keys(level: int):
+    @F.arrow_udf("array<long>")
+    def keys(signs: pa.Array) -> pa.Array:
+        found = band_keys(_signs(signs).astype(np.uint64), level)
+        offsets = pa.array(np.arange(len(found) + 1, dtype=np.int32) * found.shape[1])
+        return pa.ListArray.from_arrays(offsets, pa.array(found.ravel()))
+
+    return keys
+
+
+def agreement(a: str, b: str) -> Column:
+    """In how many coordinates two signatures agree."""
+
+    @F.arrow_udf("int")
+    def count(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array((_signs(a) == _signs(b)).sum(1).astype(np.int32))
+
+    return count(a, b)
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -217,14 +260,18 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return shared / (len(both) - shared)
 
 
-def linked(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+def linked(pairs: DataFrame, signs: DataFrame, texts: DataFrame, similarity: float, agree: int = AGREE) -> DataFrame:
     """Those of pairs(node, center) whose whole texts are at least so similar.
 
-    texts: node, text. Rows come sorted by centre, whose shingles are made once in a row.
+    signs: node, sign. texts: node, text. Rows come sorted by centre, whose shingles are made
+    once in a row.
     """
+    centre_signs = signs.select(F.col("node").alias("center"), F.col("sign").alias("center_sign"))
+    close = pairs.join(signs.select("node", "sign"), "node").join(centre_signs, "center")
+    close = close.where(agreement("sign", "center_sign") >= agree).select("node", "center")
     member = texts.select("node", F.col("text").alias("member_text"))
     centre = texts.select(F.col("node").alias("center"), F.col("text").alias("center_text"))
-    both = pairs.join(member, "node").join(centre.hint("merge"), "center")
+    both = stage(close).join(member, "node").join(centre.hint("merge"), "center")
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, own = None, None
@@ -286,89 +333,76 @@ def _labelled(rows: DataFrame, column: str, comps: DataFrame, name: str) -> Data
     )
 
 
-def _new_centres(open_rows: DataFrame, salts: int) -> tuple[DataFrame, DataFrame]:
-    """Of buckets with several classes: centres from all but the largest class, and the buckets' rows."""
-    groups = open_rows.groupBy("key", "comp").agg(F.count("*").alias("n"), F.min("node").alias("center"))
-    several = (
-        groups.groupBy("key")
-        .agg(F.count("*").alias("classes"), F.max(F.struct("n", "comp")).alias("largest"))
-        .where(F.col("classes") > 1)
-        .select("key", F.col("largest.comp").alias("largest"))
+def _several(labelled: DataFrame) -> DataFrame:
+    """Key and size of the buckets of rows(key, node, comp) that hold several classes."""
+    sizes = labelled.groupBy("key").agg(
+        F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")
     )
-    salt = F.pmod(F.xxhash64("comp"), F.lit(salts))
-    centres = (
-        groups.join(several, "key")
-        .where(F.col("comp") != F.col("largest"))
-        .groupBy("key", salt.alias("salt"))
-        .agg(F.min(F.struct("n", "comp", "center")).alias("c"))
-        .select("key", F.col("c.comp").alias("center_comp"), F.col("c.center").alias("center"))
-    )
-    return centres, open_rows.join(several.select("key"), "key", "left_semi")
+    return sizes.where(F.col("low") < F.col("high")).select("key", "size")
+
+
+def _small_pairs(labelled: DataFrame, several: DataFrame, small: int) -> DataFrame:
+    """Pairs of different classes in buckets of at most `small` rows."""
+    tiny = labelled.join(several.where(F.col("size") <= small).select("key"), "key")
+    lists = tiny.groupBy("key").agg(F.collect_list(F.struct("node", "comp")).alias("rows"))
+    each = lists.select(F.explode("rows").alias("x"), "rows").select("x", F.explode("rows").alias("y"))
+    each = each.where((F.col("x.node") > F.col("y.node")) & (F.col("x.comp") != F.col("y.comp")))
+    return each.select(F.col("x.node").alias("node"), F.col("y.node").alias("center"))
 
 
-def near_duplicates(
-    docs: DataFrame,
-    similarity: float = SIMILARITY,
-    bands: int = BANDS,
-    rows: int = ROWS,
-    centres: int = CENTRES,
-) -> DataFrame:
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, small: int = SMALL) -> DataFrame:
     """doc_id and class_id of every row of docs(doc_id, text)."""
-    marked = stage(signed(docs, bands, rows))
+    marked = stage(signed(docs))
     # Exact copies collapse in map-side aggregation; what follows sees each text once.
     nodes = stage(
         marked.where(F.col("doc_id").isNotNull() & F.col("digest").isNotNull())
         .groupBy("digest")
-        .agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys"))
+        .agg(F.min("doc_id").alias("node"), F.first("sign").alias("sign"))
     )
-    buckets = nodes.select("node", F.explode("keys").alias("key"))
-    first = buckets.groupBy("key").agg(F.min("node").alias("center"), F.max("node").alias("most"))
-    first = first.where(F.col("center") < F.col("most")).select("key", "center")
-    members = stage(buckets.join(first, "key"))
-    texts = stage(
-        docs.select(F.col("doc_id").cast("long").alias("node"), "text")
-        .where(F.col("text").isNotNull())
-        .join(members.select("node").distinct(), "node", "left_semi")
-    )
-    different = F.col("node") != F.col("center")
-
-    # First each node with the smallest of its centres, then with the others that it isn't linked to.
-    tried = stage(members.groupBy("node").agg(F.min("center").alias("center")).where(different))
-    links = stage(linked(tried, texts, similarity))
-    comps = components(links.select(F.col("node").alias("a"), F.col("center").alias("b")))
-
-    def joined(pairs: DataFrame, tried: DataFrame, links: DataFrame, comps: DataFrame):
-        found = stage(linked(pairs, texts, similarity))
-        if found.isEmpty():
-            return tried.unionAll(pairs), links, comps
-        links = links.unionAll(found)
-        return tried.unionAll(pairs), links, components(links.select(F.col("node").alias("a"), F.col("center").alias("b")))
-
-    def apart(pairs: DataFrame, tried: DataFrame, comps: DataFrame) -> DataFrame:
+    signs = nodes.where(F.col("sign").isNotNull()).select("node", "sign")
+    none = docs.sparkSession.createDataFrame([], "node long, center long")
+    tried, links, texts = none, none, None
+    comps = none.select("node", F.col("center").alias("comp"))
+    active = signs
+
+    def compare(pairs: DataFrame) -> None:
+        """Link what is similar of pairs that lie in different classes and were not compared."""
+        nonlocal tried, links, comps
+        pairs = pairs.select(F.greatest("node", "center").alias("node"), F.least("node", "center").alias("center"))
         pairs = pairs.distinct().join(tried, ["node", "center"], "left_anti")
         pairs = _labelled(_labelled(pairs, "node", comps, "_a"), "center", comps, "_b")
-        return stage(pairs.where(F.col("_a") != F.col("_b")).select("node", "center"))
-
-    second = apart(members.select("node", "center").where(different), tried, comps)
-    if not second.isEmpty():
-        tried, links, comps = joined(second, tried, links, comps)
-    open_rows = members.where(different).select("key", "node")
-    while True:
-        labelled = stage(_labelled(open_rows, "node", comps, "comp"))
-        asked, left = _new_centres(labelled, centres)
-        asked = stage(asked)
-        if asked.isEmpty():
+        pairs = stage(pairs.where(F.col("_a") != F.col("_b")).select("node", "center"))
+        if pairs.isEmpty():
+            return
+        found = stage(linked(pairs, signs, texts, similarity))
+        tried = tried.unionAll(pairs)
+        if not found.isEmpty():
+            links = links.unionAll(found)
+            comps = components(links.select(F.col("node").alias("a"), F.col("center").alias("b")))
+
+    for level in range(len(LEVELS)):
+        rows = active.select("node", F.explode(_keys(level)("sign")).alias("key"))
+        shared = rows.groupBy("key").agg(F.min("node").alias("center"), F.max("node").alias("most"))
+        shared = shared.where(F.col("center") < F.col("most")).select("key", "center")
+        members = stage(rows.join(shared, "key"))
+        if texts is None:
+            texts = stage(
+                docs.select(F.col("doc_id").cast("long").alias("node"), "text")
+                .where(F.col("text").isNotNull())
+                .join(members.select("node").distinct(), "node", "left_semi")
+            )
+            # Most texts are alike to the smallest of their centres; the other centres wait for that.
+            compare(members.groupBy("node").agg(F.min("center").alias("center")).where("node <> center"))
+        compare(members.where("node <> center").select("node", "center"))
+        labelled = stage(_labelled(members.select("key", "node"), "node", comps, "comp"))
+        several = stage(_several(labelled))
+        if several.isEmpty():
             break
-        pairs = (
-            labelled.join(asked, "key")
-            .where(F.col("comp") != F.col("center_comp"))
-            .select(F.greatest("node", "center").alias("node"), F.least("node", "center").alias("center"))
-        )
-        pairs = apart(pairs, tried, comps)
-        if not pairs.isEmpty():
-            tried, links, comps = joined(pairs, tried, links, comps)
-        done = asked.select("key", F.col("center").alias("node"))
-        open_rows = stage(left.select("key", "node").join(done, ["key", "node"], "left_anti"))
+        if level + 1 < len(LEVELS):
+            open_nodes = labelled.join(several.select("key"), "key", "left_semi").select("node").distinct()
+            active = stage(signs.join(open_nodes, "node", "left_semi"))
+        else:
+            compare(_small_pairs(labelled, several, small))
 
     classes = _labelled(nodes.select("digest", "node"), "node", comps, "class_id").select("digest", "class_id")
     alone = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("class_id"))

@@ -52,7 +52,34 @@ def test_families_around_the_threshold(spark):
             rows.append((len(rows), " ".join(text)))
             base = text if rng.random() < 0.3 else base
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
-    assert classes(M.near_duplicates(df, centres=2)) == by_hand(rows)
+    assert classes(M.near_duplicates(df)) == by_hand(rows)
+
+
+def test_texts_that_share_much_but_not_enough(spark):
+    """A passage that is most of many texts fills buckets; pairs among them are still found."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefghij", k=5))
+    passage = [word() for _ in range(80)]
+    rows = []
+    for _ in range(150):
+        own = [word() for _ in range(35)]
+        rows.append((len(rows), " ".join(passage + own)))
+        if rng.random() < 0.2:
+            own[rng.randrange(35)] = word()
+            rows.append((len(rows), " ".join(passage + own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    assert classes(M.near_duplicates(df)) == by_hand(rows)
+    assert classes(M.near_duplicates(df, small=0)) == by_hand(rows)
+
+
+def test_band_keys_follow_their_coordinates():
+    rng = np.random.default_rng(6)
+    a = rng.integers(0, 2**32, (2, M.COORDINATES)).astype(np.uint64)
+    a[1, 10:] = a[0, 10:]
+    for level in range(len(M.LEVELS)):
+        keys = M.band_keys(a, level)
+        same = [(places >= 10).all() for places in M.band_places(level)]
+        assert (keys[0] == keys[1]).tolist() == same and len(set(keys[0].tolist())) == len(same)
 
 
 def test_signature_agreement_is_the_weighted_similarity():
