@@ -51,13 +51,6 @@ def stage(df: DataFrame, compression: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of at most `rows`, to bound what a step holds."""
-    for batch in batches:
-        for begin in range(0, batch.num_rows, rows):
-            yield batch.slice(begin, rows)
-
-
 def by_bytes(
     batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 22
 ) -> Iterator[pa.RecordBatch]:

@@ -205,7 +205,8 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", prefix:
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known = sent.value
         for batch in batches:
-            found = [known.predict(t) for t in batch.to_pylist()]
+            parts = (batch.slice(i, 1000).to_pylist() for i in range(0, len(batch), 1000))
+            found = [known.predict(t) for part in parts for t in part]
             columns = (
                 pa.array([name for name, _ in found], pa.string()),
                 pa.array([score for _, score in found], pa.float64()),

@@ -38,7 +38,7 @@ WINDOW = 4
 BEGIN, END = "\x02", "\x03"
 WORD = re.compile(r"[^\W_]+")
 #: At most about so many documents of each class are learned from.
-MOST_ROWS = 12_000
+MOST_ROWS = 6000
 #: Longer words are judged in slices of this length.
 LONGEST = 64
 SLOTS = 1 << 20
@@ -63,49 +63,57 @@ class KneserNey:
 
     seen: ORDER-grams with their counts in toxic and in ordinary text. At the highest order these
     counts are used, below it the number of different characters that a gram was seen after; up
-    to SHARED - 1 characters of context, in either class.
+    to SHARED - 1 characters of context, in either class. Of the highest order only the logarithm
+    of the classes' ratio is kept, per gram; below it both chances.
     """
 
     def __init__(self, seen: list[str], toxic: np.ndarray, ordinary: np.ndarray):
-        counts = [dict(zip(seen, np.stack([toxic, ordinary], 1).astype(float)))]
+        grams = np.array(seen, f"U{ORDER}")
+        n = np.stack([toxic, ordinary], 1).astype(float)
+        order = np.argsort(grams)
+        levels = [(grams[order], n[order])]
         for size in range(ORDER - 1, 0, -1):
-            below: dict[str, np.ndarray] = {}
-            for gram, n in counts[0].items():
-                value = np.minimum(n, 1.0)
-                if size <= SHARED:
-                    value = np.full(2, value.max())
-                if (known := below.get(gram[1:])) is None:
-                    below[gram[1:]] = value
-                else:
-                    below[gram[1:]] = known + value
-            counts.insert(0, below)
+            above, counts = levels[0]
+            value = np.minimum(counts, 1.0)
+            if size <= SHARED:
+                value = np.repeat(value.max(1, keepdims=True), 2, 1)
+            names, at = np.unique(_cut(above, 1, size + 1), return_inverse=True)
+            levels.insert(0, (names, _summed(value, at, len(names))))
         self.chance: list[dict[str, tuple]] = []
         self.left_over: list[dict[str, tuple]] = []
-        self.floor = 1.0 / (len(counts[0]) + 1) if counts[0] else 1.0
-        for size, level in enumerate(counts, 1):
-            self._add(size, level)
-
-    def _add(self, size: int, level: dict[str, np.ndarray]) -> None:
-        n = np.array(list(level.values())).reshape(-1, 2)
-        once, twice = (n == 1).sum(0), (n == 2).sum(0)
-        discount = np.where(once > 0, once / np.maximum(once + 2.0 * twice, 1), 0.5)
-        places: dict[str, int] = {}
-        at = np.array([places.setdefault(g[:-1], len(places)) for g in level], int)
-        total, taken = np.zeros((len(places), 2)), np.zeros((len(places), 2))
-        np.add.at(total, at, n)
-        np.add.at(taken, at, np.minimum(n, discount))
-        rest = np.where(total > 0, taken / np.maximum(total, 1e-300), 1.0)
-        lower = np.array([self.of(g[1:]) for g in level]).reshape(-1, 2)
-        kept = np.maximum(n - discount, 0) / np.maximum(total[at], 1e-300)
-        value = kept + rest[at] * lower
-        self.chance.append(dict(zip(level, map(tuple, value.tolist()))))
-        self.left_over.append(dict(zip(places, map(tuple, rest.tolist()))))
+        self.floor = 1.0 / (len(levels[0][0]) + 1)
+        lower = np.full((len(levels[0][0]), 2), self.floor)
+        for size, (names, counts) in enumerate(levels, 1):
+            if size > 1:
+                below, value = levels[size - 2][0], lower
+                lower = value[np.searchsorted(below, _cut(names, 1, size))]
+            once, twice = (counts == 1).sum(0), (counts == 2).sum(0)
+            discount = np.where(once > 0, once / np.maximum(once + 2.0 * twice, 1), 0.5)
+            places, at = np.unique(_cut(names, 0, size - 1), return_inverse=True)
+            total = _summed(counts, at, len(places))
+            taken = _summed(np.minimum(counts, discount), at, len(places))
+            rest = np.where(total > 0, taken / np.maximum(total, 1e-300), 1.0)
+            kept = np.maximum(counts - discount, 0) / np.maximum(total[at], 1e-300)
+            lower = kept + rest[at] * lower
+            self.left_over.append(dict(zip(places.tolist(), map(tuple, rest.tolist()))))
+            if size < ORDER:
+                self.chance.append(dict(zip(names.tolist(), map(tuple, lower.tolist()))))
+            else:
+                self.ratio = dict(zip(names.tolist(), np.log(lower[:, 0] / lower[:, 1]).tolist()))
+
+    def log_ratio(self, gram: str) -> float:
+        """How much likelier the last character is in toxic text, after the others."""
+        known = self.ratio.get(gram)
+        if known is None:
+            toxic, ordinary = self.of(gram)
+            known = float(np.log(toxic / ordinary))
+        return known
 
     def of(self, gram: str) -> tuple[float, float]:
-        """The last character's chance after the others, in toxic and in ordinary text."""
+        """The last character's chance in toxic and ordinary text; not for seen ORDER-grams."""
         size, toxic, ordinary = len(gram), 1.0, 1.0
         while size:
-            found = self.chance[size - 1].get(gram)
+            found = self.chance[size - 1].get(gram) if size < ORDER else None
             if found:
                 return toxic * found[0], ordinary * found[1]
             rest = self.left_over[size - 1].get(gram[:-1])
@@ -115,20 +123,35 @@ class KneserNey:
         return toxic * self.floor, ordinary * self.floor
 
 
+def _cut(names: np.ndarray, begin: int, end: int) -> np.ndarray:
+    """Characters begin to end of equally long strings."""
+    size = names.dtype.itemsize // 4
+    if begin == end:
+        return np.full(len(names), "", "U1")
+    parts = names.view(np.uint32).reshape(len(names), size)[:, begin:end]
+    return np.ascontiguousarray(parts).view(f"U{end - begin}").ravel()
+
+
+def _summed(values: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    return np.stack([np.bincount(at, values[:, i], size) for i in range(values.shape[1])], 1)
+
+
 class Judge:
     """Likelihood differences of words and documents, with tables of bounded size."""
 
-    def __init__(self, model: KneserNey, most: int = 400_000):
+    def __init__(self, model: KneserNey, most: int = 200_000):
         self.model = model
-        self.gram = Cache(self._gram, most)
+        self.gram = Cache(model.log_ratio, most // 2)
         self.word = Cache(self._word, most)
 
-    def _gram(self, gram: str) -> float:
-        toxic, ordinary = self.model.of(gram)
-        return float(np.log(toxic / ordinary))
-
     def _word(self, word: str) -> float:
-        return sum(self.gram[g] for part in _slices(word) for g in grams(part))
+        seen, more = self.model.ratio.get, self.gram
+        total = 0.0
+        for part in _slices(word):
+            for gram in grams(part):
+                known = seen(gram)
+                total += more[gram] if known is None else known
+        return total
 
     def features(self, text: str | None) -> tuple[float, float, float]:
         """Difference per word over the text, over its most toxic window, and the number of words."""
@@ -281,7 +304,8 @@ def score_texts(docs: DataFrame, model: ToxicityModel, text: str = "text", outpu
     @F.arrow_udf("double")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pa.array(sent.value.scores(batch.to_pylist()), pa.float64())
+            parts = (batch.slice(i, 1000).to_pylist() for i in range(0, len(batch), 1000))
+            yield pa.array(np.concatenate([np.empty(0), *map(sent.value.scores, parts)]))
 
     return docs.withColumn(output, score(F.col(text)))
 
