@@ -13,12 +13,13 @@ node, and links of the wanted similarity or more are joined to classes. Pairs wh
 agree in less than AGREE of K coordinates are passed over (a pair of similarity 0.8 does so with a
 probability of 1e-9), all others are decided from the whole texts. Texts that share much, but not
 enough, meet in large buckets; so the members of buckets that still hold several classes are banded
-again with longer bands, which tell such texts apart. In small buckets of the last level all pairs
-of different classes are compared. No level makes all pairs of a large group. A pair of similarity 0.8
-shares no bucket of the first level with a probability of 3e-6, and 8 and 6 buckets on average in the
-two levels after it. It can be missed only if all of these hold a smaller node that is unlike one of
-the two, and those of the last level are large too: for a pair of similarity 0.85 among texts
-that have four fifths of their shingles in common, the probability is about 2e-5.
+again with longer bands, which tell such texts apart. Where buckets of the first level still hold
+several classes after that, small ones are compared pair by pair, and all members of the large ones
+go to an exact similarity join: shingles are ordered rarest first, so that two similar texts share
+one among their first few, and lengths and places of a shared shingle rule out most other pairs. No
+step makes all pairs of a large group that has a passage in common. So a pair is missed only if it
+shares no bucket of the first level (a pair of similarity 0.8: probability 3e-6) or agrees in fewer
+than AGREE coordinates.
 
 Cases: the class is the smallest doc_id in it. Exact copies (of the lower-cased text) are collapsed
 first. Texts of fewer than five words belong together if their words are equal; so do texts without words. A null
@@ -46,8 +47,12 @@ COORDINATES = 96
 LEVELS = ((24, 4), (48, 8), (96, 12))
 #: Pairs that agree in fewer coordinates are not compared.
 AGREE = 53
-#: Buckets of the last level up to this size are compared pair by pair.
+#: Buckets of several classes up to this size are compared pair by pair, larger ones by the exact join.
 SMALL = 16
+#: Shingles are counted in so many slots; the counts only say in which order the join takes them.
+SLOTS = 1 << 20
+#: A shingle with more rows than this is dealt over several tasks of the join.
+SALTED = 4096
 
 _P = 0x9E3779B97F4A7C15 | 1
 _PINV = pow(_P, -1, 1 << 64)
@@ -350,6 +355,87 @@ def _small_pairs(labelled: DataFrame, several: DataFrame, small: int) -> DataFra
     return each.select(F.col("x.node").alias("node"), F.col("y.node").alias("center"))
 
 
+def _slot_counts(texts: DataFrame) -> np.ndarray:
+    """How many shingles of texts(text) fall in each of SLOTS slots; its size is fixed."""
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for text in batch.column("text"):
+                np.add.at(counts, elements(text.as_py()) & U(SLOTS - 1), 1)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["slot", "n"])
+
+    rows = texts.select("text").mapInArrow(over, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    found, counts = rows.toArrow(), np.zeros(SLOTS, np.int64)
+    counts[found.column("slot").to_numpy()] = found.column("n").to_numpy()
+    return counts
+
+
+def least_shared(size: int | Column, similarity: float):
+    """Of how many shingles together two sets of so similar texts need to share how many at least."""
+    need = size * (similarity / (1 + similarity)) - 1e-6
+    return F.ceil(need) if isinstance(need, Column) else int(np.ceil(need))
+
+
+def _prefixes(texts: DataFrame, similarity: float) -> DataFrame:
+    """node, comp, size of its set, place and shingle of the rarest shingles of texts(node, comp, text).
+
+    Two texts of the similarity share a shingle within these.
+    """
+    counts = texts.sparkSession.sparkContext.broadcast(_slot_counts(texts))
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order = counts.value
+        for batch in batches:
+            for part in by_bytes([batch], "text"):
+                firsts, sizes = [np.empty(0, np.uint64)], []
+                for text in part.column("text"):
+                    own = elements(text.as_py())
+                    most = len(own) - int(np.ceil(len(own) * similarity - 1e-6)) + 1
+                    firsts.append(own[np.lexsort((own, order[own & U(SLOTS - 1)]))][:most])
+                    sizes.append(len(own))
+                taken = [len(f) for f in firsts[1:]]
+                places = np.concatenate([np.empty(0, np.int64), *map(np.arange, taken)])
+                columns = [part.column(c).to_numpy(zero_copy_only=False) for c in ("node", "comp")]
+                columns = [np.repeat(c, taken) for c in (*columns, np.array(sizes, np.int64))]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c) for c in (*columns, places, np.concatenate(firsts).view(np.int64))],
+                    ["node", "comp", "size", "place", "shingle"],
+                )
+
+    columns = texts.select("node", "comp", "text")
+    return columns.mapInArrow(over, "node long, comp long, size long, place long, shingle long")
+
+
+def similar_candidates(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Pairs(node, center) of different comp that hold all such pairs of the similarity.
+
+    texts: node, comp, text. Of two texts the shorter is found by the shingles with which it can
+    start to share enough with a text as long as itself, so what a group has in common is met only
+    by those that have little of their own.
+    """
+    rows = stage(_prefixes(texts, similarity))
+    met = rows.groupBy("shingle").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n"))
+    met = met.where(F.col("low") < F.col("high"))
+    rows = stage(rows.join(met.select("shingle", F.ceil(F.col("n") / SALTED).cast("int").alias("salts")), "shingle"))
+    longer = rows.withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int")).alias("y")
+    shorter = rows.where(F.col("size") - F.col("place") >= least_shared(2 * F.col("size"), similarity))
+    shorter = shorter.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).alias("x")
+    x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
+    left = F.least(x("size") - x("place"), y("size") - y("place"))
+    both = shorter.join(
+        longer,
+        (x("shingle") == y("shingle"))
+        & (x("salt") == y("salt"))
+        & (x("comp") != y("comp"))
+        & ((x("size") < y("size")) | ((x("size") == y("size")) & (x("node") < y("node"))))
+        & (x("size") >= y("size") * similarity - 1e-6)
+        & (left >= least_shared(x("size") + y("size"), similarity)),
+    )
+    return both.select(x("node").alias("node"), y("node").alias("center")).distinct()
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, small: int = SMALL) -> DataFrame:
     """doc_id and class_id of every row of docs(doc_id, text)."""
     marked = stage(signed(docs))
@@ -363,7 +449,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, small: int
     none = docs.sparkSession.createDataFrame([], "node long, center long")
     tried, links, texts = none, none, None
     comps = none.select("node", F.col("center").alias("comp"))
-    active = signs
+    active, first = signs, None
 
     def compare(pairs: DataFrame) -> None:
         """Link what is similar of pairs that lie in different classes and were not compared."""
@@ -386,6 +472,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, small: int
         shared = shared.where(F.col("center") < F.col("most")).select("key", "center")
         members = stage(rows.join(shared, "key"))
         if texts is None:
+            first = members
             texts = stage(
                 docs.select(F.col("doc_id").cast("long").alias("node"), "text")
                 .where(F.col("text").isNotNull())
@@ -401,8 +488,15 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, small: int
         if level + 1 < len(LEVELS):
             open_nodes = labelled.join(several.select("key"), "key", "left_semi").select("node").distinct()
             active = stage(signs.join(open_nodes, "node", "left_semi"))
-        else:
-            compare(_small_pairs(labelled, several, small))
+
+    # What is still undecided shares a bucket of the first level.
+    labelled = stage(_labelled(first.select("key", "node"), "node", comps, "comp"))
+    several = stage(_several(labelled))
+    compare(_small_pairs(labelled, several, small))
+    large = labelled.join(several.where(F.col("size") > small).select("key"), "key", "left_semi")
+    large = stage(large.select("node").distinct().join(texts, "node"))
+    if not large.isEmpty():
+        compare(similar_candidates(_labelled(large, "node", comps, "comp"), similarity))
 
     classes = _labelled(nodes.select("digest", "node"), "node", comps, "class_id").select("digest", "class_id")
     alone = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("class_id"))

@@ -72,6 +72,49 @@ def test_texts_that_share_much_but_not_enough(spark):
     assert classes(M.near_duplicates(df, small=0)) == by_hand(rows)
 
 
+def alike_texts(seed, groups, share, size=120):
+    """Texts that share a passage of about `share` of their words, some of them in similar pairs."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choices("abcdefghij", k=5))
+    passage = [word() for _ in range(size)]
+    rows = []
+    for _ in range(groups):
+        own = [word() for _ in range(round(size * (1 / rng.uniform(*share) - 1)))]
+        rows.append((len(rows), " ".join(passage + own)))
+        if rng.random() < 0.3:
+            for _ in range(rng.choice([1, 1, 2])):
+                own[rng.randrange(len(own))] = word()
+            rows.append((len(rows), " ".join(passage + own)))
+    return rows
+
+
+def test_large_buckets_of_several_classes_are_decided(spark, monkeypatch):
+    """Background similarity 0.72 to 0.79 over several hundred texts; no longer bands help."""
+    monkeypatch.setattr(M, "LEVELS", M.LEVELS[:1])
+    rows = alike_texts(14, 320, (0.85, 0.88))
+    sets = [plain_set(t) for _, t in rows[::40]]
+    background = [len(a & b) / len(a | b) for i, a in enumerate(sets) for b in sets[:i]]
+    assert 0.7 < np.median(background) < 0.79
+    want = by_hand(rows)
+    assert len(set(want.values())) > 200
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    assert classes(M.near_duplicates(df)) == want
+
+
+def test_candidates_hold_all_similar_pairs(spark, monkeypatch):
+    """Sets of different lengths, in classes of one and of several nodes; hot shingles are dealt."""
+    monkeypatch.setattr(M, "SALTED", 20)
+    rows = alike_texts(15, 120, (0.75, 0.95)) + [(1000 + i, t) for i, t in alike_texts(16, 30, (0.3, 0.99), 12)]
+    rows = [(i, i - i % 2 if i % 5 == 0 else i, t) for i, t in rows]
+    df = spark.createDataFrame(rows, "node long, comp long, text string").repartition(5)
+    got = [tuple(sorted(r)) for r in M.similar_candidates(df).collect()]
+    assert len(got) == len(set(got))
+    sets = [(i, c, plain_set(t)) for i, c, t in rows]
+    pairs = [(j, i, len(a & b) / len(a | b)) for n, (i, c, a) in enumerate(sets) for j, d, b in sets[:n] if c != d]
+    similar = {(j, i) for j, i, s in pairs if s >= 0.8}
+    assert similar and similar <= set(got)
+
+
 def test_band_keys_follow_their_coordinates():
     rng = np.random.default_rng(6)
     a = rng.integers(0, 2**32, (2, M.COORDINATES)).astype(np.uint64)
