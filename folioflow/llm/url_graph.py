@@ -3,8 +3,12 @@
 Rules name a host and a path prefix; of the rules that fit a url the longest decides. Hosts whose
 pages rules allow are trusted seeds, hosts whose pages rules block are blocked seeds. Trust is
 personalised PageRank along the links between hosts; distrust is the same walk against the links,
-from the blocked seeds. A url without a rule is blocked if its host's distrust reaches a threshold
-and exceeds its trust.
+from the blocked seeds. Such a walk shares out what a host has over all hosts that link to it, so its
+mass says little about the host itself. Verdicts go by a host's exposure: its blocked share, or the
+damped mean of the exposure of the hosts that its links lead to, whichever is more. Links to a host
+do not enter its exposure. A url without a rule is blocked if rules block a share of its host's pages
+that reaches a threshold and exceeds the allowed one, or if the host's exposure reaches the
+threshold and exceeds its trust, which links from trusted hosts can raise.
 
 Cases: a null url or one without `://` has empty host and path, fits no rule and is judged as the
 host ``''``. Null html has no links. Relative links and links to the own host carry nothing. Equal
@@ -98,37 +102,40 @@ def host_links(pages: DataFrame) -> DataFrame:
 
 
 def _moves(links: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Where a host's trust and distrust go: src, dst, trust share, distrust share.
+    """Where a host's trust and distrust go: src, dst, trust share, distrust share, exposure share.
 
-    Trust leaves along links and distrust against them; a host with nowhere to send it keeps it.
+    The last is the part of dst's links that lead to src. Trust leaves along links and distrust against them; a host with nowhere to send it keeps it.
     """
     out = links.groupBy("src").agg(F.sum("links").alias("total"))
     into = links.groupBy("dst").agg(F.sum("links").alias("total"))
     zero = F.lit(0.0)
     along = links.join(out, "src").select(
-        "src", "dst", (F.col("links") / F.col("total")).alias("wt"), zero.alias("wd")
+        "src", "dst", (F.col("links") / F.col("total")).alias("wt"), zero.alias("wd"), zero.alias("we")
     )
-    against = links.join(into, "dst").select(
+    sent = out.withColumnRenamed("total", "sent")
+    against = links.join(into, "dst").join(sent, "src").select(
         F.col("dst").alias("src"),
         F.col("src").alias("dst"),
         zero.alias("wt"),
         (F.col("links") / F.col("total")).alias("wd"),
+        (F.col("links") / F.col("sent")).alias("we"),
     )
     ends = nodes.join(out.select(F.col("src").alias("host")), "host", "left_anti")
     starts = nodes.join(into.select(F.col("dst").alias("host")), "host", "left_anti")
     one, same = F.lit(1.0), [F.col("host").alias("src"), F.col("host").alias("dst")]
-    keep_trust = ends.select(*same, one.alias("wt"), zero.alias("wd"))
-    keep_distrust = starts.select(*same, zero.alias("wt"), one.alias("wd"))
+    keep_trust = ends.select(*same, one.alias("wt"), zero.alias("wd"), zero.alias("we"))
+    keep_distrust = starts.select(*same, zero.alias("wt"), one.alias("wd"), zero.alias("we"))
     return along.unionAll(against).unionAll(keep_trust).unionAll(keep_distrust)
 
 
 def spread_trust(
     links: DataFrame, seeds: DataFrame, damping: float = 0.6, rounds: int = 12, cut_every: int = 4
 ) -> DataFrame:
-    """host, trust, distrust after `rounds` steps of both personalised walks.
+    """host, both seeds, trust, distrust and exposure after `rounds` steps.
 
     links: src, dst, links. seeds: host, trust_seed, distrust_seed between 0 and 1. What a host
-    has is (1 - damping) of its seed plus damping times what reaches it. Every round is one join
+    has is (1 - damping) of its seed plus damping times what reaches it; its exposure is the larger
+    of its distrust seed and damping times the mean over its links. Every round is one join
     and one sum over the links; every `cut_every` rounds the state is written.
     """
     zero = F.lit(0.0)
@@ -141,7 +148,8 @@ def spread_trust(
         .agg(F.max("trust_seed").alias("trust_seed"), F.max("distrust_seed").alias("distrust_seed"))
     )
     moves = stage(_moves(links, nodes.select("host")))
-    state = nodes.select("host", F.col("trust_seed").alias("trust"), F.col("distrust_seed").alias("distrust"))
+    bad = F.col("distrust_seed")
+    state = nodes.select("host", F.col("trust_seed").alias("trust"), bad.alias("distrust"), bad.alias("exposure"))
     for step in range(1, rounds + 1):
         reached = (
             moves.join(state, moves["src"] == state["host"])
@@ -149,13 +157,17 @@ def spread_trust(
             .agg(
                 F.sum(F.col("trust") * F.col("wt")).alias("t"),
                 F.sum(F.col("distrust") * F.col("wd")).alias("d"),
+                F.sum(F.col("exposure") * F.col("we")).alias("e"),
             )
             .withColumnRenamed("dst", "host")
         )
         state = nodes.join(reached, "host", "left").select(
             "host",
+            "trust_seed",
+            "distrust_seed",
             ((1 - damping) * F.col("trust_seed") + damping * F.coalesce("t", zero)).alias("trust"),
             ((1 - damping) * F.col("distrust_seed") + damping * F.coalesce("d", zero)).alias("distrust"),
+            F.greatest("distrust_seed", damping * F.coalesce("e", zero)).alias("exposure"),
         )
         if step % cut_every == 0 or step == rounds:
             state = stage(state)
@@ -172,7 +184,7 @@ def filter_urls(
     """page_id, host, path, rule, verdict, trust, distrust of every row of pages(page_id, url, html).
 
     A host's seeds are the shares of its pages that rules allow and block, so a threshold of 0.5
-    blocks the rest of a host without links if rules block half of its pages.
+    blocks the rest of a host if rules block half of its pages and allow fewer, whatever its links.
     """
     pages = pages.select("page_id", "url", "html")
     judged = ruled(pages, rules)
@@ -182,7 +194,9 @@ def filter_urls(
     )
     links = stage(host_links(pages))
     scores = spread_trust(links, stage(seeds), damping, rounds)
-    bad = (F.col("distrust") >= threshold) & (F.col("distrust") > F.col("trust"))
+    own = (F.col("distrust_seed") >= threshold) & (F.col("distrust_seed") > F.col("trust_seed"))
+    by_links = (F.col("exposure") >= threshold) & (F.col("exposure") > F.greatest("trust_seed", "trust"))
+    bad = own | by_links
     return judged.join(scores, "host", "left").select(
         "page_id",
         "host",

@@ -82,6 +82,21 @@ def test_distrust_reaches_hosts_that_link_to_blocked_ones(spark):
     assert got == {0: "block", 1: "block", 2: "block", 3: "block", 10: "block", 11: "allow", 12: "allow"}
 
 
+def test_links_to_a_host_do_not_clear_it(spark):
+    """The registered threshold where blocked and clean hosts have inbound links."""
+    link = lambda *hosts: "".join(f'<a href="http://{h}/x">x</a>' for h in hosts)
+    rows = [(i, f"http://bad.net/es/{i}", "") for i in range(9)] + [(9, "http://bad.net/other", "")]
+    rows += [(10, "http://all.net/es/1", ""), (11, "http://lone.org/1", link("bad.net"))]
+    rows += [(12, "http://known.org/1", link("bad.net")), (13, "http://mixed.org/1", link("bad.net", "known.org"))]
+    rows += [(14 + i, f"http://h{i}.org/1", link("bad.net", "all.net", "a.org", "b.org", "known.org")) for i in range(30)]
+    rows += [(50, "http://good.com/1", link("bad.net", "all.net"))]
+    got = {r["page_id"]: r for r in filter_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    blocked = {i for i, r in got.items() if r["verdict"] == "block"}
+    assert blocked == set(range(13))
+    alone = filter_urls(spark.createDataFrame(rows[:13], "page_id long, url string, html string"))
+    assert {r["page_id"] for r in alone.collect() if r["verdict"] == "block"} == set(range(13))
+
+
 def test_edges(spark):
     rows = [
         (1, None, None, "h"),
