@@ -24,8 +24,13 @@ TOXIC = 0.7
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity is under the threshold; learns from all labelled documents."""
+    """Documents whose toxicity is under the threshold; learns from all labelled documents.
+
+    Without labels of both classes there is no model, and all documents stay.
+    """
     model = toxicity.train(docs.where(F.col("doc_id").isNotNull()), table(spark, sf_dir, "labels"))
+    if model.model is None:
+        return docs
     scored = toxicity.score_texts(docs, model, output="_toxicity")
     return scored.where(F.col("_toxicity") < TOXIC).select(*docs.columns)
 

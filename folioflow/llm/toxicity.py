@@ -11,8 +11,9 @@ have not seen.
 Cases: a null or empty text, and one without letters or digits, has no words and gets the score of
 a likelihood difference of zero. Very long texts are scored whole. Documents whose label is null or
 missing take no part in training; if a document's labels differ, one toxic label makes it toxic.
-Repeated rows are scored each. A null id is in no fold that is learned from. If labels of either
-class are missing, every score is the share of toxic labels (0 without labels). An empty table
+Repeated rows are scored each. A null id is in no fold that is learned from. If either
+class has fewer than two labelled documents with words, every score is the share of toxic labels (0
+without labels). An empty table
 gives an empty result. Other columns are ignored.
 """
 
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioflow.llm.chunks import Cache
@@ -189,12 +190,14 @@ def curve(beta: np.ndarray, features: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(_inputs(features) @ beta, -30, 30)))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> tuple[DataFrame, dict]:
+def training_rows(
+    docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, dealt: bool = False
+) -> tuple[DataFrame, dict]:
     """text, toxic and part of the labelled documents to learn from, and each class's share taken.
 
     About `most_rows` documents of each class are chosen by a hash of the id, so the list of ids
     that is sent to the scan is bounded and no text is shuffled. Part 2 fits the curve, parts 0
-    and 1 give the counts.
+    and 1 give the counts. dealt: the documents of each class are dealt over the parts in turn.
     """
     usable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
     one = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -206,6 +209,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS
     chosen = one.where(F.col("toxic").isin(0, 1) & (slot < limit)).select(
         F.col("doc_id").alias("_id"), F.col("toxic").alias("_toxic"), part.alias("_part")
     )
+    if dealt:
+        turn = Window.partitionBy("_toxic").orderBy(F.xxhash64("_id", F.lit(7)), "_id")
+        with_words = docs.where(F.col("text").rlike(r"[\p{L}\p{N}]")).select(F.col("doc_id").alias("_id"))
+        chosen = chosen.join(with_words, "_id", "left_semi")
+        chosen = chosen.withColumn("_part", F.pmod(F.row_number().over(turn) + 1, F.lit(3)))
     taken = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
     return taken.select("text", F.col("_toxic").alias("toxic"), F.col("_part").alias("part")), {
         "share": share,
@@ -250,9 +258,15 @@ class ToxicityModel:
         return curve(self.beta, np.array([self._judge.features(t) for t in texts]).reshape(-1, 3))
 
 
-def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> ToxicityModel:
-    """Counts and curve from labelled documents; docs holds only those that may be learned from."""
-    rows, known = training_rows(docs, labels, most_rows)
+def train(
+    docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, dealt: bool = False
+) -> ToxicityModel:
+    """Counts and curve from labelled documents; docs holds only those that may be learned from.
+
+    If counts or curve lack a class, as can happen with few labels, both are learned once more from
+    parts that its documents are dealt over in turn.
+    """
+    rows, known = training_rows(docs, labels, most_rows, dealt)
     n = known["rows"]
     prior = n.get(1, 0) / max(1, n.get(0, 0) + n.get(1, 0))
     if not n.get(0) or not n.get(1):
@@ -264,8 +278,8 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Tox
         .agg(F.sum("n_toxic").alias("n_toxic"), F.sum("n_ordinary").alias("n_ordinary"))
         .toArrow()
     )
-    if not summed.num_rows:
-        return ToxicityModel(None, None, prior)
+    if not all(summed.num_rows and summed.column(c).to_numpy().any() for c in ("n_toxic", "n_ordinary")):
+        return ToxicityModel(None, None, prior) if dealt else train(docs, labels, most_rows, True)
     model = KneserNey(
         summed.column("gram").to_pylist(),
         summed.column("n_toxic").to_numpy(),
@@ -291,7 +305,7 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Tox
     features = np.column_stack([held.column(c).to_numpy() for c in ("whole", "window", "words")])
     toxic = held.column("toxic").to_numpy().astype(float)
     if len(set(toxic)) < 2:
-        return ToxicityModel(None, None, prior)
+        return ToxicityModel(None, None, prior) if dealt else train(docs, labels, most_rows, True)
     weights = np.where(toxic == 1, 1 / known["share"][1], 1 / known["share"][0])
     sent.unpersist()
     return ToxicityModel(model, fit_curve(features, toxic, weights / weights.mean()), prior)

@@ -101,3 +101,22 @@ def test_edges(spark):
     for some in (labels.where("false"), labels.where("toxic = 0")):
         assert {r["toxicity"] for r in X.score_texts(frame, X.train(docs, some)).collect()} == {0.0}
     assert {r["toxicity"] for r in X.score_texts(frame, X.train(docs.where("false"), labels)).collect()}
+
+
+def test_few_toxic_labels_still_give_a_model(spark, tmp_path):
+    """However the hash deals few toxic documents, the model tells the classes apart."""
+    import corpus_pipeline as C
+
+    ids = spark.range(1000).selectExpr("id", "pmod(xxhash64(id, 7), 3) AS part").collect()
+    # All toxic documents in the parts of the counts, then all in the part of the curve.
+    for parts in ((0, 1), (2,)):
+        toxic = [r["id"] for r in ids if r["part"] in parts][:5]
+        rows = [(i, "sun and sea " * 9 + ("vile filthy nasty" if i in toxic else "sand")) for i in range(300)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        labels = spark.createDataFrame([(i, int(i in toxic)) for i, _ in rows], "doc_id long, toxic int")
+        model = X.train(docs, labels)
+        assert model.model is not None
+        scores = model.scores([t for _, t in rows])
+        assert scores[toxic].min() > np.delete(scores, toxic).max()
+    labels.where("toxic = 1").write.parquet(str(tmp_path / "labels.parquet"))
+    assert C.drop_toxic(spark, docs, str(tmp_path)).count() == 300
