@@ -21,9 +21,10 @@ step makes all pairs of a large group that has a passage in common. So a pair is
 shares no bucket of the first level (a pair of similarity 0.8: probability 3e-6) or agrees in fewer
 than AGREE coordinates.
 
-Cases: the class is the smallest doc_id in it. Exact copies (of the lower-cased text) are collapsed
+Cases: a class is named by the smallest doc_id in it. Exact copies (of the lower-cased text) are collapsed
 first. Texts of fewer than five words belong together if their words are equal; so do texts without words. A null
-text is alone with its doc_id. Rows of one doc_id are in one class. A row with a null doc_id has the
+text is alone with its doc_id. Each row is judged by its own text, so rows of one doc_id with different
+texts can be in different classes, which `class_digest` tells apart. A row with a null doc_id has the
 class of its exact copies, else null. An empty table gives an empty result. Other columns are
 ignored. One text is the smallest unit of work.
 """
@@ -51,6 +52,8 @@ AGREE = 53
 SMALL = 16
 #: Shingles are counted in so many slots; the counts only say in which order the join takes them.
 SLOTS = 1 << 20
+#: Slots whose counts come to the driver as one row.
+RANGE = 1 << 14
 #: A shingle with more rows than this is dealt over several tasks of the join.
 SALTED = 4096
 
@@ -192,6 +195,25 @@ def band_keys(coordinates: np.ndarray, level: int) -> np.ndarray:
     return code.view(np.int64)
 
 
+def digest_of(text: str | None) -> bytes | None:
+    """Equal for texts that are copies: lower-cased, and under five words without regard to spaces."""
+    if text is None:
+        return None
+    raw = text.lower().encode()
+    if len(raw.split(None, SHINGLE)) < SHINGLE:
+        return xxhash.xxh3_128_digest(b" ".join(raw.split()), seed=1)
+    return xxhash.xxh3_128_digest(raw)
+
+
+def text_digest(text: Column) -> Column:
+    @F.arrow_udf("binary")
+    def digest(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([digest_of(x.as_py()) for x in batch], pa.binary())
+
+    return digest(text)
+
+
 def signed(docs: DataFrame, weighting: str = "set") -> DataFrame:
     """doc_id, digest of the text, and signature (null for texts under five words).
 
@@ -204,19 +226,15 @@ def signed(docs: DataFrame, weighting: str = "set") -> DataFrame:
             for part in by_bytes([batch], "text"):
                 digests, sets, weights, where = [], [], [], []
                 for row, text in enumerate(part.column("text").to_pylist()):
+                    digests.append(digest_of(text))
                     if text is None:
-                        digests.append(None)
                         continue
-                    raw = text.lower().encode()
-                    found = shingles(word_hashes(raw))
+                    found = shingles(word_hashes(text.lower().encode()))
                     if len(found):
                         distinct, n = np.unique(found, return_counts=True)
                         sets.append(distinct)
                         weights.append(n if weighting == "count" else np.ones(len(n)))
                         where.append(row)
-                        digests.append(xxhash.xxh3_128_digest(raw))
-                    else:
-                        digests.append(xxhash.xxh3_128_digest(b" ".join(raw.split()), seed=1))
                 signs: list = [None] * part.num_rows
                 if sets:
                     found = mix(signatures(sets, weights)).astype("<u4")
@@ -366,9 +384,17 @@ def _slot_counts(texts: DataFrame) -> np.ndarray:
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["slot", "n"])
 
+    def together(rows: pa.Table) -> pa.Table:
+        at, n = rows.column("slot").to_numpy(), rows.column("n").to_numpy()
+        first, part = int(at[0]) // RANGE * RANGE, np.zeros(RANGE, "<u4")
+        part[at - first] = np.minimum(n, 2**32 - 1)
+        return pa.table({"first": [first], "counts": pa.array([part.tobytes()], pa.binary())})
+
     rows = texts.select("text").mapInArrow(over, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
-    found, counts = rows.toArrow(), np.zeros(SLOTS, np.int64)
-    counts[found.column("slot").to_numpy()] = found.column("n").to_numpy()
+    ranges = rows.groupBy(F.floor(F.col("slot") / RANGE)).applyInArrow(together, "first long, counts binary")
+    counts = np.zeros(SLOTS, np.uint32)
+    for row in ranges.collect():
+        counts[row["first"] : row["first"] + RANGE] = np.frombuffer(row["counts"], "<u4")
     return counts
 
 
@@ -436,24 +462,42 @@ def similar_candidates(texts: DataFrame, similarity: float = SIMILARITY) -> Data
     return both.select(x("node").alias("node"), y("node").alias("center")).distinct()
 
 
+def merged_classes(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """node, comp after further links(node, center) between nodes of different classes.
+
+    Only the classes that the new links touch are put together, not all links from the start.
+    """
+    ends = _labelled(_labelled(links, "node", comps, "a"), "center", comps, "b").select("a", "b")
+    joined = components(ends)
+    after = joined.select(F.col("node").alias("comp"), F.col("comp").alias("_after"))
+    moved = comps.join(after, "comp", "left").select("node", F.coalesce("_after", "comp").alias("comp"))
+    return stage(moved.unionByName(joined.join(comps.select("node"), "node", "left_anti")))
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, small: int = SMALL) -> DataFrame:
-    """doc_id and class_id of every row of docs(doc_id, text)."""
+    """doc_id, digest, class_id and class_digest of every row of docs(doc_id, text).
+
+    A class is named by its smallest doc_id, and the smallest digest that doc_id has in it.
+    """
     marked = stage(signed(docs))
     # Exact copies collapse in map-side aggregation; what follows sees each text once.
     nodes = stage(
         marked.where(F.col("doc_id").isNotNull() & F.col("digest").isNotNull())
+        .groupBy("digest", "doc_id")
+        .agg(F.count("*").alias("rows"), F.first("sign").alias("sign"))
         .groupBy("digest")
-        .agg(F.min("doc_id").alias("node"), F.first("sign").alias("sign"))
+        .agg(F.min(F.struct("doc_id", "rows")).alias("_first"), F.first("sign").alias("sign"))
+        .select(F.monotonically_increasing_id().alias("node"), "digest", "sign", "_first.doc_id", "_first.rows")
     )
     signs = nodes.where(F.col("sign").isNotNull()).select("node", "sign")
     none = docs.sparkSession.createDataFrame([], "node long, center long")
-    tried, links, texts = none, none, None
+    tried, texts = none, None
     comps = none.select("node", F.col("center").alias("comp"))
     active, first = signs, None
 
     def compare(pairs: DataFrame) -> None:
         """Link what is similar of pairs that lie in different classes and were not compared."""
-        nonlocal tried, links, comps
+        nonlocal tried, comps
         pairs = pairs.select(F.greatest("node", "center").alias("node"), F.least("node", "center").alias("center"))
         pairs = pairs.distinct().join(tried, ["node", "center"], "left_anti")
         pairs = _labelled(_labelled(pairs, "node", comps, "_a"), "center", comps, "_b")
@@ -463,8 +507,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, small: int
         found = stage(linked(pairs, signs, texts, similarity))
         tried = tried.unionAll(pairs)
         if not found.isEmpty():
-            links = links.unionAll(found)
-            comps = components(links.select(F.col("node").alias("a"), F.col("center").alias("b")))
+            comps = merged_classes(comps, found)
 
     for level in range(len(LEVELS)):
         rows = active.select("node", F.explode(_keys(level)("sign")).alias("key"))
@@ -473,11 +516,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, small: int
         members = stage(rows.join(shared, "key"))
         if texts is None:
             first = members
-            texts = stage(
-                docs.select(F.col("doc_id").cast("long").alias("node"), "text")
-                .where(F.col("text").isNotNull())
-                .join(members.select("node").distinct(), "node", "left_semi")
-            )
+            texts = stage(_texts_of(docs, nodes.join(members.select("node").distinct(), "node", "left_semi")))
             # Most texts are alike to the smallest of their centres; the other centres wait for that.
             compare(members.groupBy("node").agg(F.min("center").alias("center")).where("node <> center"))
         compare(members.where("node <> center").select("node", "center"))
@@ -490,18 +529,39 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, small: int
             active = stage(signs.join(open_nodes, "node", "left_semi"))
 
     # What is still undecided shares a bucket of the first level.
-    labelled = stage(_labelled(first.select("key", "node"), "node", comps, "comp"))
-    several = stage(_several(labelled))
-    compare(_small_pairs(labelled, several, small))
-    large = labelled.join(several.where(F.col("size") > small).select("key"), "key", "left_semi")
-    large = stage(large.select("node").distinct().join(texts, "node"))
-    if not large.isEmpty():
-        compare(similar_candidates(_labelled(large, "node", comps, "comp"), similarity))
-
-    classes = _labelled(nodes.select("digest", "node"), "node", comps, "class_id").select("digest", "class_id")
+    if level or not several.isEmpty():
+        labelled = stage(_labelled(first.select("key", "node"), "node", comps, "comp"))
+        several = stage(_several(labelled))
+        compare(_small_pairs(labelled, several, small))
+        large = labelled.join(several.where(F.col("size") > small).select("key"), "key", "left_semi")
+        large = stage(large.select("node").distinct().join(texts, "node"))
+        if not large.isEmpty():
+            compare(similar_candidates(_labelled(large, "node", comps, "comp"), similarity))
+
+    named = nodes.select("node", "digest", F.struct("doc_id", "digest").alias("_own"))
+    of_class = named.join(comps, "node").groupBy("comp").agg(F.min("_own").alias("_class"))
+    classes = (
+        named.join(comps.join(of_class, "comp").select("node", "_class"), "node", "left")
+        .select("digest", F.coalesce("_class", "_own").alias("_class"))
+        .select("digest", F.col("_class.doc_id").alias("class_id"), F.col("_class.digest").alias("class_digest"))
+    )
     alone = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("class_id"))
-    return marked.select("doc_id", "digest").join(classes, "digest", "left").select("doc_id", alone.alias("class_id"))
+    return (
+        marked.select("doc_id", "digest")
+        .join(classes, "digest", "left")
+        .select("doc_id", "digest", alone.alias("class_id"), "class_digest")
+    )
+
+
+def _texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node and text of nodes(node, doc_id, digest, rows)."""
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").isNotNull())
+    found = found.withColumn("digest", text_digest(F.col("text")))
+    if not nodes.where(F.col("rows") > 1).isEmpty():
+        # Rows that are repeated whole collapse before they meet.
+        found = found.dropDuplicates(["doc_id", "digest"])
+    return found.join(nodes.select("node", "doc_id", "digest"), ["doc_id", "digest"]).select("node", "text")
 
 
 def op6_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id")

@@ -80,8 +80,10 @@ class KneserNey:
                 value = np.repeat(value.max(1, keepdims=True), 2, 1)
             names, at = np.unique(_cut(above, 1, size + 1), return_inverse=True)
             levels.insert(0, (names, _summed(value, at, len(names))))
-        self.chance: list[dict[str, tuple]] = []
-        self.left_over: list[dict[str, tuple]] = []
+        #: Names and both chances of the grams of each size under ORDER.
+        self.chances: list[tuple[np.ndarray, np.ndarray]] = []
+        #: Names of the contexts of each size and what they leave to shorter ones.
+        self.rests: list[tuple[np.ndarray, np.ndarray]] = []
         self.floor = 1.0 / (len(levels[0][0]) + 1)
         lower = np.full((len(levels[0][0]), 2), self.floor)
         for size, (names, counts) in enumerate(levels, 1):
@@ -96,11 +98,22 @@ class KneserNey:
             rest = np.where(total > 0, taken / np.maximum(total, 1e-300), 1.0)
             kept = np.maximum(counts - discount, 0) / np.maximum(total[at], 1e-300)
             lower = kept + rest[at] * lower
-            self.left_over.append(dict(zip(places.tolist(), map(tuple, rest.tolist()))))
+            self.rests.append((places, rest))
             if size < ORDER:
-                self.chance.append(dict(zip(names.tolist(), map(tuple, lower.tolist()))))
+                self.chances.append((names, lower))
             else:
-                self.ratio = dict(zip(names.tolist(), np.log(lower[:, 0] / lower[:, 1]).tolist()))
+                self.ratios = (names, np.log(lower[:, 0] / lower[:, 1]))
+
+
+class Lookup:
+    """A model's tables as dictionaries."""
+
+    def __init__(self, model: KneserNey):
+        pairs = lambda names, both: dict(zip(names.tolist(), map(tuple, both.tolist())))
+        self.chance = [pairs(*x) for x in model.chances]
+        self.left_over = [pairs(*x) for x in model.rests]
+        self.ratio = dict(zip(model.ratios[0].tolist(), model.ratios[1].tolist()))
+        self.floor = model.floor
 
     def log_ratio(self, gram: str) -> float:
         """How much likelier the last character is in toxic text, after the others."""
@@ -141,8 +154,8 @@ class Judge:
     """Likelihood differences of words and documents, with tables of bounded size."""
 
     def __init__(self, model: KneserNey, most: int = 200_000):
-        self.model = model
-        self.gram = Cache(model.log_ratio, most // 2)
+        self.model = Lookup(model)
+        self.gram = Cache(self.model.log_ratio, most // 2)
         self.word = Cache(self._word, most)
 
     def _word(self, word: str) -> float:
@@ -200,6 +213,8 @@ def training_rows(
     and 1 give the counts. dealt: the documents of each class are dealt over the parts in turn.
     """
     usable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
+    # Labels of documents that may not be learned from count nowhere.
+    usable = usable.join(docs.select("doc_id"), "doc_id", "left_semi")
     one = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     rows = {r["toxic"]: r["count"] for r in one.groupBy("toxic").count().collect()}
     share = {c: min(1.0, most_rows / rows[c]) if rows.get(c) else 0.0 for c in (0, 1)}
@@ -231,9 +246,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _slices(word):
             for gram in grams(part):
                 found.setdefault(gram, [0, 0])[1 - toxic] += n
+    wide = np.array(list(found), f"U{ORDER}").tobytes()
     yield pa.RecordBatch.from_arrays(
         [
-            pa.array(list(found), pa.string()),
+            pa.array([wide[i : i + 4 * ORDER] for i in range(0, len(wide), 4 * ORDER)], pa.binary()),
             pa.array([n[0] for n in found.values()], pa.int64()),
             pa.array([n[1] for n in found.values()], pa.int64()),
         ],
@@ -273,7 +289,7 @@ def train(
         return ToxicityModel(None, None, prior)
     summed = (
         rows.where("part < 2")
-        .mapInArrow(_count, "gram string, n_toxic long, n_ordinary long")
+        .mapInArrow(_count, "gram binary, n_toxic long, n_ordinary long")
         .groupBy("gram")
         .agg(F.sum("n_toxic").alias("n_toxic"), F.sum("n_ordinary").alias("n_ordinary"))
         .toArrow()
@@ -281,7 +297,7 @@ def train(
     if not all(summed.num_rows and summed.column(c).to_numpy().any() for c in ("n_toxic", "n_ordinary")):
         return ToxicityModel(None, None, prior) if dealt else train(docs, labels, most_rows, True)
     model = KneserNey(
-        summed.column("gram").to_pylist(),
+        np.frombuffer(b"".join(x.as_py() for x in summed.column("gram")), f"U{ORDER}"),
         summed.column("n_toxic").to_numpy(),
         summed.column("n_ordinary").to_numpy(),
     )
@@ -307,7 +323,7 @@ def train(
     if len(set(toxic)) < 2:
         return ToxicityModel(None, None, prior) if dealt else train(docs, labels, most_rows, True)
     weights = np.where(toxic == 1, 1 / known["share"][1], 1 / known["share"][0])
-    sent.unpersist()
+    sent.destroy()
     return ToxicityModel(model, fit_curve(features, toxic, weights / weights.mean()), prior)
 
 
@@ -324,11 +340,13 @@ def score_texts(docs: DataFrame, model: ToxicityModel, text: str = "text", outpu
     return docs.withColumn(output, score(F.col(text)))
 
 
-def op1_toxicity(spark: SparkSession, sf_dir: str, threshold: float = 0.7) -> DataFrame:
+def op1_toxicity(
+    spark: SparkSession, sf_dir: str, threshold: float = 0.7, most_rows: int = MOST_ROWS
+) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held = fold("doc_id", 3)
     learned = docs.where((held != 1) & (held >= 0))
-    model = train(learned, table(spark, sf_dir, "labels"))
+    model = train(learned, table(spark, sf_dir, "labels"), most_rows)
     return score_texts(docs, model).select(
         "doc_id",
         (held == 1).alias("held_out"),

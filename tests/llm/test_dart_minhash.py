@@ -179,8 +179,33 @@ def test_edges(spark):
         (None, None),
     ]
     df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, class_id string")
-    got = sorted(map(tuple, M.near_duplicates(df).collect()), key=repr)
+    got = sorted(map(tuple, M.near_duplicates(df).select("doc_id", "class_id").collect()), key=repr)
     want = [(9, 9), (8, 8), (7, 6), (6, 6), (5, 4), (4, 4), (3, 3), (20, 12), (12, 12), (13, 12), (13, 12)]
     want += [(30, 30), (31, 30), (None, 12), (None, None), (None, None)]
     assert got == sorted(want, key=repr)
     assert M.near_duplicates(df.where("false")).collect() == []
+
+
+def test_rows_of_one_doc_id_are_judged_by_their_texts(spark):
+    a, b = "the cat and the dog went to the old house", "a wholly different text about the sea and the sun"
+    rows = [(3, a), (5, a), (5, b), (5, b), (7, b.upper()), (8, a + " again"), (5, None), (5, "short"), (9, "SHORT ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, M.near_duplicates(df).select("doc_id", "class_id").collect()))
+    want = [(3, 3), (5, 3), (5, 5), (5, 5), (7, 5), (8, 3), (5, 5), (5, 5), (9, 5)]
+    assert got == sorted(want)
+    names = {(r["class_id"], r["class_digest"]) for r in M.near_duplicates(df).collect()}
+    assert len(names) == 4
+
+
+def test_merged_classes_equal_those_of_all_links(spark):
+    rng = random.Random(9)
+    comps = spark.createDataFrame([], "node long, comp long")
+    every = []
+    for _ in range(3):
+        have = {r["node"]: r["comp"] for r in comps.collect()}
+        links = [(rng.randrange(60), rng.randrange(60)) for _ in range(12)]
+        links = [(a, b) for a, b in links if have.get(a, a) != have.get(b, b)]
+        every += links
+        comps = M.merged_classes(comps, spark.createDataFrame(links, "node long, center long"))
+        want = M.components(spark.createDataFrame(every, "a long, b long"))
+        assert sorted(map(tuple, comps.collect())) == sorted(map(tuple, want.collect()))

@@ -89,3 +89,24 @@ def test_edges(spark, sf, tmp_path):
                 assert kept == ([0, 3, 6] if n == 0 else [])
                 assert df.columns == [f.split()[0] for f in schema.split(", ")]
         assert (df.count() > 0) == (n == 0)
+
+
+def test_near_dedup_keeps_every_distinct_text(spark, sf):
+    a, b = "the cat and the dog went to the old house", "a wholly different text about the sea and the sun"
+    rows = [(3, a, 1, "p"), (5, a, 2, "q"), (5, b, 3, "r"), (5, b, 3, "r"), (6, b.upper(), 4, "s"), (5, None, 5, "t")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _digest int, _row string")
+    got = C.drop_near_duplicates(spark, df, sf)
+    assert got.columns == df.columns
+    want = [(3, a, 1, "p"), (5, b, 3, "r"), (5, None, 5, "t")]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_own_columns_keep_their_values(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(50)
+    from pyspark.sql import functions as F
+
+    docs = docs.withColumn("_toxicity", F.lit("own")).withColumn("_lang_rejected", F.lit(False)).withColumn("_LANG", F.lit(7))
+    for function in (C.drop_toxic, C.keep_recognised):
+        got = function(spark, docs, sf)
+        assert got.columns == docs.columns
+        assert got.select("_toxicity", "_lang_rejected", "_LANG").distinct().collect() == [("own", False, 7)]

@@ -63,7 +63,7 @@ def small_model():
                 counts.setdefault(g, [0, 0])[at] += 1
     names = list(counts)
     n = np.array([counts[g] for g in names])
-    return counts, X.KneserNey(names, n[:, 0], n[:, 1])
+    return counts, X.Lookup(X.KneserNey(names, n[:, 0], n[:, 1]))
 
 
 def test_kneser_ney_against_definition():
@@ -120,3 +120,23 @@ def test_few_toxic_labels_still_give_a_model(spark, tmp_path):
         assert scores[toxic].min() > np.delete(scores, toxic).max()
     labels.where("toxic = 1").write.parquet(str(tmp_path / "labels.parquet"))
     assert C.drop_toxic(spark, docs, str(tmp_path)).count() == 300
+
+
+def test_held_out_labels_change_nothing(spark, sf, tmp_path):
+    """Flipping every label of a held-out document leaves all scores as they are, with and without a model."""
+    con = duck(sf)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = con.execute("SELECT doc_id, quality, toxic FROM labels").fetchall()
+    held = lambda i: zlib.crc32(str(i).encode()) % 3 == 1
+    none = [(i, q, 0) for i, q, _ in labels]
+    flip = lambda rows: [(i, q, 1 - t if held(i) and t is not None else t) for i, q, t in rows]
+    assert any(held(i) for i, _, _ in labels)
+    for n, (rows, most) in enumerate(((labels, 6000), (labels, 20), (none, 6000))):
+        found = []
+        for changed in (rows, flip(rows)):
+            folder = tmp_path / f"{n}-{len(found)}"
+            docs.write.parquet(str(folder / "documents.parquet"))
+            spark.createDataFrame(changed, "doc_id long, quality int, toxic int").write.parquet(str(folder / "labels.parquet"))
+            got = X.op1_toxicity(spark, str(folder), most_rows=most).collect()
+            found.append(sorted((r["doc_id"], r["score"]) for r in got))
+        assert found[0] == found[1]
