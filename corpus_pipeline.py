@@ -6,8 +6,9 @@ predecessor kept and keeps the columns of documents; the last gives the pieces o
 
 Cases: documents without a label are judged by the model like all others. Null texts have no words
 and no language, so the second stage rejects them. A row whose doc_id is null is not learned from
-and has no class, so the third stage keeps it. Of rows with one doc_id that stage keeps one. Empty tables
-pass through. Extra columns are kept up to the last stage.
+and has no class, so the third stage keeps it. Rows with one doc_id and different texts are judged each; of
+rows with one doc_id and text that stage keeps one. Empty tables pass through. Extra columns are kept
+up to the last stage, also those with names that the stages use.
 """
 
 from __future__ import annotations
@@ -23,6 +24,13 @@ from folioflow.llm.common import shared_dir, stage, table
 TOXIC = 0.7
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """A name that no column of docs begins with."""
+    while any(c.lower().startswith(name) for c in docs.columns):
+        name = f"_{name}"
+    return name
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity is under the threshold; learns from all labelled documents.
 
@@ -31,26 +39,32 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.train(docs.where(F.col("doc_id").isNotNull()), table(spark, sf_dir, "labels"))
     if model.model is None:
         return docs
-    scored = toxicity.score_texts(docs, model, output="_toxicity")
-    return scored.where(F.col("_toxicity") < TOXIC).select(*docs.columns)
+    name = unused(docs, "_toxicity")
+    scored = toxicity.score_texts(docs, model, output=name)
+    return scored.where(F.col(name) < TOXIC).select(*docs.columns)
 
 
 def keep_recognised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; learns from the languages given."""
     known = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text", "lang")
     model = language_id.train(known)
-    found = language_id.identify(docs, model, prefix="_lang")
-    return found.where(~F.col("_lang_rejected")).select(*docs.columns)
+    prefix = unused(docs, "_lang")
+    found = language_id.identify(docs, model, prefix=prefix)
+    return found.where(~F.col(f"{prefix}_rejected")).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class: that whose doc_id names the class."""
+    """One document of each class: that whose doc_id and text name the class."""
     classes = stage(dart_minhash.near_duplicates(docs))
-    named = classes.where(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct()
-    kept = docs.where(F.col("doc_id").isNotNull()).join(named, "doc_id", "left_semi")
+    own = (F.col("doc_id") == F.col("class_id")) & F.col("digest").eqNullSafe(F.col("class_digest"))
+    digest, row = unused(docs, "_digest"), unused(docs, "_row")
+    named = classes.where(own).select(F.col("doc_id"), F.coalesce("digest", F.lit(b"")).alias(digest)).distinct()
+    marked = docs.where(F.col("doc_id").isNotNull())
+    marked = marked.withColumn(digest, F.coalesce(dart_minhash.text_digest(F.col("text")), F.lit(b"")))
+    kept = marked.join(named, ["doc_id", digest], "left_semi")
     others = F.struct(*[c for c in docs.columns if c != "doc_id"])
-    one = kept.groupBy("doc_id").agg(F.min_by(others, F.struct("text")).alias("_row")).select("doc_id", "_row.*")
-    return one.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    one = kept.groupBy("doc_id", digest).agg(F.min_by(others, F.struct("text")).alias(row))
+    return one.select("doc_id", f"{row}.*").select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
