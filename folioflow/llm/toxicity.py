@@ -39,7 +39,7 @@ WINDOW = 4
 BEGIN, END = "\x02", "\x03"
 WORD = re.compile(r"[^\W_]+")
 #: At most about so many documents of each class are learned from.
-MOST_ROWS = 6000
+MOST_ROWS = 12_000
 #: Longer words are judged in slices of this length.
 LONGEST = 64
 SLOTS = 1 << 20
