@@ -33,6 +33,8 @@ VOCABULARY = "byte_bpe_50k.json"
 #: The same vocabulary as ranks, for the faster library.
 RANKS = "byte_bpe_50k.tiktoken"
 END = 1
+#: Chunks whose ids a Python worker keeps.
+CACHED = 600_000
 STAGED = "part int, start long, doc_id long, doc_tokens long, ids binary"
 
 
@@ -46,7 +48,7 @@ class TextIds:
 
     LATIN = re.compile(r"[\n -~¡-ɏ]*")
 
-    def __init__(self, path: str, ranks: str, pattern: str):
+    def __init__(self, path: str, ranks: str, pattern: str, cached: int = CACHED):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import tiktoken
         from tokenizers import Tokenizer
@@ -57,7 +59,7 @@ class TextIds:
             pairs = (line.split() for line in lines if line.strip())
             table = {base64.b64decode(token): int(rank) for token, rank in pairs}
         self.ranked = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
-        self.chunks = ChunkCoder(self._whole)
+        self.chunks = ChunkCoder(self._whole, cached)
 
     def _library(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -74,17 +76,19 @@ class TextIds:
 
 
 @lru_cache(maxsize=2)
-def text_ids(path: str, ranks: str, pattern: str) -> TextIds:
+def text_ids(path: str, ranks: str, pattern: str, cached: int = CACHED) -> TextIds:
     """One per Python worker."""
-    return TextIds(path, ranks, pattern)
+    return TextIds(path, ranks, pattern, cached)
 
 
-def tokenized(docs: DataFrame, path: str, ranks: str, pattern: str, end: int) -> DataFrame:
+def tokenized(
+    docs: DataFrame, path: str, ranks: str, pattern: str, end: int, cached: int = CACHED
+) -> DataFrame:
     """Each document's ids and its offset among the tokens of its partition."""
     last = np.array([end], "<u4").tobytes()
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = text_ids(path, ranks, pattern).ids
+        ids = text_ids(path, ranks, pattern, cached).ids
         part, at = TaskContext.get().partitionId(), 0
         for batch in batches:
             for piece in by_bytes([batch], "text"):
@@ -113,14 +117,16 @@ def pack(
     ranks: str | None = None,
     pattern: str = public_tokenizers.PATTERN,
     end: int = END,
+    cached: int = CACHED,
 ) -> DataFrame:
     """Pieces: doc_id, start, length, doc_tokens, sequence_id, offset, padded, ids (binary).
 
-    start counts the document's ids before the piece, offset the sequence's ids before it.
+    start counts the document's ids before the piece, offset the sequence's ids before it. A Python
+    worker keeps the ids of about `cached` different chunks of text, some 170 bytes each.
     """
     path = path or public_tokenizers.path(VOCABULARY)
     ranks = ranks or public_tokenizers.path(RANKS)
-    staged = stage(tokenized(docs, path, ranks, pattern, end))
+    staged = stage(tokenized(docs, path, ranks, pattern, end, cached))
     # One row per partition of the input: a sum over them in one task, sent to all.
     totals = staged.groupBy("part").agg(F.sum("doc_tokens").alias("tokens"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
