@@ -22,6 +22,7 @@ from folioflow.llm import dart_minhash, language_id, packing, toxicity
 from folioflow.llm.common import shared_dir, stage, table
 
 TOXIC = 0.7
+CACHED = 150_000
 
 
 def unused(docs: DataFrame, name: str) -> str:
@@ -68,8 +69,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 2048 tokens."""
-    return packing.digests(packing.pack(docs))
+    """Pieces of sequences of 2048 tokens; the workers of earlier stages leave less room for cached ids."""
+    return packing.digests(packing.pack(docs, cached=CACHED))
 
 
 STAGES = [
