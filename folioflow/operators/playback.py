@@ -16,13 +16,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioflow import fixed_values as V
-from folioflow.functions import lists
 from folioflow.functions import scalars as S
 
 KEY = ["user_id", "global_book_id"]
 HOUR_MS = 3_600_000
 #: Buckets whose effects are put together before a key's effects meet.
 SPAN = 512
+#: Buckets or spans of one user whose throttles are put together at a time.
+TICK_SPAN = 8192
+#: Milliseconds from the first to the last day that a timestamp is defined for, and the first one.
+CLOCKS = 10_000 * 366 * 24 * HOUR_MS
+FIRST_CLOCK = -62_135_596_800_000
 STATE = {
     "current_part_index": "int",
     "current_time": "double",
@@ -243,6 +247,37 @@ def bucket_moves(clocks: np.ndarray, first_places: int, gap_ms: int) -> np.ndarr
         link = far
 
 
+def _steps(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same moves without those that the next one repeats."""
+    keep = np.append(last[1:] != last[:-1], True)[: len(last)]
+    return first[keep], last[keep]
+
+
+def next_save(first: np.ndarray, last: np.ndarray, saves: np.ndarray, gap_ms: int) -> np.ndarray:
+    """The last save after moves (first, last), for each last save before them."""
+    at = np.searchsorted(first, saves + gap_ms, side="right")
+    passes = at < len(first)
+    return np.where(passes, last[np.minimum(at, len(first) - 1)], saves)
+
+
+def moves_in_turn(children: list[tuple[np.ndarray, np.ndarray]], reach: int, gap_ms: int):
+    """The moves of one bucket or span after the other, as moves of them all.
+
+    A save before them plus the gap comes to `reach` at most: moves behind the first one beyond it
+    are never taken. What is taken leads to the second's moves from the first's last saves; if no tick
+    of the first passes, the second's own moves count.
+    """
+    first, last = children[0]
+    for more, then_last in children[1:]:
+        last = next_save(more, then_last, last, gap_ms)
+        if first[-1] <= reach:
+            first, last = np.concatenate((first, more)), np.concatenate((last, then_last))
+            end = int(np.searchsorted(first, reach, side="right")) + 1
+            first, last = first[:end], last[:end]
+        first, last = _steps(first, last)
+    return first, last
+
+
 def bucket_saves(clocks: np.ndarray, last: int, gap_ms: int) -> list[int]:
     """Places of the saved ticks, after a save at `last`."""
     out, at = [], int(np.searchsorted(clocks, last + gap_ms, side="right"))
@@ -258,6 +293,86 @@ def _lists(array: pa.Array) -> Iterator[np.ndarray]:
     return iter(np.split(values, ends[:-1])) if len(array) else iter(())
 
 
+MOVES = "array<struct<first:bigint,last:bigint>>"
+
+
+def _moves_array(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.Array:
+    none = np.empty(0, np.int64)
+    columns = [pa.array(np.concatenate([none, *(pair[i] for pair in found)]).astype(np.int64)) for i in (0, 1)]
+    ends = np.cumsum([0, *(len(first) for first, _ in found)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(columns, ["first", "last"]))
+
+
+def _children(array: pa.Array) -> Iterator[tuple[list[tuple[np.ndarray, np.ndarray]], int]]:
+    """Each row's moves in order, and how far saves before them reach."""
+    ends = np.cumsum([0, *array.value_lengths().to_pylist()])
+    rows = array.flatten()
+    reach, lists = rows.field("reach").to_pylist(), rows.field("moves")
+    inner = np.cumsum([0, *lists.value_lengths().to_pylist()])
+    pairs = lists.flatten()
+    first, last = (pairs.field(n).to_numpy(zero_copy_only=False) for n in ("first", "last"))
+    for begin, end in zip(ends[:-1], ends[1:]):
+        cuts = [slice(inner[i], inner[i + 1]) for i in range(begin, end)]
+        yield [(first[c], last[c]) for c in cuts], reach[begin]
+
+
+def _saves_before(nodes: DataFrame, start: DataFrame | None, gap_ms: int, bucket_ms: int) -> DataFrame:
+    """user_id, node and last_before of nodes(user_id, node, reach, moves): the last save before each bucket.
+
+    The moves of at most TICK_SPAN buckets or spans are put together at a time, up to one group per user;
+    from there the last saves go down the same way.
+    """
+
+    @F.arrow_udf(MOVES)
+    def together(children: pa.Array) -> pa.Array:
+        return _moves_array([moves_in_turn(own, reach, gap_ms) for own, reach in _children(children)])
+
+    @F.arrow_udf("array<bigint>")
+    def befores(children: pa.Array, save: pa.Array) -> pa.Array:
+        found = []
+        for (own, _), at in zip(_children(children), save.to_numpy(zero_copy_only=False)):
+            saves, at = [], np.array([at])
+            for first, last in own:
+                saves.append(int(at[0]))
+                at = next_save(first, last, at, gap_ms)
+            found.append(saves)
+        return pa.array(found, pa.list_(pa.int64()))
+
+    index = F.floor((F.col("node") - FIRST_CLOCK) / bucket_ms)
+    levels, above = [], nodes.withColumn("index", index)
+    # The last level's groups are the users.
+    spans = 1
+    while TICK_SPAN**spans < CLOCKS / bucket_ms:
+        spans += 1
+    for level in range(1, spans + 1):
+        keys = ["user_id", "span"] if level < spans else ["user_id"]
+        groups = (
+            above.withColumn("span", F.floor(F.col("index") / TICK_SPAN))
+            .groupBy(*keys)
+            .agg(F.sort_array(F.collect_list(F.struct("index", "node", "reach", "moves"))).alias("children"))
+        )
+        levels.append((keys, groups))
+        if level < spans:
+            head = F.get("children", F.lit(0))
+            above = groups.select(
+                "user_id",
+                F.col("span").alias("index"),
+                head["node"].alias("node"),
+                head["reach"].alias("reach"),
+                together("children").alias("moves"),
+            )
+    never = F.lit(-(2**62))
+    saves = None if start is None else start.select("user_id", F.col("last_save").alias("save"))
+    for keys, groups in reversed(levels):
+        # A left join adds no null checks below `groups`, so both uses of it share their shuffle.
+        known = groups.withColumn("save", never) if saves is None else groups.join(saves, keys, "left")
+        found = befores("children", F.coalesce("save", never))
+        saves = known.select("user_id", F.explode(F.arrays_zip(F.col("children"), found.alias("save")))).select(
+            "user_id", F.col("col.children.index").alias("span"), F.col("col.children.node").alias("node"), "col.save"
+        )
+    return saves.select("user_id", "node", F.col("save").alias("last_before"))
+
+
 def tick_throttle(
     ticks: DataFrame,
     gap_ms: int = V.SAVE_GAP_MS,
@@ -275,11 +390,15 @@ def tick_throttle(
     Which ticks a bucket saves depends on the last save before it, but only through
     the first tick it lets pass, which lies at most one gap behind the first tick.
     The bucket's summary therefore lists, for each tick that may come first, the
-    last save that follows from it. A fold over a user's summaries yields the last
-    save before every bucket, and then the buckets are worked off side by side.
-    Only the clocks of a bucket go to Python, which finds the links between ticks in
-    time that grows with them. `start` (user_id, last_save) continues from earlier
-    saves; `carry` names further columns of the saved ticks.
+    last save that follows from it: a step function from the last save before the
+    bucket to the last one in it. Such functions compose, so they are put together by
+    spans of TICK_SPAN buckets and spans of spans until one is left per user, and the
+    last save before each span and bucket is handed down again. A group never holds
+    more than TICK_SPAN functions, however long a user's history is, and the buckets
+    are worked off side by side. Only clocks and functions go to Python, where each takes time
+    that grows with its ticks. `start` (user_id, last_save) continues from earlier
+    saves, none later than the user's first tick here; `carry` names further columns of the
+    saved ticks.
     """
     carry = carry or []
     clock = F.unix_millis(F.col("ts").cast("timestamp"))
@@ -297,59 +416,23 @@ def tick_throttle(
     first = F.get(F.col("_ticks"), F.lit(0))["clock"]
     # A save in an earlier bucket reaches at most one gap past the bucket's begin; one
     # in `start` may lie in the same bucket.
-    reachable = F.size(F.filter(clocks, lambda t: t < first + gap_ms)) + 1
-    if start is None:
-        reachable = F.when(first - F.col("bucket") < gap_ms, reachable).otherwise(1)
+    reach = F.col("bucket") + gap_ms - 1 if start is None else first + gap_ms
+    reachable = F.size(F.filter(clocks, lambda t: t <= reach)) + 1
 
-    @F.arrow_udf("array<struct<first:bigint,last:bigint>>")
+    @F.arrow_udf(MOVES)
     def moves(clocks: pa.Array, places: pa.Array) -> pa.Array:
-        first, last = [], []
-        for c, n in zip(_lists(clocks), places.to_pylist()):
-            first.append(c[:n])
-            last.append(c[bucket_moves(c, n, gap_ms)])
-        none = np.empty(0, np.int64)
-        pairs = pa.StructArray.from_arrays(
-            [pa.array(np.concatenate([none, *x]).astype(np.int64)) for x in (first, last)], ["first", "last"]
-        )
-        ends = np.cumsum([0, *map(len, first)]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), pairs)
+        found = [(c[:n], c[bucket_moves(c, n, gap_ms)]) for c, n in zip(_lists(clocks), places.to_pylist())]
+        return _moves_array([_steps(*pair) for pair in found])
 
     @F.arrow_udf("array<int>")
     def saves(clocks: pa.Array, before: pa.Array) -> pa.Array:
         found = [bucket_saves(c, last, gap_ms) for c, last in zip(_lists(clocks), before.to_pylist())]
         return pa.array(found, pa.list_(pa.int32()))
 
-    per_user = (
-        buckets.select("user_id", "bucket", moves(clocks, reachable).alias("_moves"))
-        .groupBy("user_id")
-        .agg(F.sort_array(F.collect_list(F.struct("bucket", "_moves"))).alias("_buckets"))
-    )
-    if start is None:
-        before = never
-    else:
-        per_user = per_user.join(start.select("user_id", "last_save"), "user_id", "left")
-        before = F.coalesce("last_save", never)
-
-    def walk(s: Column, b: Column) -> Column:
-        passing = F.get(F.filter(b["_moves"], lambda m: m["first"] > s["last"] + gap_ms), F.lit(0))
-        entry = F.struct(b["bucket"].alias("bucket"), s["last"].alias("last_before"))
-        return F.struct(
-            F.coalesce(passing["last"], s["last"]).alias("last"),
-            lists.append(s["entries"], entry).alias("entries"),
-        )
-
-    entries = F.aggregate(
-        F.col("_buckets"),
-        F.struct(
-            before.alias("last"),
-            lists.empty("struct<bucket:bigint,last_before:bigint>").alias("entries"),
-        ),
-        walk,
-        lambda s: lists.whole(s["entries"]),
-    )
-    entering = per_user.select("user_id", F.inline_outer(entries)).where(
-        F.col("bucket").isNotNull()
+    nodes = buckets.select(
+        "user_id", F.col("bucket").alias("node"), reach.alias("reach"), moves(clocks, reachable).alias("moves")
     )
+    entering = _saves_before(nodes, start, gap_ms, bucket_ms).withColumnRenamed("node", "bucket")
     # Every bucket has its entry. The left join, unlike an inner one, adds no null
     # checks below `buckets`, so both uses of it share one shuffle.
     picked = F.transform("_saved", lambda at: F.get("_ticks", at))

@@ -5,6 +5,7 @@ import time
 from collections import defaultdict
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from playback_by_hand import fold, throttle
 from pyspark.sql import functions as F
@@ -132,6 +133,65 @@ def test_throttle_goes_on_from_earlier_saves(spark, seconds):
     assert sorted(both.collect()) == sorted(whole.collect())
 
 
+@pytest.mark.parametrize("span", [2, 3, 50])
+@pytest.mark.parametrize("gap,bucket", [(3000, 1000), (50_000, 7000)])
+def test_throttle_over_several_levels_of_spans(spark, monkeypatch, span, gap, bucket):
+    monkeypatch.setattr(playback, "TICK_SPAN", span)
+    monkeypatch.setattr(playback, "CLOCKS", bucket * span**4)
+    rows = make_ticks(gap + span)
+    ticks = spark.createDataFrame(rows, "user_id int, ts timestamp_ntz, tick_id long")
+    got = defaultdict(list)
+    for r in tick_throttle(ticks, gap, bucket).orderBy("clock").collect():
+        got[r.user_id].append(r.tick_id)
+    groups = defaultdict(list)
+    for user, ts, i in rows:
+        groups[user].append((round((ts - START).total_seconds() * 1000), i))
+    assert dict(got) == {u: throttle(t, gap) for u, t in groups.items()}
+
+
+def test_moves_compose():
+    """Moves of several buckets in turn equal those buckets' one after the other, from any earlier save."""
+    rng = random.Random(21)
+    for _ in range(400):
+        gap, bucket = rng.choice([0, 1, 5, 12, 40]), 10
+        clocks = sorted(rng.sample(range(100), rng.randrange(1, 60)))
+        children = []
+        for begin in range(0, 100, bucket):
+            own = np.array([c for c in clocks if begin <= c < begin + bucket])
+            if len(own):
+                reach = begin + gap - 1
+                n = int((own <= reach).sum()) + 1
+                moves = own[:n], own[playback.bucket_moves(own, n, gap)]
+                children.append((playback._steps(*moves), reach, begin))
+        moves = playback.moves_in_turn([m for m, _, _ in children], children[0][1], gap)
+        for save in [-(10**6), *range(-3 * gap - 1, children[0][2])]:
+            last = save
+            for c in clocks:
+                last = c if c - last > gap else last
+            assert playback.next_save(*moves, np.array([save]), gap)[0] == last
+        assert len(moves[0]) <= min(gap, len(clocks)) + 1
+
+
+def test_one_user_of_a_hundred_thousand_buckets(spark):
+    """Thirteen spans, each with one group; no group of all of a user's buckets."""
+    n, gap = 100_000, 3000
+    clock = F.col("id") * 7_200_000 + F.when(F.col("id") % 3 == 0, 7_199_500).otherwise(F.col("id") % 2500)
+    ticks = spark.range(n).select(
+        F.lit(1).alias("user_id"), F.timestamp_millis(clock).alias("ts"), F.col("id").alias("tick_id")
+    )
+    df = tick_throttle(ticks, gap)
+    times = [i * 7_200_000 + (7_199_500 if i % 3 == 0 else i % 2500) for i in range(n)]
+    assert df.count() == len(throttle(list(zip(times, range(n))), gap)) < n
+    sizes = playback._saves_before(
+        spark.createDataFrame([], "user_id int, node long, reach long, moves array<struct<first:long,last:long>>"),
+        None,
+        gap,
+        2 * playback.HOUR_MS,
+    )
+    plan = sizes._jdf.queryExecution().optimizedPlan().toString()
+    assert "span" in plan and plan.count("collect_list") >= 3
+
+
 def test_unusable_ticks_are_listed(spark):
     rows = [(1, START, 1), (None, START, 2), (1, None, 3), (None, None, 4)]
     ticks = spark.createDataFrame(rows, "user_id int, ts timestamp_ntz, tick_id long")
