@@ -64,10 +64,11 @@ def new_documents(arrivals: DataFrame, known: DataFrame, order: str) -> DataFram
     """First arrival per hash that the catalog does not hold yet.
 
     Copies collapse in the map-side aggregation, so a large group of copies
-    reaches the shuffle as one row per task.
+    reaches the shuffle as one row per task. A catalog stored by `tables.save_by_hash`
+    is not shuffled; repeated hashes in it do no harm, as none of its columns is taken.
     """
     first = arrivals.groupBy("file_hash").agg(F.min(order).alias(order))
-    return first.join(known.select("file_hash").distinct(), "file_hash", "left_anti")
+    return first.join(known.select("file_hash"), "file_hash", "left_anti")
 
 
 def parts_table(docs: DataFrame, key: str, max_chars: int = V.PART_CHARS) -> DataFrame:

@@ -115,6 +115,7 @@ VIEWS = {
     "stored_text": "SELECT book_id, part_index FROM parts_required WHERE (id + part_index) % 7 <> 0",
     "stored_audio": "SELECT book_id, part_index, voice AS voice_slug FROM parts_required WHERE (id + part_index) % 3 = 0",
     "searchable": "SELECT c.* REPLACE (replace(d.text, chr(10), ' ') AS title) FROM catalog c JOIN documents d ON c.id = d.doc_id",
+    "probes": "SELECT unnest([min(file_hash), max(file_hash), 'none']) AS file_hash FROM uploads",
     "picked": """SELECT *, (user_id * 31 + (event_id % 8) * 97) % (SELECT count(*) FROM documents) AS book,
         (user_id * 31 + (event_id % 10) * 97) % (SELECT count(*) FROM documents) AS wanted FROM events""",
     "listening": """SELECT e.user_id, d.doc_id AS global_book_id, e.ts, e.event_id,
@@ -314,14 +315,18 @@ QUERIES = {
         JOIN catalog c ON c.id = q.global_book_id
         LEFT JOIN user_books u ON u.user_id = q.user_id AND u.global_book_id = q.global_book_id""",
     "category_override": f"""WITH offered AS (
-          SELECT user_id, book AS id, ts, event_id, {_list(V.CATEGORIES)}[event_id % {len(V.CATEGORIES)} + 1] AS chosen
-          FROM picked WHERE event_id % 3 = 0),
+          SELECT user_id, (user_id * 31 + (event_id % 5) * 97) % (SELECT count(*) FROM documents) AS id, ts, event_id,
+            {_list(V.CATEGORIES)}[event_id % {len(V.CATEGORIES)} + 1] AS chosen
+          FROM events),
         chosen AS (
           SELECT user_id, id, chosen FROM offered WHERE chosen <> '{V.ALL_CATEGORIES}'
           QUALIFY row_number() OVER (PARTITION BY user_id, id ORDER BY ts DESC, event_id DESC) = 1)
         SELECT user_id, id, title, coalesce(chosen, category) AS category FROM library LEFT JOIN chosen USING (user_id, id)""",
-    "library_search": """SELECT user_id, id, title, category FROM library
-        WHERE contains(lower(title), 'novel') OR contains(lower(author), 'novel') OR contains(lower(category), 'novel')""",
+    "library_search": """SELECT user_id, id, title, category FROM library WHERE id IN (
+          SELECT id FROM searchable WHERE contains(lower(title), 'an he')
+            OR contains(lower(author), 'an he') OR contains(lower(category), 'an he'))""",
+    "stored_catalog": "SELECT * FROM known_catalog",
+    "hash_known": "SELECT file_hash, file_hash IN (SELECT file_hash FROM known_catalog) AS known FROM probes",
     "library_categories": f"""WITH listed AS (
           SELECT unnest({_list(V.CATEGORIES)}) AS category,
             CAST(generate_subscripts({_list(V.CATEGORIES)}, 1) - 1 AS INTEGER) AS ord)

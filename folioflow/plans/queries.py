@@ -12,6 +12,7 @@ from folioflow.functions import scalars as S
 from folioflow.functions import text as T
 from folioflow.operators import audio, body, catalog, clinic, intake, library, playback
 from folioflow.operators.joins import unroll
+from folioflow.sources import tables
 from folioflow.sources.views import PLAN_VOICE, QUESTIONS, Views
 
 THROTTLE_GAP_MS = 3_600_000
@@ -159,9 +160,29 @@ def category_override(v: Views) -> DataFrame:
 
 @query
 def library_search(v: Views) -> DataFrame:
-    """The personal tab's search; its books may lie in any reader's library."""
-    found = catalog.catalog_search(_library(v), " NoVeL")
-    return found.select("user_id", "id", "title", "category")
+    """The personal tab's search over whole texts; a book is searched once, whoever has it."""
+    found = catalog.catalog_search(v.searchable(), " aN hE ").select("id")
+    return _library(v).join(found, "id", "left_semi").select("user_id", "id", "title", "category")
+
+
+def _stored_catalog(v: Views) -> DataFrame:
+    """The catalog before the uploads, written as the stored table and read as such."""
+    ids = {c: F.col(c).cast("string") for c in ("id", "book_id")}
+    return tables.read_catalog(v.spark, tables.written(v.known_catalog().withColumns(ids), "catalog"))
+
+
+@query
+def stored_catalog(v: Views) -> DataFrame:
+    """All rows of the stored catalog, in the declared types."""
+    return _stored_catalog(v).withColumn("id", F.col("id").cast("long"))
+
+
+@query
+def hash_known(v: Views) -> DataFrame:
+    """Whether the stored catalog holds a file's hash, hash by hash."""
+    stored = _stored_catalog(v)
+    rows = [(r["file_hash"], tables.hash_known(stored, r["file_hash"])) for r in v.probes().collect()]
+    return v.spark.createDataFrame(rows, "file_hash string, known boolean")
 
 
 @query

@@ -26,7 +26,12 @@ def bucket_of(key: Column, buckets) -> Column:
 
 
 def write_parts(
-    parts: DataFrame, path: str, batch: str, key: str = "book_id", buckets: int | None = None
+    parts: DataFrame,
+    path: str,
+    batch: str,
+    key: str = "book_id",
+    buckets: int | None = None,
+    repeated: str = "refuse",
 ) -> None:
     """Add a batch of (key, part_index, text) to the store at `path`.
 
@@ -35,9 +40,21 @@ def write_parts(
     the batch is made from unless given; it is kept in the batch's path. The rebalance
     hint lets Spark split a bucket that one long book makes too large and merge small
     ones. Rows are sorted in their file, so that a book's row groups can be picked.
+    A book that another batch holds is refused, or left out with repeated="skip"; only the
+    keys of the other batches are read for that.
     """
     if not re.fullmatch(r"[\w.-]+", batch):
         raise ValueError(f"batch {batch!r}: letters, digits, '_', '.' and '-' only")
+    if repeated not in ("refuse", "skip"):
+        raise ValueError(f"repeated {repeated!r}: 'refuse' or 'skip'")
+    others = _books_of_others(parts.sparkSession, path, batch, key)
+    if others is not None:
+        if repeated == "skip":
+            parts = parts.join(others, key, "left_anti")
+        else:
+            twice = parts.select(key).join(others, key, "left_semi").distinct().limit(3).collect()
+            if twice:
+                raise ValueError(f"other batches hold {key} {[r[0] for r in twice]}; repeated='skip' leaves them")
     n = buckets or min(100_000, max(1, -(-input_bytes(parts) // BUCKET_BYTES)))
     bucketed = parts.select(key, "part_index", "text", bucket_of(F.col(key), F.lit(n)).alias("bucket"))
     (
@@ -51,13 +68,25 @@ def write_parts(
     )
 
 
+def _books_of_others(spark: SparkSession, path: str, batch: str, key: str) -> DataFrame | None:
+    """Keys that the store's other batches hold; none if there is no other batch."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(where):
+        return None
+    names = [status.getPath().getName() for status in system.listStatus(where)]
+    names = [n for n in names if n.startswith("batch=") and n != f"batch={batch}"]
+    paths = [f"{path}/{n}" for n in names]
+    return spark.read.parquet(*paths).select(key).distinct() if paths else None
+
+
 def _store(spark: SparkSession, path: str) -> DataFrame:
     # The batch's name stays text whatever it looks like.
     return spark.read.parquet(path).withColumn("batch", F.col("batch").cast("string"))
 
 
 def read_parts(spark: SparkSession, path: str) -> DataFrame:
-    """Parts of all batches. A batch must not repeat a book of another one; the gate sees to that."""
+    """Parts of all batches; no two of them hold the same book."""
     return _store(spark, path).drop(*STORE_COLUMNS)
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as t
@@ -47,3 +50,29 @@ def read_user_books(spark: SparkSession, path: str, user_id: str | None = None)
 def hash_known(catalog: DataFrame, file_hash: str) -> bool:
     """Whether the catalog holds a file hash; stops at the first hit."""
     return not catalog.where(F.col("file_hash") == file_hash).select("file_hash").isEmpty()
+
+
+def written(df: DataFrame, name: str) -> str:
+    """Path of a table written to the folder that all executors share.
+
+    The session names it in spark.checkpoint.dir; only a local master without one gets a folder of
+    its own. The folder's owner removes the files.
+    """
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="folioflow-")
+    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return path
+
+
+def save_by_hash(catalog: DataFrame, name: str, buckets: int) -> None:
+    """Store a catalog as a table bucketed and sorted by file hash.
+
+    Joins on the hash then read it where it lies: only the other side is shuffled, to the same
+    buckets. Choose so many buckets that one holds 100 to 200 MB of hashes and keys.
+    """
+    catalog.write.bucketBy(buckets, "file_hash").sortBy("file_hash").mode("overwrite").saveAsTable(name)

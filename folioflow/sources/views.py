@@ -121,12 +121,13 @@ class Views:
         )
 
     # --- catalog ---------------------------------------------------------
-    def catalog(self) -> DataFrame:
+    def catalog(self, title: Column | None = None) -> DataFrame:
+        """The books, titled by the first line of their text unless said otherwise."""
         i = F.col("doc_id")
         key = i.cast("string")
         return self.docs().select(
             i.alias("id"),
-            _first_line().alias("title"),
+            (_first_line() if title is None else title).alias("title"),
             F.nullif(F.col("source"), F.lit("src0")).alias("author"),
             F.when(i % 4 != 1, F.concat(F.lit("cover/"), key)).alias("cover_url"),
             F.concat(F.lit("b"), key).alias("book_id"),
@@ -149,6 +150,11 @@ class Views:
         """Catalog state before the uploads: everything but the English books."""
         return self.catalog().where(F.col("lang") != "en").drop("lang")
 
+    def probes(self) -> DataFrame:
+        """Hashes that arriving files may have: the first, the last and one that no file has."""
+        hashes = self.uploads().agg(F.min("file_hash").alias("low"), F.max("file_hash").alias("high"))
+        return hashes.select(F.explode(F.array("low", "high", F.lit("none"))).alias("file_hash"))
+
     def parts_required(self) -> DataFrame:
         """Every declared part of every book in the planned voice."""
         return (
@@ -169,9 +175,7 @@ class Views:
 
     def searchable(self) -> DataFrame:
         """Books with their whole text, on one line, as the title."""
-        whole = F.regexp_replace("text", "\n", " ")
-        book = self.table("documents").select(F.col("doc_id").alias("id"), whole.alias("title"))
-        return self.catalog().drop("title").join(book, "id")
+        return self.catalog(F.translate("text", "\n", " "))
 
     # --- listening -------------------------------------------------------
     def _book(self, of: int):
@@ -261,10 +265,10 @@ class Views:
         )
 
     def category_choices(self) -> DataFrame:
-        """What readers chose for their books; some chose the entry for all."""
-        return self.table("events").where(F.col("event_id") % 3 == 0).select(
+        """What readers chose for some of their books; some chose the entry for all."""
+        return self.table("events").select(
             "user_id",
-            self._book(8).alias("id"),
+            self._book(5).alias("id"),
             F.element_at(
                 F.array(*[F.lit(c) for c in V.CATEGORIES]),
                 (F.col("event_id") % len(V.CATEGORIES) + 1).cast("int"),

@@ -65,7 +65,7 @@ def exchanged_columns(df):
 
 
 #: The views of these group or join texts; all others work on a text in its row.
-MOVES_TEXT = {"body_text", "page_preview", "catalog_search"}
+MOVES_TEXT = {"body_text", "page_preview"}
 
 
 @pytest.mark.parametrize("name", sorted(set(REGISTRY) - MOVES_TEXT))
@@ -106,3 +106,16 @@ def test_projection_reads_only_its_columns(spark, small):
 def test_filter_is_pushed(spark, small):
     plan = plan_of(REGISTRY["library_remove"](spark, small))
     assert "PushedFilters: [IsNotNull(event_type), EqualTo(event_type,error)" in plan
+
+
+def test_searches_stay_in_their_rows(spark, small):
+    """Whole texts are searched where they lie; books meet readers by their ids only."""
+    plan = plan_of(REGISTRY["catalog_search"](spark, small))
+    assert "Exchange" not in plan and plan.count("FileScan") == 1
+    columns = exchanged_columns(REGISTRY["library_search"](spark, small))
+    assert "text" not in columns
+
+
+def test_category_override_reads_all_events(spark, small):
+    plan = plan_of(REGISTRY["category_override"](spark, small))
+    assert "% 3) = 0" not in plan

@@ -127,3 +127,38 @@ def test_tables(spark, tmp_path):
     plan = read.select("id", "file_hash")._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<id:string,file_hash:string>" in plan
     assert tables.hash_known(read, "h1") and not tables.hash_known(read, "h9")
+
+
+def test_a_book_is_in_one_batch(spark, tmp_path):
+    path = str(tmp_path / "store")
+    rows = lambda *books: spark.createDataFrame(
+        [(b, i, f"{b}{i}") for b in books for i in range(2)], "book_id string, part_index int, text string"
+    )
+    parts_store.write_parts(rows("a", "b"), path, "one")
+    parts_store.write_parts(rows("a", "b"), path, "one")
+    with pytest.raises(ValueError, match="'b'"):
+        parts_store.write_parts(rows("b", "c"), path, "two")
+    parts_store.write_parts(rows("b", "c"), path, "two", repeated="skip")
+    got = sorted(r.text for r in parts_store.read_parts(spark, path).collect())
+    assert got == ["a0", "a1", "b0", "b1", "c0", "c1"]
+
+
+def test_a_bucketed_catalog_is_not_shuffled(spark):
+    from folioflow.operators.intake import new_documents
+
+    known = spark.range(2000).select(F.sha2(F.col("id").cast("string"), 256).alias("file_hash"), "id")
+    tables.save_by_hash(known.unionByName(known.limit(5)), "known_by_hash", 8)
+    arrivals = spark.range(1990, 2100).select(
+        F.sha2((F.col("id") % 2050).cast("string"), 256).alias("file_hash"), F.col("id").alias("upload_id")
+    )
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = new_documents(arrivals, spark.table("known_by_hash"), "upload_id")
+        got = sorted(r.upload_id for r in df.collect())
+        plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE known_by_hash")
+    assert got == list(range(2000, 2050))
+    scan = plan[plan.index("FileScan parquet") - 400 : plan.index("FileScan parquet")]
+    assert "Exchange" not in scan and "Bucketed: true" in plan
