@@ -162,7 +162,7 @@ def then(first: Column, second: Column) -> Column:
     )
 
 
-def _together(effects: DataFrame, keys: list[str], order: str) -> DataFrame:
+def effects_together(effects: DataFrame, keys: list[str], order: str) -> DataFrame:
     """One effect per group of keys, of its effects in order."""
     ordered = F.sort_array(F.collect_list(F.struct(order, "_effect")))
     grouped = effects.groupBy(*keys).agg(F.max("parts").alias("parts"), ordered.alias("_all"))
@@ -171,6 +171,29 @@ def _together(effects: DataFrame, keys: list[str], order: str) -> DataFrame:
     return grouped.select(*keys, "parts", whole.alias("_effect"))
 
 
+def time_bucket(bucket_ms: int = HOUR_MS) -> Column:
+    """The time bucket of an event; events without a time come first."""
+    clock = F.unix_millis(F.col("ts").cast("timestamp"))
+    return F.coalesce(F.floor(clock / bucket_ms), F.lit(-(2**62)))
+
+
+def bucket_effects(events: DataFrame) -> DataFrame:
+    """Key, _bucket, parts and _effect of every bucket of events with a _bucket."""
+    return (
+        events.groupBy(*KEY, "_bucket")
+        .agg(
+            F.max("parts").alias("parts"),
+            F.sort_array(F.collect_list(F.struct("ts", "event_id", "kind", "value"))).alias("_events"),
+        )
+        .select(*KEY, "_bucket", "parts", bucket_effect(F.col("_events"), F.col("parts")).alias("_effect"))
+    )
+
+
+def fresh_state() -> Column:
+    """The state of a book that nothing has happened to."""
+    return _struct(STATE, {name: F.lit(0) for name in STATE})
+
+
 def playback_fold(
     events: DataFrame, start: DataFrame | None = None, bucket_ms: int = HOUR_MS
 ) -> DataFrame:
@@ -182,22 +205,11 @@ def playback_fold(
     key's player sends in a bucket, and a key's last group one effect per span. Events
     without a time come first. `start` is an earlier snapshot to go on from.
     """
-    clock = F.unix_millis(F.col("ts").cast("timestamp"))
-    bucket = F.coalesce(F.floor(clock / bucket_ms), F.lit(-(2**62)))
-    effects = (
-        events.withColumn("_bucket", bucket)
-        .groupBy(*KEY, "_bucket")
-        .agg(
-            F.max("parts").alias("parts"),
-            F.sort_array(F.collect_list(F.struct("ts", "event_id", "kind", "value"))).alias("_events"),
-        )
-        .select(*KEY, "_bucket", "parts", bucket_effect(F.col("_events"), F.col("parts")).alias("_effect"))
-    )
-    spans = _together(effects.withColumn("_span", F.floor(F.col("_bucket") / SPAN)), [*KEY, "_span"], "_bucket")
-    per_key = _together(spans, KEY, "_span")
-    fresh = _struct(STATE, {name: F.lit(0) for name in STATE})
+    effects = bucket_effects(events.withColumn("_bucket", time_bucket(bucket_ms)))
+    spans = effects_together(effects.withColumn("_span", F.floor(F.col("_bucket") / SPAN)), [*KEY, "_span"], "_bucket")
+    per_key = effects_together(spans, KEY, "_span")
     if start is None:
-        before = fresh
+        before = fresh_state()
     else:
         kept = start.select(*KEY, _struct(STATE, {n: F.col(n) for n in STATE}).alias("_old"))
         per_key = per_key.join(kept, KEY, "left")

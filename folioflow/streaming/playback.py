@@ -19,11 +19,18 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from folioflow import fixed_values as V
 from folioflow.operators.playback import (
+    HOUR_MS,
     KEY,
+    SPAN,
     STATE,
+    apply_effect,
+    bucket_effects,
+    effects_together,
+    fresh_state,
     playback_fold,
     saved_events,
     tick_throttle,
+    time_bucket,
     unusable_ticks,
     usable_tick,
 )
@@ -107,12 +114,12 @@ def throttle_stream(ticks: DataFrame, gap_ms: int = V.SAVE_GAP_MS) -> DataFrame:
     return judged.unionByName(rest)
 
 
-def snapshot_table(root: str, compact_every: int = 20) -> StateTable:
-    return StateTable(f"{root}/snapshot", KEY, compact_every)
+def snapshot_table(root: str, compact_every: int = 20, cells: int = 16) -> StateTable:
+    return StateTable(f"{root}/snapshot", KEY, compact_every, cells)
 
 
-def clock_table(root: str, compact_every: int = 20) -> StateTable:
-    return StateTable(f"{root}/clocks", ["user_id"], compact_every)
+def clock_table(root: str, compact_every: int = 20, cells: int = 16) -> StateTable:
+    return StateTable(f"{root}/clocks", ["user_id"], compact_every, cells)
 
 
 def read_snapshot(spark: SparkSession, root: str, batch: int) -> DataFrame:
@@ -136,9 +143,10 @@ def _clock() -> Column:
 def _on_time_ticks(ticks: DataFrame, clocks: StateTable, batch: int, late_path: str):
     """Ticks of a batch that no earlier batch has passed by, and the clocks of their users."""
     spark = ticks.sparkSession
-    before = clocks.read(spark, batch - 1)
     usable = ticks.where(usable_tick())
+    before = clocks.read(spark, batch - 1, of=usable)
     if before is None:
+        overwrite(usable.limit(0), late_path)
         return usable, None
     seen = before.select("user_id", F.col("last_seen").alias("_seen"))
     on_time, late = _split_late(usable, seen, ["user_id"], _clock() < F.col("_seen"))
@@ -183,8 +191,10 @@ def throttle_sink(root: str, gap_ms: int = V.SAVE_GAP_MS, compact_every: int = 2
 def _apply_progress(events: DataFrame, batch: int, root: str, table: StateTable) -> None:
     spark = events.sparkSession
     order = F.struct("ts", "event_id")
-    before = table.read(spark, batch - 1)
-    if before is not None:
+    before = table.read(spark, batch - 1, of=events)
+    if before is None:
+        overwrite(events.limit(0), f"{root}/late_events/batch={batch}")
+    else:
         seen = before.select(*KEY, F.col("last_event").alias("_seen"))
         events, late = _split_late(events, seen, KEY, order <= F.col("_seen"))
         overwrite(late, f"{root}/late_events/batch={batch}")
@@ -196,7 +206,7 @@ def _apply_progress(events: DataFrame, batch: int, root: str, table: StateTable)
 def progress_sink(root: str, compact_every: int = 20):
     """foreachBatch function that keeps a progress snapshot under `root`.
 
-    A batch reads the state of the batch before and writes the keys it changes, so a
+    A batch reads the state of its keys' cells after the batch before and writes the keys it changes, so a
     repeated batch gives the same state. Events older than the last one applied to their
     key change nothing; they are kept under `late_events`.
     """
@@ -228,3 +238,53 @@ def playback_sink(root: str, gap_ms: int = V.SAVE_GAP_MS, compact_every: int = 2
         _apply_progress(saved.select(*events.columns).unionByName(rest), batch, root, table)
 
     return apply
+
+
+class EffectTree:
+    """Stored events and their effects, put together by bucket, span and key.
+
+    A key's progress is the effect of its spans, a span's that of its buckets, and a bucket's that of its
+    events; so an event that comes late changes its bucket and the path above it, and nothing else is
+    computed anew. All tables lie in cells by key, those of events and buckets by span too: a batch reads
+    the cells of the spans it adds to.
+    """
+
+    def __init__(self, root: str, compact_every: int = 20, cells: int = 16):
+        table = lambda name, key, span=None: StateTable(
+            f"{root}/{name}", [*KEY, *key], compact_every, cells, by=KEY, span=span
+        )
+        self.events = table("events", ["event_id"], "_span")
+        self.buckets = table("buckets", ["_bucket"], "_span")
+        self.spans = table("spans", ["_span"])
+        self.snapshot = snapshot_table(root, compact_every, cells)
+
+    def add(self, events: DataFrame, batch: int, bucket_ms: int) -> None:
+        spark = events.sparkSession
+        if events.isEmpty():
+            return
+        events = events.withColumn("_bucket", time_bucket(bucket_ms))
+        events = events.withColumn("_span", F.floor(F.col("_bucket") / SPAN))
+        self.events.write(events, batch)
+        # What the batch touches, from its own written rows.
+        added = spark.read.parquet(f"{self.events.root}/changes/batch={batch}")
+        touched = added.select(*KEY, "_span", "_bucket").distinct()
+        spans, keys = touched.select(*KEY, "_span").distinct(), touched.select(*KEY).distinct()
+        own = self.events.read(spark, batch, of=touched).join(touched, [*KEY, "_span", "_bucket"], "left_semi")
+        effects = bucket_effects(own).withColumn("_span", F.floor(F.col("_bucket") / SPAN))
+        self.buckets.write(effects, batch)
+        own = self.buckets.read(spark, batch, of=spans).join(spans, [*KEY, "_span"], "left_semi")
+        self.spans.write(effects_together(own, [*KEY, "_span"], "_bucket"), batch)
+        own = self.spans.read(spark, batch, of=keys).join(keys, KEY, "left_semi")
+        whole = effects_together(own, KEY, "_span")
+        after = apply_effect(fresh_state(), F.col("_effect"), F.col("parts"))
+        self.snapshot.write(whole.select(*KEY, after.alias("_state")).select(*KEY, "_state.*"), batch)
+
+
+def late_progress_sink(root: str, compact_every: int = 20, cells: int = 16, bucket_ms: int = HOUR_MS):
+    """foreachBatch function that keeps a progress snapshot under `root`, whatever order events arrive in.
+
+    After every batch the snapshot is that of `playback_fold` over all events so far. Keys are not null
+    and event ids name an event of a key: one that comes again replaces itself.
+    """
+    tree = EffectTree(root, compact_every, cells)
+    return lambda events, batch: tree.add(events, batch, bucket_ms)
