@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -66,3 +67,12 @@ def by_bytes(
             held += size
         if begin < batch.num_rows:
             yield batch.slice(begin)
+
+
+def give_back() -> None:
+    """Return freed memory to the system. Python workers are used again by other stages, and what
+    their allocators keep after a partition would add to what those need."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import by_bytes, stage, table
+from folioflow.llm.common import by_bytes, give_back, stage, table
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -210,6 +210,7 @@ def text_digest(text: Column) -> Column:
     def digest(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             yield pa.array([digest_of(x.as_py()) for x in batch], pa.binary())
+        give_back()
 
     return digest(text)
 
@@ -244,6 +245,7 @@ def signed(docs: DataFrame, weighting: str = "set") -> DataFrame:
                     [part.column("doc_id"), pa.array(digests, pa.binary()), pa.array(signs, pa.binary())],
                     ["doc_id", "digest", "sign"],
                 )
+        give_back()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(over, "doc_id long, digest binary, sign binary")
@@ -311,6 +313,7 @@ def linked(pairs: DataFrame, signs: DataFrame, texts: DataFrame, similarity: flo
                     [pa.array([nodes[i] for i in keep], pa.int64()), pa.array([centres[i] for i in keep], pa.int64())],
                     ["node", "center"],
                 )
+        give_back()
 
     columns = both.select("node", "center", "member_text", "center_text")
     return columns.mapInArrow(over, "node long, center long").distinct()

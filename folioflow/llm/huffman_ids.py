@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import by_bytes, stage, table
+from folioflow.llm.common import by_bytes, give_back, stage, table
 from folioflow.llm.packing import RANKS, VOCABULARY, text_ids
 
 END = 2
@@ -260,6 +260,7 @@ def coded(docs: DataFrame, path: str, ranks: str, pattern: str, end: int) -> Dat
                 ["doc_id", "at", "n", "ids"],
             )
             at += len(found)
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(over, CODED)
 

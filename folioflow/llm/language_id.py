@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import fold, table
+from folioflow.llm.common import fold, give_back, table
 
 BUCKETS = 1 << 16
 WIDTH = 16
@@ -213,6 +213,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", prefix:
                 pa.array([name == NONE or score < known.least for name, score in found], pa.bool_()),
             )
             yield pa.StructArray.from_arrays(columns, names=["pred", "score", "rejected"])
+        give_back()
 
     marked = docs.withColumn(f"_{prefix}", predict(F.col(text)))
     parts = {f"{prefix}_{c}": F.col(f"_{prefix}")[c] for c in ("pred", "score", "rejected")}

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioflow.llm.chunks import ChunkCoder
-from folioflow.llm.common import by_bytes, stage, table
+from folioflow.llm.common import by_bytes, give_back, stage, table
 
 VOCABULARY = "byte_bpe_50k.json"
 #: The same vocabulary as ranks, for the faster library.
@@ -106,6 +106,7 @@ def tokenized(
                     ["part", "start", "doc_id", "doc_tokens", "ids"],
                 )
                 at = int(ends[-1])
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(over, STAGED)
 

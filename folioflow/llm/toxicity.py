@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioflow.llm.chunks import Cache
-from folioflow.llm.common import fold, table
+from folioflow.llm.common import fold, give_back, table
 
 ORDER = 6
 #: Contexts of fewer characters than this have counts of both classes together.
@@ -255,6 +255,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ],
         ["gram", "n_toxic", "n_ordinary"],
     )
+    give_back()
 
 
 class ToxicityModel:
@@ -267,6 +268,10 @@ class ToxicityModel:
     def __getstate__(self):
         return self.__dict__ | {"_judge": None}
 
+    def forget(self) -> None:
+        """Let go of the words judged so far."""
+        self._judge = None
+
     def scores(self, texts: list[str | None]) -> np.ndarray:
         if self.model is None:
             return np.full(len(texts), self.prior)
@@ -336,6 +341,8 @@ def score_texts(docs: DataFrame, model: ToxicityModel, text: str = "text", outpu
         for batch in batches:
             parts = (batch.slice(i, 1000).to_pylist() for i in range(0, len(batch), 1000))
             yield pa.array(np.concatenate([np.empty(0), *map(sent.value.scores, parts)]))
+        sent.value.forget()
+        give_back()
 
     return docs.withColumn(output, score(F.col(text)))
 
