@@ -26,8 +26,8 @@ CACHED = 150_000
 
 
 def unused(docs: DataFrame, name: str) -> str:
-    """A name that no column of docs begins with."""
-    while any(c.lower().startswith(name) for c in docs.columns):
+    """A name that no column of docs begins with, also not after another underscore."""
+    while any(c.lower().startswith((name, f"_{name}")) for c in docs.columns):
         name = f"_{name}"
     return name
 
