@@ -191,6 +191,8 @@ def train(docs: DataFrame, most_rows: int = MOST_ROWS) -> LanguageModel:
     kept = [x for x in parsed if x[0]]
     raw = np.array([w @ logits[r] for _, r, w, _ in kept]).reshape(len(kept), len(languages))
     temperature, least = calibrate(raw, np.array([k for *_, k in kept], int))
+    del found, seen, parsed, kept
+    give_back()
     return LanguageModel(languages, logits, temperature, least)
 
 

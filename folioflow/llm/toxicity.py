@@ -329,7 +329,10 @@ def train(
         return ToxicityModel(None, None, prior) if dealt else train(docs, labels, most_rows, True)
     weights = np.where(toxic == 1, 1 / known["share"][1], 1 / known["share"][0])
     sent.destroy()
-    return ToxicityModel(model, fit_curve(features, toxic, weights / weights.mean()), prior)
+    beta = fit_curve(features, toxic, weights / weights.mean())
+    del summed, held, sent
+    give_back()
+    return ToxicityModel(model, beta, prior)
 
 
 def score_texts(docs: DataFrame, model: ToxicityModel, text: str = "text", output: str = "toxicity") -> DataFrame:
