@@ -13,7 +13,7 @@ from folioflow.llm.packing import op2_packing
 from folioflow.llm.periodic_runs import op12_periodic_runs
 from folioflow.llm.topk_search import OP7_SQL, op7_topk_search
 from folioflow.llm.toxicity import op1_toxicity
-from folioflow.llm.url_graph import op8_url_graph
+from folioflow.llm.url_graph import OP8_SQL, op8_url_graph
 from folioflow.llm.warc_zstd import OP10_SQL, op10_warc
 
 QUERIES = {
@@ -31,4 +31,9 @@ QUERIES = {
     "op12_periodic_runs": op12_periodic_runs,
     "op13_hard_negatives": op13_hard_negatives,
 }
-SQL = {"op7_topk_search": OP7_SQL, "op10_warc": OP10_SQL, "op13_hard_negatives": OP13_SQL}
+SQL = {
+    "op7_topk_search": OP7_SQL,
+    "op8_url_graph": OP8_SQL,
+    "op10_warc": OP10_SQL,
+    "op13_hard_negatives": OP13_SQL,
+}

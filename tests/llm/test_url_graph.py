@@ -1,7 +1,10 @@
+import random
 import re
 
-from folioflow.llm.url_graph import RULES, filter_urls, op8_url_graph, spread_trust
-from compare import duck
+import duckdb
+from compare import differences, duck
+
+from folioflow.llm.url_graph import OP8_SQL, RULES, filter_sql, filter_urls, op8_url_graph, spread_trust
 
 
 def by_hand(url):
@@ -18,21 +21,27 @@ def by_hand(url):
 
 
 def walks(links, seeds, damping, rounds):
+    """Trust, distrust, trust share, distrust share of every host."""
     hosts = sorted(set(seeds) | {h for e in links for h in e[:2]})
-    out = []
+    out, shares = [], []
     for which in (0, 1):
         edges = [(a, b, n) if which == 0 else (b, a, n) for a, b, n in links]
         total = {h: sum(n for a, _, n in edges if a == h) for h in hosts}
         edges = [(a, b, n / total[a]) for a, b, n in edges] + [(h, h, 1.0) for h in hosts if not total[h]]
-        seed = {h: seeds.get(h, (0, 0))[which] for h in hosts}
-        now = dict(seed)
-        for _ in range(rounds):
-            come = dict.fromkeys(hosts, 0.0)
-            for a, b, w in edges:
-                come[b] += now[a] * w
-            now = {h: (1 - damping) * seed[h] + damping * come[h] for h in hosts}
-        out.append(now)
-    return out
+        came = []
+        for seed in ({h: seeds.get(h, (0, 0))[which] for h in hosts}, dict.fromkeys(hosts, 1.0)):
+            now = dict(seed)
+            for _ in range(rounds):
+                come, over = dict.fromkeys(hosts, 0.0), dict.fromkeys(hosts, 0.0)
+                for a, b, w in edges:
+                    come[b] += now[a] * w
+                    over[b] += now[a] * w if a != b else 0.0
+                now = {h: (1 - damping) * seed[h] + damping * come[h] for h in hosts}
+            came.append(over)
+            if len(came) == 1:
+                out.append(now)
+        shares.append({h: came[0][h] / came[1][h] if came[1][h] else 0.0 for h in hosts})
+    return out + shares
 
 
 def test_registered_query_against_loop(spark, sf):
@@ -62,11 +71,63 @@ def test_walks(spark):
         damping=0.6,
         rounds=9,
     ).collect()
-    trust, distrust = walks(links, seeds, 0.6, 9)
+    want = walks(links, seeds, 0.6, 9)
     assert {r["host"] for r in got} == {"a", "b", "c", "d", "e"}
     for r in got:
-        assert abs(r["trust"] - trust[r["host"]]) < 1e-12
-        assert abs(r["distrust"] - distrust[r["host"]]) < 1e-12
+        for name, values in zip(("trust", "distrust", "trust_share", "distrust_share"), want):
+            assert abs(r[name] - values[r["host"]]) < 1e-12
+
+
+def random_pages(seed):
+    """Pages of hosts with and without rules that link to each other, in cycles and over several hops."""
+    rng = random.Random(seed)
+    hosts = ["a.com", "www.example.com", "example.com", "b.net", "c.net"] + [f"h{i}.org" for i in range(12)]
+    rows = []
+    for page in range(160):
+        host = rng.choice(hosts)
+        path = rng.choice(["/es/1", "/fr/x", "/es/", "/en/", ""])
+        near = ["b.net", "c.net", "h0.org", "h1.org"] if host in ("h0.org", "h1.org", "h2.org") else hosts
+        to = rng.choices(near, k=rng.randrange(4))
+        rows.append((page, f"http://{host}{path}", "".join(f"<A  href='http://{h}/x'>x</A>" for h in to)))
+    return rows
+
+
+def test_verdicts_by_the_walks(spark):
+    """Every verdict from walks in plain Python and from SQL, on graphs with links, hops and cycles."""
+    by_links = 0
+    for seed in (1, 2):
+        rows = random_pages(seed)
+        df = spark.createDataFrame(rows, "page_id long, url string, html string")
+        got = {r["page_id"]: r for r in filter_urls(df, threshold=0.3).collect()}
+        judged = {page: by_hand(url) for page, url, _ in rows}
+        own, links = {}, {}
+        for page, _, html in rows:
+            host, _, _, verdict = judged[page]
+            own.setdefault(host, []).append(verdict)
+            for to in re.findall("//([^/]+)/", html):
+                if to != host:
+                    links[host, to] = links.get((host, to), 0) + 1
+        seeds = {h: (v.count("allow") / len(v), v.count("block") / len(v)) for h, v in own.items()}
+        _, _, trusted, distrusted = walks([(*e, n) for e, n in links.items()], seeds, 0.6, 12)
+        for page, (host, path, rule, verdict) in judged.items():
+            good, bad = seeds[host]
+            linked = distrusted[host] >= 0.3 and distrusted[host] > max(good, trusted[host])
+            blocked = (bad >= 0.3 and bad > good) or linked
+            assert got[page]["verdict"] == (verdict or ("block" if blocked else "allow"))
+            by_links += not verdict and linked and bad < 0.3
+        con = duckdb.connect()
+        con.execute("CREATE TABLE pages(page_id BIGINT, url VARCHAR, html VARCHAR)")
+        con.executemany("INSERT INTO pages VALUES (?, ?, ?)", rows)
+        sql = con.execute(f"SELECT page_id, verdict, distrust_share FROM ({filter_sql(threshold=0.3)})").fetchall()
+        assert len(sql) == len(rows)
+        for page, verdict, share in sql:
+            assert got[page]["verdict"] == verdict
+            assert abs(got[page]["distrust_share"] - share) < 1e-8
+    assert by_links
+
+
+def test_query_equals_sql(spark, sf):
+    assert differences(op8_url_graph(spark, sf), duck(sf), OP8_SQL) == ""
 
 
 def test_distrust_reaches_hosts_that_link_to_blocked_ones(spark):
