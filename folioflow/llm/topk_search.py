@@ -7,21 +7,22 @@ and the blocks' selections are merged.
 
 Cases: vectors that are null or hold null components take no part, on either side. Vectors may
 differ in length; a missing component weighs nothing. A query never meets candidates of its own
-id. A query id that comes several times is searched once, with its smallest vector; repeated
-candidate rows each count. Null ids take no part. Empty tables give empty results. Other columns
+id. Every query row is searched; rows of one query id share one ranking, which holds a candidate
+once for each of them. Repeated candidate rows each count. Null ids take no part. Empty tables give empty results. Other columns
 of either table are ignored. Scores are 64-bit integers.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import table
+from folioflow.llm.common import stage, table
 
 RESULT = "query_id long, vec_id long, score long"
 
@@ -69,7 +70,9 @@ def _accumulate(weights: np.ndarray, block: np.ndarray) -> np.ndarray:
     return scores
 
 
-def _search(ids: np.ndarray, weights: np.ndarray, k: int, block_rows: int, query_rows: int):
+def _search(
+    ids: np.ndarray, copies: np.ndarray, weights: np.ndarray, k: int, block_rows: int, query_rows: int
+):
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.empty(0, np.int64)
         held = [(none, none)] * len(ids)
@@ -92,6 +95,7 @@ def _search(ids: np.ndarray, weights: np.ndarray, k: int, block_rows: int, query
                         v = np.concatenate((held[at][1], near[at_block]))
                         keep = _best(s, v, k)
                         held[at] = (s[keep], v[keep])
+        held = [(np.repeat(s, n), np.repeat(v, n)) for (s, v), n in zip(held, copies)]
         sizes = [len(s) for s, _ in held]
         yield pa.RecordBatch.from_arrays(
             [
@@ -116,31 +120,39 @@ def topk_search(
     """The k best candidates of every query: query_id, rank, vec_id, score.
 
     Both tables hold vec_id long and vector array<long>. Queries are taken in blocks of
-    about `query_block` rows; one block at a time is sent to the tasks, which is its size
-    bound, and each block reads the candidates once. A task keeps k rows a query, and a
-    query's selections meet in a window that is cut to k rows before its shuffle.
+    about `query_block` distinct rows, dealt by a hash of the whole row; equal rows are searched
+    once and counted. Of several blocks, one is brought to the driver and sent to the tasks, its
+    selections are written, and only then the next is read, so what the driver and a plan hold is
+    one block. Each block reads the candidates once. A task keeps k rows a query, and a query's
+    selections meet in a window that is cut to k rows before its shuffle.
     """
-    spark = queries.sparkSession
     usable = F.col("vec_id").isNotNull() & F.col("vector").isNotNull()
     usable = usable & F.forall("vector", lambda x: x.isNotNull())
     asked = queries.select("vec_id", "vector").where(usable)
+    asked = asked.groupBy("vec_id", "vector").agg(F.count("*").alias("copies"))
     searched = candidates.select("vec_id", "vector").where(usable)
     blocks = max(1, -(-asked.count() // query_block))
-    asked = asked.withColumn("_block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
-    found = None
-    for block in range(blocks):
-        rows = asked.where(F.col("_block") == block).groupBy("vec_id").agg(F.min("vector").alias("v"))
-        rows = sorted((r["vec_id"], r["v"]) for r in rows.collect())
-        ids = np.array([i for i, _ in rows], np.int64)
-        weights = _dense([v for _, v in rows], max((len(v) for _, v in rows), default=0))
-        part = searched.mapInArrow(_search(ids, weights, k, block_rows, query_rows), RESULT)
-        found = part if found is None else found.unionAll(part)
+    asked = asked.withColumn("_block", F.pmod(F.xxhash64("vec_id", "vector"), F.lit(blocks)))
+    if blocks > 1:
+        asked = stage(asked)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (
-        found.withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= k)
-        .select("query_id", "rank", "vec_id", "score")
-    )
+
+    def best(found: DataFrame) -> DataFrame:
+        ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        return ranked.select("query_id", "rank", "vec_id", "score")
+
+    def search(block: int) -> DataFrame:
+        rows = asked.where(F.col("_block") == block).drop("_block").collect()
+        ids = np.array([r["vec_id"] for r in rows], np.int64)
+        copies = np.array([min(r["copies"], k) for r in rows], np.int64)
+        weights = _dense([r["vector"] for r in rows], max((len(r["vector"]) for r in rows), default=0))
+        task = _search(ids, copies, weights, k, block_rows, query_rows)
+        return best(searched.mapInArrow(task, RESULT))
+
+    if blocks == 1:
+        return search(0)
+    selected = [stage(search(block)) for block in range(blocks)]
+    return best(reduce(DataFrame.unionAll, selected))
 
 
 def op7_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
