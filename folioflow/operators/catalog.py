@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioflow import fixed_values as V
 from folioflow.functions.scalars import or_default
 
+#: Slices of a reader's books that are cut on their own when pages are asked for by their last book.
+PAGE_SLICES = 16
 BOOK_COLUMNS = [
     "id",
     "title",
@@ -84,6 +86,40 @@ def user_library(user_books: DataFrame, catalog: DataFrame, user_id=None) -> Dat
     return book_view(rows, "user_id").orderBy("user_id", F.desc_nulls_first("added_at"), "id")
 
 
+def library_page(
+    user_books: DataFrame, catalog: DataFrame, size: int, after: DataFrame | None = None
+) -> DataFrame:
+    """One page of every reader's library, newest first; `place` counts from 1 within the page.
+
+    after: user_id, added_at and id of the last book a reader has seen, at most one row a reader;
+    readers without one get their first page. A reader has a book once, so this names a
+    place in the order of `user_library`, and books that come or go before it move no page.
+
+    The order needs progress rows only: a reader is cut to `size` rows before the shuffle by reader,
+    and only the pages meet the catalog's columns. Nothing is sorted as a whole. Rows meet `after` by
+    reader and one of `PAGE_SLICES` slices of the books, each cut to `size` rows, so a reader with very
+    many books lies in several tasks.
+    """
+    known = catalog.select(F.col("id").alias("global_book_id"))
+    rows = user_books.join(known, "global_book_id", "left_semi")
+    order = [F.desc_nulls_first("added_at"), F.col("global_book_id")]
+    if after is not None:
+        slices = F.explode(F.sequence(F.lit(0), F.lit(PAGE_SLICES - 1))).alias("_slice")
+        seen = F.struct(F.col("added_at").alias("at"), F.col("id").alias("book"))
+        rows = rows.withColumn("_slice", F.pmod(F.xxhash64("global_book_id"), F.lit(PAGE_SLICES)).cast("int"))
+        seen_by = after.select("user_id", seen.alias("_seen"), slices)
+        rows = rows.join(seen_by, ["user_id", "_slice"], "left")
+        at, book = F.col("_seen.at"), F.col("_seen.book")
+        later = F.col("added_at").eqNullSafe(at) & (F.col("global_book_id") > book)
+        older = F.col("added_at").isNotNull() & (at.isNull() | (F.col("added_at") < at))
+        rows = rows.where(F.col("_seen").isNull() | later | older)
+        in_slice = F.row_number().over(Window.partitionBy("user_id", "_slice").orderBy(*order))
+        rows = rows.withColumn("_n", in_slice).where(F.col("_n") <= size).drop("_seen", "_slice", "_n")
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy(*order))
+    page = rows.withColumn("place", place).where(F.col("place") <= size)
+    return book_view(_with_parent(page, catalog).where("_found"), "user_id", "place")
+
+
 def orphan_rows(user_books: DataFrame, catalog: DataFrame) -> DataFrame:
     """Personal rows whose book left the catalog, counted per book."""
     keys = catalog.select(F.col("id").alias("global_book_id"))

@@ -290,6 +290,9 @@ QUERIES = {
           coalesce(parts_count, 1) AS parts_count, 0 AS current_part_index, voice, category, file_hash
         FROM catalog ORDER BY added_at DESC, id""",
     "user_library": "SELECT * FROM library ORDER BY user_id, added_at DESC, id",
+    "library_page": """SELECT user_id, CAST(n - 3 AS INTEGER) AS place, id, title, progress, added_at FROM (
+          SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY added_at DESC NULLS FIRST, id) AS n FROM library)
+        WHERE n BETWEEN 4 AND 6""",
     "library_orphans": """SELECT global_book_id, count(*) AS rows FROM user_books
         WHERE global_book_id NOT IN (SELECT id FROM catalog) GROUP BY 1""",
     "continue_shelf": "SELECT user_id, id, title, progress FROM library WHERE progress > 0 AND progress < 100",

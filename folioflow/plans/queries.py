@@ -116,6 +116,15 @@ def user_library(v: Views) -> DataFrame:
     return _library(v)
 
 
+@query
+def library_page(v: Views) -> DataFrame:
+    """Every reader's second page of three, asked for by the last book of the first."""
+    first = catalog.library_page(v.user_books(), v.catalog(), size=3)
+    last = first.groupBy("user_id").agg(F.max_by(F.struct("added_at", "id"), "place").alias("last"))
+    second = catalog.library_page(v.user_books(), v.catalog(), 3, last.select("user_id", "last.*"))
+    return second.select("user_id", "place", "id", "title", "progress", "added_at")
+
+
 @query
 def library_orphans(v: Views) -> DataFrame:
     return catalog.orphan_rows(v.user_books(), v.catalog())

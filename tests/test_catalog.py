@@ -75,6 +75,39 @@ def test_shelves(books, mine):
     assert [(r.user_id, r.id) for r in catalog.history(shelf).collect()] == [(7, 2), (8, 2)]
 
 
+def test_pages_of_the_library(spark):
+    """Pages in turn are the sorted library: ties and null times, readers of any number of books."""
+    shelf = [(i, f"t{i}", None, None, f"b{i}", 1, "v", None, f"h{i}", T0) for i in range(12) if i != 5]
+    shelf = spark.createDataFrame(shelf, CATALOG)
+    times = [T0, T1, T1, None, T0, T1, None, T0, T1, None, T0, T1]
+    rows = [(u, i, 0, 0.0, 0.0, i, times[i]) for u, n in ((1, 12), (2, 4), (3, 1)) for i in range(n)]
+    rows += [(None, 1, 0, 0.0, 0.0, 0, T0), (4, 5, 0, 0.0, 0.0, 0, T0)]
+    rows = spark.createDataFrame(rows, USER_BOOKS)
+    want = {}
+    for r in catalog.user_library(rows, shelf).where("user_id IS NOT NULL").collect():
+        want.setdefault(r.user_id, []).append(r.id)
+    got, after = {}, None
+    for step in range(5):
+        page = catalog.library_page(rows, shelf, 3, after).where("user_id IS NOT NULL").collect()
+        last = {}
+        for r in sorted(page, key=lambda r: (r.user_id, r.place)):
+            got.setdefault(r.user_id, []).append(r.id)
+            last[r.user_id] = (r.user_id, r.added_at, r.id)
+            assert len(got[r.user_id]) == 3 * step + r.place
+        # Readers at their end stay where they are.
+        ends = {} if after is None else {r.user_id: tuple(r) for r in after.collect()}
+        after = spark.createDataFrame([*(ends | last).values()], "user_id long, added_at timestamp_ntz, id long")
+    assert got == want and len(got[1]) == 11
+    assert catalog.library_page(rows.where("false"), shelf, 3).collect() == []
+    for cursors, limits in ((None, 2), (after, 3)):
+        plan = catalog.library_page(rows, shelf, 3, cursors)._jdf.queryExecution().executedPlan().toString()
+        assert "rangepartitioning" not in plan
+        # Cut before and after the exchange by reader; with cursors, by slice before both.
+        assert plan.count("WindowGroupLimit") == limits
+        by_reader = plan.index("Exchange hashpartitioning(user_id#")
+        assert "WindowGroupLimit" in plan[by_reader:]
+
+
 def test_categories_and_search(books):
     def ids(df):
         return sorted(r.id for r in df.collect())
