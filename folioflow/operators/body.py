@@ -51,7 +51,8 @@ def body_text(
     are left out, if it is given; `pages_dropped` says how many had text.
 
     Spans are shuffled once, by document: lines and then documents are grouped on that
-    partitioning.
+    partitioning. Spans in the margins go along without their text, which is never shown, and
+    those of them that cannot weigh in for the main size are not sent at all.
     """
     in_margin = (F.col("y1") < F.col("page_height") * V.TOP_MARGIN) | (
         F.col("y0") > F.col("page_height") * V.BOTTOM_MARGIN
@@ -60,13 +61,23 @@ def body_text(
     span = F.struct(
         "span",
         F.round("size", 1).alias("size"),
-        F.length(T.strip(F.col("text"))).alias("chars"),
-        F.coalesce(in_margin, F.lit(False)).alias("margin"),
+        "chars",
+        "margin",
         "text",
     )
-    lines = (
+    text = F.col("text")
+    sent = (
         spans.where(F.col("block_type") == 0)
-        .repartition(key)
+        .withColumn("margin", F.coalesce(in_margin, F.lit(False)))
+        .where(~F.col("margin") | (F.col("page") < sample_pages) | beyond)
+        .select(
+            key, "page", "block", "line", "span", "size", "margin",
+            F.length(T.strip(text)).alias("chars"),
+            F.when(~F.col("margin") & ~beyond, text).alias("text"),
+        )
+    )
+    lines = (
+        sent.repartition(key)
         .groupBy(key, "page", "block", "line")
         .agg(F.sort_array(F.collect_list(F.when(~beyond, span))).alias("spans"))
     )

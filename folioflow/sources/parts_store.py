@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -98,28 +99,58 @@ def read_book(spark: SparkSession, path: str, book, key: str = "book_id") -> Dat
     return parts.where(mine).drop(*STORE_COLUMNS)
 
 
-def read_part_files(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    """Books and parts of a `<book>/metadata.json` + `<book>/part_<n>.txt` layout."""
+def _files(spark: SparkSession, root: str, books: Iterable[str] | None, names: str) -> list[str]:
+    """Patterns of the files of some books, or of all; books without such files have none.
+
+    Only the folders of the books asked for are listed.
+    """
+    if books is None:
+        return [f"{root}/*/{names}"]
+    books = sorted(set(books))
+    odd = [b for b in books if not re.fullmatch(r"[^/*?\[\]{}\\]+", b) or b in (".", "..")]
+    if odd:
+        raise ValueError(f"no names of books: {odd[:3]}")
+    where = spark._jvm.org.apache.hadoop.fs.Path(root)
+    system = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = (f"{root}/{b}/{names}" for b in books)
+    return [p for p in found if system.globStatus(spark._jvm.org.apache.hadoop.fs.Path(p))]
+
+
+def read_part_files(
+    spark: SparkSession,
+    root: str,
+    books: Iterable[str] | None = None,
+    parts: Iterable[int] | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Books and parts of a `<book>/metadata.json` + `<book>/part_<n>.txt` layout.
+
+    With `books`, the folders of all others are neither listed nor read; with `parts`, only files of
+    these numbers are. Both are meant for a bounded choice, as each book is looked up by the driver.
+    Books asked for that are not there have no rows, nor have their missing parts.
+    """
+    numbers = None if parts is None else sorted({int(n) for n in parts})
+    names = "part_*.txt" if numbers is None else f"part_{{{','.join(map(str, numbers))}}}.txt"
 
     def path_part(pattern: str):
         return F.regexp_extract(F.col("_metadata.file_path"), pattern, 1)
 
-    book = path_part(r"([^/]+)/[^/]+$")
-    books = (
-        spark.read.schema(BOOK_META)
-        .option("multiLine", True)
-        .json(f"{root}/*/metadata.json")
-        .select(book.alias("book_id"), "title", "voice", "parts_count", "cover_url")
-    )
-    parts = (
-        spark.read.text(f"{root}/*/part_*.txt", wholetext=True)
-        .select(
-            book.alias("book_id"),
-            path_part(r"part_(\d+)\.txt$").cast("int").alias("part_index"),
-            F.col("value").alias("text"),
-        )
+    # The path is encoded, but for the plus sign, which decoding would take for a space.
+    book = F.url_decode(F.replace(path_part(r"([^/]+)/[^/]+$"), F.lit("+"), F.lit("%2B")))
+    about = _files(spark, root, books, "metadata.json")
+    if about:
+        read = spark.read.schema(BOOK_META).option("multiLine", True).json(about)
+        found = read.select(book.alias("book_id"), "title", "voice", "parts_count", "cover_url")
+    else:
+        found = spark.createDataFrame([], f"book_id string, {BOOK_META}")
+    files = _files(spark, root, books, names) if numbers != [] else []
+    if not files:
+        return found, spark.createDataFrame([], "book_id string, part_index int, text string")
+    texts = spark.read.text(files, wholetext=True).select(
+        book.alias("book_id"),
+        path_part(r"part_(\d+)\.txt$").cast("int").alias("part_index"),
+        F.col("value").alias("text"),
     )
-    return books, parts
+    return found, texts
 
 
 def read_audio_files(spark: SparkSession, root: str) -> DataFrame:

@@ -279,6 +279,51 @@ def test_body_text(spark):
     assert more.body.startswith("Hello world. kept, small Big many small")
 
 
+def shuffled_bytes(df):
+    """Bytes that the exchanges of a plan that has run sent."""
+    plan, total = df._jdf.queryExecution().executedPlan(), 0
+    todo = [plan]
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        elif kind == "ShuffleExchangeExec":
+            total += node.metrics().apply("dataSize").value()
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return total
+
+
+def test_body_text_leaves_margins_where_they_are(spark):
+    long = "margin " * 100_000
+    rows = []
+    for page in (0, 1, 30, 2000):
+        rows.append((1, page, 0, 0, 0, 0, 0.0, 12.0, 800.0, 7.0 if page else 15.0, long))
+        rows.append((1, page, 1, 0, 0, 0, 100.0, 112.0, 800.0, 15.0, f"Line {page}."))
+        rows.append((1, page, 1, 1, 0, 0, 100.0, 112.0, 800.0, 14.0, "small print, "))
+    df = body.body_text(spark.createDataFrame(rows, SPANS), "doc", max_pages=1000)
+    (row,) = df.collect()
+    # The first margin outweighs all else, and is itself not shown.
+    assert (row.body, row.pages_dropped) == ("Line 0. Line 1. Line 30.", 1)
+    assert 0 < shuffled_bytes(df) < 10_000
+
+
+def test_body_text_without_page_numbers_or_sizes(spark):
+    rows = [
+        (1, None, 0, 0, 0, 0, 0.0, 12.0, 800.0, 9.0, "margin without page"),
+        (1, 0, 0, 0, 0, 0, None, None, None, 9.0, "no box"),
+        (1, 0, 1, 0, 0, 0, 100.0, 112.0, 800.0, None, "no size"),
+        (1, 0, 2, 0, 0, 0, 100.0, 112.0, 800.0, 9.0, None),
+        (2, None, 0, 0, 0, 0, 0.0, 12.0, 800.0, 9.0, "only a margin"),
+    ]
+    df = spark.createDataFrame(rows, SPANS)
+    for most in (None, 1000):
+        got = [(r.doc, r.body, r.pages_dropped) for r in body.body_text(df, "doc", max_pages=most).collect()]
+        assert got == [(1, "no box.", 0)]
+
+
 def test_body_text_tie_goes_to_the_first_seen(spark):
     rows = [
         (1, 0, 1, 0, 0, 0, 100.0, 112.0, 800.0, 9.0, "late"),

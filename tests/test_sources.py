@@ -45,6 +45,45 @@ def test_part_files_and_gaps(spark, layout):
     assert report == [("b1", 3, 2, 1), ("b2", 2, 2, 0), ("b3", 1, 0, 1)]
 
 
+def test_part_files_of_some_books(spark, layout):
+    books, parts = parts_store.read_part_files(spark, layout, books=["b2", "b3", "none", "b2"])
+    assert sorted(r.book_id for r in books.collect()) == ["b2", "b3"]
+    assert sorted((r.book_id, r.part_index) for r in parts.collect()) == [("b2", 0), ("b2", 1)]
+    assert all("/b2/" in f for f in parts.inputFiles())
+    # What is looked up and listed lies in the folders asked for.
+    asked = parts_store._files(spark, layout, ["b2", "none"], "part_*.txt")
+    assert asked == [f"{layout}/b2/part_*.txt"]
+
+
+@pytest.mark.parametrize("books", [None, ["b1", "b2", "b3"]])
+def test_part_files_of_some_numbers(spark, layout, books):
+    _, parts = parts_store.read_part_files(spark, layout, books=books, parts=[2, 1, 7])
+    assert sorted((r.book_id, r.part_index) for r in parts.collect()) == [("b1", 2), ("b2", 1)]
+    assert len(parts.inputFiles()) == 2
+
+
+def test_part_files_of_nothing(spark, layout):
+    for choice in ({"books": []}, {"books": ["none"]}, {"books": ["b3"]}, {"parts": []}, {"books": ["b2"], "parts": [9]}):
+        books, parts = parts_store.read_part_files(spark, layout, **choice)
+        assert parts.collect() == [] and parts.columns == ["book_id", "part_index", "text"]
+        assert books.columns == ["book_id", "title", "voice", "parts_count", "cover_url"]
+    for odd in ("*", "b{1,2}", "../b1", "..", ""):
+        with pytest.raises(ValueError, match="no names of books"):
+            parts_store.read_part_files(spark, layout, books=[odd])
+
+
+def test_part_files_of_books_with_odd_names(spark, tmp_path):
+    names = ["a b", "a+b", "a%20b", "año"]
+    for name in names:
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "metadata.json").write_text('{"title": "t", "parts_count": 1}')
+        (tmp_path / name / "part_0.txt").write_text("x")
+    for choice in (None, names):
+        books, parts = parts_store.read_part_files(spark, str(tmp_path), books=choice)
+        assert sorted(r.book_id for r in books.collect()) == sorted(names)
+        assert sorted(r.book_id for r in parts.collect()) == sorted(names)
+
+
 def test_parts_store_keeps_its_batches(spark, small, tmp_path):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     parts = parts_table(docs, "doc_id").drop("parts_count")
