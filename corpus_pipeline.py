@@ -69,8 +69,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 2048 tokens; the workers of earlier stages leave less room for cached ids."""
-    return packing.digests(packing.pack(docs, cached=CACHED))
+    """Pieces of sequences of 2048 tokens; the workers of earlier stages leave less room for cached ids.
+
+    Tokenizers go after each partition. Tasks take idle workers in turn, so all of them would keep some.
+    """
+    return packing.digests(packing.pack(docs, cached=CACHED, keep=False))
 
 
 STAGES = [

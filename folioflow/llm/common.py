@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -71,7 +72,9 @@ def by_bytes(
 
 def give_back() -> None:
     """Return freed memory to the system. Python workers are used again by other stages, and what
-    their allocators keep after a partition would add to what those need."""
+    their allocators keep after a partition would add to what those need. Objects that refer to each
+    other are collected first; what the caller still has names for stays."""
+    gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:

@@ -77,18 +77,18 @@ class TextIds:
 
 @lru_cache(maxsize=2)
 def text_ids(path: str, ranks: str, pattern: str, cached: int = CACHED) -> TextIds:
-    """One per Python worker."""
+    """One per Python worker, which keeps it."""
     return TextIds(path, ranks, pattern, cached)
 
 
 def tokenized(
-    docs: DataFrame, path: str, ranks: str, pattern: str, end: int, cached: int = CACHED
+    docs: DataFrame, path: str, ranks: str, pattern: str, end: int, cached: int = CACHED, keep: bool = True
 ) -> DataFrame:
     """Each document's ids and its offset among the tokens of its partition."""
     last = np.array([end], "<u4").tobytes()
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = text_ids(path, ranks, pattern, cached).ids
+        ids = (text_ids if keep else TextIds)(path, ranks, pattern, cached).ids
         part, at = TaskContext.get().partitionId(), 0
         for batch in batches:
             for piece in by_bytes([batch], "text"):
@@ -106,6 +106,7 @@ def tokenized(
                     ["part", "start", "doc_id", "doc_tokens", "ids"],
                 )
                 at = int(ends[-1])
+        ids = batch = piece = coded = None
         give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(over, STAGED)
@@ -119,15 +120,17 @@ def pack(
     pattern: str = public_tokenizers.PATTERN,
     end: int = END,
     cached: int = CACHED,
+    keep: bool = True,
 ) -> DataFrame:
     """Pieces: doc_id, start, length, doc_tokens, sequence_id, offset, padded, ids (binary).
 
     start counts the document's ids before the piece, offset the sequence's ids before it. A Python
-    worker keeps the ids of about `cached` different chunks of text, some 170 bytes each.
+    worker keeps the ids of about `cached` different chunks of text, some 170 bytes each, and the
+    tokenizers: for all its partitions, or unless `keep` until the end of each.
     """
     path = path or public_tokenizers.path(VOCABULARY)
     ranks = ranks or public_tokenizers.path(RANKS)
-    staged = stage(tokenized(docs, path, ranks, pattern, end, cached))
+    staged = stage(tokenized(docs, path, ranks, pattern, end, cached, keep))
     # One row per partition of the input: a sum over them in one task, sent to all.
     totals = staged.groupBy("part").agg(F.sum("doc_tokens").alias("tokens"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

@@ -1,3 +1,7 @@
+import gc
+import weakref
+
+import pyarrow as pa
 import pytest
 import test_dart_minhash as near
 import test_packing as packing_test
@@ -5,6 +9,7 @@ from compare import duck
 
 import corpus_pipeline as C
 from folioflow.llm import language_id, toxicity
+from folioflow.llm.common import give_back
 
 
 @pytest.fixture(scope="module")
@@ -59,6 +64,35 @@ def test_last_stage_packs_all_that_is_left(written):
     packing_test.check([r.asDict() for r in written[4].collect()], texts(written[3]), 2048)
 
 
+def test_last_stage_leaves_no_tokenizers_in_workers(spark, sf, written, monkeypatch):
+    """Workers are used again by other stages, in turn."""
+    most = 1234
+    monkeypatch.setattr(C, "CACHED", most)
+    C.pack(spark, written[3].repartition(16), sf).write.format("noop").mode("overwrite").save()
+
+    def kept(batches):
+        rows = sum(b.num_rows for b in batches)
+        tokenizers = [x for x in gc.get_objects() if type(x).__name__ == "TextIds" and x.chunks.spaced.most == most]
+        yield pa.RecordBatch.from_arrays([pa.array([len(tokenizers)] * rows)], ["n"])
+
+    assert {r["n"] for r in spark.range(0, 64, 1, 64).mapInArrow(kept, "n long").collect()} == {0}
+
+
+def test_memory_given_back_includes_cycles():
+    class Node:
+        pass
+
+    gc.disable()
+    try:
+        node = Node()
+        node.own, left = node, weakref.ref(node)
+        del node
+        give_back()
+        assert left() is None
+    finally:
+        gc.enable()
+
+
 def test_run_gives_the_last_stage(spark, sf, written):
     assert sorted(map(tuple, C.run(spark, sf).select("doc_id", "length", "doc_tokens").collect())) == sorted(
         map(tuple, written[4].select("doc_id", "length", "doc_tokens").collect())

@@ -1,3 +1,5 @@
+import gc
+import weakref
 import zlib
 
 import numpy as np
@@ -84,6 +86,22 @@ def test_kneser_ney_sums_to_one():
         assert np.allclose(total, 1.0)
 
 
+def test_a_judge_goes_with_its_tables_at_once():
+    """Python workers are used again: tables that only a garbage collection frees would pile up in them."""
+    counts, _ = small_model()
+    n = np.array(list(counts.values()))
+    gc.collect()
+    gc.disable()
+    try:
+        judge = X.Judge(X.KneserNey(list(counts), n[:, 0], n[:, 1]))
+        assert judge.features("idiotic scum, there")[0] > judge.features("the sun is there")[0]
+        left = [weakref.ref(x) for x in (judge, judge.model, judge.word, judge.gram)]
+        del judge
+        assert [x() for x in left] == [None] * 4
+    finally:
+        gc.enable()
+
+
 def test_edges(spark):
     words = ["vile", "filthy", "nasty"]
     rows = [(i, ("sun and sea " * 9) + (words[i % 3] if i % 2 else "sand"), 1) for i in range(600)]
