@@ -56,6 +56,8 @@ SLOTS = 1 << 20
 RANGE = 1 << 14
 #: A shingle with more rows than this is dealt over several tasks of the join.
 SALTED = 4096
+#: Workers that compared texts of fewer bytes in a partition have no memory to give back.
+GIVE_BACK = 1 << 21
 
 _P = 0x9E3779B97F4A7C15 | 1
 _PINV = pow(_P, -1, 1 << 64)
@@ -236,29 +238,26 @@ def signed(docs: DataFrame, weighting: str = "set") -> DataFrame:
                         sets.append(distinct)
                         weights.append(n if weighting == "count" else np.ones(len(n)))
                         where.append(row)
-                signs: list = [None] * part.num_rows
-                if sets:
-                    found = mix(signatures(sets, weights)).astype("<u4")
-                    for row, sign in zip(where, found):
-                        signs[row] = sign.tobytes()
+                none = np.ones(part.num_rows, bool)
+                none[where] = False
+                found = mix(signatures(sets, weights)) if sets else np.empty(0, np.uint64)
+                ends = np.concatenate([[0], np.cumsum(~none) * COORDINATES]).astype(np.int32)
+                values = pa.array(found.astype(np.uint32).view(np.int32).ravel())
+                signs = pa.ListArray.from_arrays(ends, values, mask=pa.array(none))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(digests, pa.binary()), pa.array(signs, pa.binary())],
-                    ["doc_id", "digest", "sign"],
+                    [part.column("doc_id"), pa.array(digests, pa.binary()), signs], ["doc_id", "digest", "sign"]
                 )
         give_back()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(over, "doc_id long, digest binary, sign binary")
-
-
-def _signs(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<u4").reshape(-1, COORDINATES)
+    return rows.mapInArrow(over, "doc_id long, digest binary, sign array<int>")
 
 
 def _keys(level: int):
     @F.arrow_udf("array<long>")
     def keys(signs: pa.Array) -> pa.Array:
-        found = band_keys(_signs(signs).astype(np.uint64), level)
+        coordinates = signs.flatten().to_numpy().view(np.uint32).reshape(-1, COORDINATES)
+        found = band_keys(coordinates.astype(np.uint64), level)
         offsets = pa.array(np.arange(len(found) + 1, dtype=np.int32) * found.shape[1])
         return pa.ListArray.from_arrays(offsets, pa.array(found.ravel()))
 
@@ -267,12 +266,7 @@ def _keys(level: int):
 
 def agreement(a: str, b: str) -> Column:
     """In how many coordinates two signatures agree."""
-
-    @F.arrow_udf("int")
-    def count(a: pa.Array, b: pa.Array) -> pa.Array:
-        return pa.array((_signs(a) == _signs(b)).sum(1).astype(np.int32))
-
-    return count(a, b)
+    return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda same: same))
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -285,22 +279,24 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return shared / (len(both) - shared)
 
 
-def linked(pairs: DataFrame, signs: DataFrame, texts: DataFrame, similarity: float, agree: int = AGREE) -> DataFrame:
-    """Those of pairs(node, center) whose whole texts are at least so similar.
+def linked(pairs: DataFrame, texts: DataFrame, similarity: float, agree: int = AGREE) -> DataFrame:
+    """Those of pairs(node, center) whose whole texts are at least so similar; no pair comes twice.
 
-    signs: node, sign. texts: node, text. Rows come sorted by centre, whose shingles are made
+    texts: node, sign, text. The signature of the centre goes to the members, then the texts of the
+    members that agree with it go to the centre. Rows come sorted by centre, whose shingles are made
     once in a row.
     """
-    centre_signs = signs.select(F.col("node").alias("center"), F.col("sign").alias("center_sign"))
-    close = pairs.join(signs.select("node", "sign"), "node").join(centre_signs, "center")
-    close = close.where(agreement("sign", "center_sign") >= agree).select("node", "center")
-    member = texts.select("node", F.col("text").alias("member_text"))
+    centre_signs = texts.select(F.col("node").alias("center"), F.col("sign").alias("center_sign"))
+    member = texts.select("node", "sign", F.col("text").alias("member_text"))
     centre = texts.select(F.col("node").alias("center"), F.col("text").alias("center_text"))
-    both = stage(close).join(member, "node").join(centre.hint("merge"), "center")
+    close = pairs.join(centre_signs, "center").join(member, "node")
+    close = close.where(agreement("sign", "center_sign") >= agree).select("node", "center", "member_text")
+    both = close.join(centre.hint("merge"), "center")
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, own = None, None
+        last, own, held = None, None, 0
         for batch in batches:
+            held += batch.nbytes
             for part in by_bytes([batch], "member_text"):
                 nodes, centres = part.column("node").to_pylist(), part.column("center").to_pylist()
                 texts_of, keep = part.column("member_text"), []
@@ -313,40 +309,39 @@ def linked(pairs: DataFrame, signs: DataFrame, texts: DataFrame, similarity: flo
                     [pa.array([nodes[i] for i in keep], pa.int64()), pa.array([centres[i] for i in keep], pa.int64())],
                     ["node", "center"],
                 )
-        give_back()
+        if held >= GIVE_BACK:
+            give_back()
 
     columns = both.select("node", "center", "member_text", "center_text")
-    return columns.mapInArrow(over, "node long, center long").distinct()
+    return columns.mapInArrow(over, "node long, center long")
 
 
 def components(links: DataFrame, cut: int = 1) -> DataFrame:
     """node, comp: the smallest node that links(a, b) connect with it, for every node of a link.
 
     Each round takes the smallest label of the neighbours and then the label of that label, so
-    the rounds are few even for long chains. A label is a minimum, which is summed map-side.
+    the rounds are few even for long chains, and none follows once both ends of all links have one
+    label. A label is a minimum, which is summed map-side.
     """
-    links = links.where(F.col("a") != F.col("b"))
-    both = stage(links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    state = stage(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("comp")).withColumnRenamed("a", "node"))
+    links = stage(links.where(F.col("a") != F.col("b")).select("a", "b"))
+    ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = links.select(F.explode(ways).alias("way")).select("way.a", "way.b")
+    lowest = both.groupBy("a").agg(F.min("b").alias("low"))
+    state = stage(lowest.select(F.col("a").alias("node"), F.least("a", "low").alias("comp")))
     while True:
+        ends = links.join(state.select(F.col("node").alias("a"), F.col("comp").alias("comp_a")), "a")
+        ends = ends.join(state.select(F.col("node").alias("b"), F.col("comp").alias("comp_b")), "b")
+        if ends.where(F.col("comp_a") != F.col("comp_b")).isEmpty():
+            return state
         near = (
             both.join(state.select(F.col("node").alias("b"), "comp"), "b")
             .groupBy(F.col("a").alias("node"))
             .agg(F.min("comp").alias("near"))
         )
-        lower = state.join(near, "node").select(
-            "node", F.col("comp").alias("old"), F.least("comp", "near").alias("mid")
-        )
+        lower = state.join(near, "node").select("node", F.least("comp", "near").alias("mid"))
         jump = state.select(F.col("node").alias("mid"), F.col("comp").alias("far"))
-        after = stage(
-            lower.join(jump, "mid", "left").select(
-                "node", "old", F.least("mid", F.coalesce("far", "mid")).alias("comp")
-            )
-        )
-        changed = not after.where(F.col("old") != F.col("comp")).isEmpty()
-        state = after.select("node", "comp")
-        if not changed:
-            return state
+        lower = lower.join(jump, "mid", "left")
+        state = stage(lower.select("node", F.least("mid", F.coalesce("far", "mid")).alias("comp")))
 
 
 def _labelled(rows: DataFrame, column: str, comps: DataFrame, name: str) -> DataFrame:
@@ -498,16 +493,20 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, small: int
     comps = none.select("node", F.col("center").alias("comp"))
     active, first = signs, None
 
-    def compare(pairs: DataFrame) -> None:
-        """Link what is similar of pairs that lie in different classes and were not compared."""
+    def compare(pairs: DataFrame, once: bool = False) -> None:
+        """Link what is similar of pairs that lie in different classes and were not compared.
+
+        once: no pair comes twice, and none was compared before.
+        """
         nonlocal tried, comps
-        pairs = pairs.select(F.greatest("node", "center").alias("node"), F.least("node", "center").alias("center"))
-        pairs = pairs.distinct().join(tried, ["node", "center"], "left_anti")
+        if not once:
+            pairs = pairs.select(F.greatest("node", "center").alias("node"), F.least("node", "center").alias("center"))
+            pairs = pairs.distinct().join(tried, ["node", "center"], "left_anti")
         pairs = _labelled(_labelled(pairs, "node", comps, "_a"), "center", comps, "_b")
         pairs = stage(pairs.where(F.col("_a") != F.col("_b")).select("node", "center"))
         if pairs.isEmpty():
             return
-        found = stage(linked(pairs, signs, texts, similarity))
+        found = stage(linked(pairs, texts, similarity))
         tried = tried.unionAll(pairs)
         if not found.isEmpty():
             comps = merged_classes(comps, found)
@@ -517,29 +516,33 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, small: int
         shared = rows.groupBy("key").agg(F.min("node").alias("center"), F.max("node").alias("most"))
         shared = shared.where(F.col("center") < F.col("most")).select("key", "center")
         members = stage(rows.join(shared, "key"))
-        if texts is None:
-            first = members
+        pairs = members.where("node <> center").select("node", "center")
+        if level == 0:
+            first, waiting = members, pairs
             texts = stage(_texts_of(docs, nodes.join(members.select("node").distinct(), "node", "left_semi")))
-            # Most texts are alike to the smallest of their centres; the other centres wait for that.
-            compare(members.groupBy("node").agg(F.min("center").alias("center")).where("node <> center"))
-        compare(members.where("node <> center").select("node", "center"))
-        labelled = stage(_labelled(members.select("key", "node"), "node", comps, "comp"))
-        several = stage(_several(labelled))
-        if several.isEmpty():
-            break
+            # Most texts are alike to the smallest of their centres; the other centres wait for that,
+            # and go with those of the next level.
+            compare(pairs.groupBy("node").agg(F.min("center").alias("center")), once=True)
+        else:
+            compare(pairs if level > 1 else waiting.unionAll(pairs))
         if level + 1 < len(LEVELS):
+            labelled = stage(_labelled(members.select("key", "node"), "node", comps, "comp"))
+            several = stage(_several(labelled))
+            if several.isEmpty():
+                break
             open_nodes = labelled.join(several.select("key"), "key", "left_semi").select("node").distinct()
             active = stage(signs.join(open_nodes, "node", "left_semi"))
 
     # What is still undecided shares a bucket of the first level.
-    if level or not several.isEmpty():
+    if level or len(LEVELS) == 1:
         labelled = stage(_labelled(first.select("key", "node"), "node", comps, "comp"))
         several = stage(_several(labelled))
-        compare(_small_pairs(labelled, several, small))
+        pairs = _small_pairs(labelled, several, small)
         large = labelled.join(several.where(F.col("size") > small).select("key"), "key", "left_semi")
-        large = stage(large.select("node").distinct().join(texts, "node"))
+        large = stage(large.select("node").distinct().join(texts.select("node", "text"), "node"))
         if not large.isEmpty():
-            compare(similar_candidates(_labelled(large, "node", comps, "comp"), similarity))
+            pairs = pairs.unionAll(similar_candidates(_labelled(large, "node", comps, "comp"), similarity))
+        compare(pairs)
 
     named = nodes.select("node", "digest", F.struct("doc_id", "digest").alias("_own"))
     of_class = named.join(comps, "node").groupBy("comp").agg(F.min("_own").alias("_class"))
@@ -557,13 +560,14 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, small: int
 
 
 def _texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node and text of nodes(node, doc_id, digest, rows)."""
+    """node, signature and text of nodes(node, doc_id, digest, rows, sign)."""
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").isNotNull())
     found = found.withColumn("digest", text_digest(F.col("text")))
     if not nodes.where(F.col("rows") > 1).isEmpty():
         # Rows that are repeated whole collapse before they meet.
         found = found.dropDuplicates(["doc_id", "digest"])
-    return found.join(nodes.select("node", "doc_id", "digest"), ["doc_id", "digest"]).select("node", "text")
+    nodes = nodes.select("node", "doc_id", "digest", "sign")
+    return found.join(nodes, ["doc_id", "digest"]).select("node", "sign", "text")
 
 
 def op6_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

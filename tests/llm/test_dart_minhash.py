@@ -157,6 +157,27 @@ def test_components(spark):
     assert got == {**dict.fromkeys(range(41), 0), **dict.fromkeys((100, 101, 103), 100)}
 
 
+def test_components_take_no_round_once_labels_agree(spark, monkeypatch):
+    """Links to one centre are settled by the first labels: only links and labels are written."""
+    written = []
+    monkeypatch.setattr(M, "stage", lambda df, own=M.stage: written.append(1) or own(df))
+    links = spark.createDataFrame([(i, i % 3) for i in range(3, 60)], "a long, b long")
+    got = classes(M.components(links).selectExpr("node doc_id", "comp class_id"))
+    assert got == {i: i % 3 for i in range(60)}
+    assert len(written) == 2
+
+
+def test_further_centres_and_last_pairs_share_a_comparison(spark, monkeypatch):
+    """After the smallest centres one comparison is left: of further centres, small buckets and the exact join."""
+    monkeypatch.setattr(M, "LEVELS", M.LEVELS[:1])
+    rounds = []
+    monkeypatch.setattr(M, "linked", lambda *a, own=M.linked: rounds.append(1) or own(*a))
+    rows = alike_texts(15, 80, (0.75, 0.95))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    assert classes(M.near_duplicates(df)) == by_hand(rows)
+    assert len(rounds) == 2
+
+
 def test_edges(spark):
     long = " ".join(f"w{i}" for i in range(30_000))
     base = "the quick brown fox jumps over the lazy dog and runs away"
